@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def spread_join(rows: DataFrame, groups: DataFrame, key: str, count: str, least: int = 100_000, spread: int = 64) -> DataFrame:
-    """Inner join of ``rows`` with one row per ``key`` in ``groups``, hot keys salted.
+    """Inner join of ``rows`` with ``groups``, few rows per ``key``, hot keys salted.
 
     ``groups`` carries in ``count`` how many rows each key has. A key with at least ``least`` rows is
     hot; there can be no more than all rows / ``least`` hot keys, yet their list is not broadcast by
@@ -17,7 +17,7 @@ def spread_join(rows: DataFrame, groups: DataFrame, key: str, count: str, least:
     Rows with a null key find no partner and fall out, as in any inner join.
     """
     salted = groups.withColumn("_salts", F.when(F.col(count) >= least, F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0))))
-    hot = groups.where(F.col(count) >= least).select(key, F.lit(1).alias("_hot"))
+    hot = groups.where(F.col(count) >= least).select(key, F.lit(1).alias("_hot")).distinct()
     marked = rows.join(hot, key, "left").withColumn(
         "_salt", F.when(F.col("_hot") == 1, F.pmod(F.xxhash64(*[c for c in rows.columns]), F.lit(spread)).cast("int")).otherwise(F.lit(0))
     )
