@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import spans
+from strandloom.llm import canonical, neardup, spans
 from strandloom.llm.texts import sequence_records
 
 
@@ -16,6 +16,26 @@ def p2_shared_part(spark, directory):
     return spans.shared_part(sequence_records(spark, directory, parents=True))
 
 
+def p4_found(spark, directory):
+    """Rows that say what an earlier row says in another typography."""
+    return canonical.hidden_copies(canonical.cas13(spark, directory))
+
+
+def p4_records(spark, directory):
+    """Each different record once, with its number of copies."""
+    return canonical.records_once(canonical.cas13(spark, directory))
+
+
+def p5_found(spark, directory):
+    """Pairs of rows with slightly edited sequences."""
+    return neardup.near_pairs(sequence_records(spark, directory, parents=False))
+
+
+def p5_groups(spark, directory):
+    """Each row with its class of near-duplicates and its number of links."""
+    return neardup.near_groups(sequence_records(spark, directory, parents=False))
+
+
 _RECORDS = """
 WITH records AS (
   SELECT 'cas13_records' AS record_set, record_key AS record_id, upper(regexp_replace(protein_sequence, '[^A-Za-z]', '', 'g')) AS letters FROM cas13_records
@@ -38,9 +58,27 @@ windows AS (
 )
 """
 )
+_NEAR = (
+    _RECORDS.replace(", \n", "\n").rstrip().rstrip(",")
+    + """
+, grams AS (
+  SELECT DISTINCT record_set, record_id, letters, letters[p:p + 4] AS g FROM (
+    SELECT *, unnest(range(1, length(letters) - 3)) AS p FROM records WHERE record_set <> 'parents' AND length(letters) >= 5)
+), sizes AS (
+  SELECT record_set, record_id, any_value(letters) AS letters, count(*) AS n FROM grams GROUP BY record_set, record_id
+), common AS (
+  SELECT record_set, a.record_id AS x, b.record_id AS y, count(*) AS c
+  FROM grams a JOIN grams b USING (record_set, g) WHERE a.record_id < b.record_id GROUP BY record_set, x, y
+)
+SELECT c.record_set AS source_table, x AS left_key, y AS right_key
+FROM common c JOIN sizes a ON a.record_set = c.record_set AND a.record_id = x JOIN sizes b ON b.record_set = c.record_set AND b.record_id = y
+WHERE a.letters <> b.letters AND c.c >= 0.6 * (a.n + b.n - c.c)
+"""
+)
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_shared_part)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_shared_part, p4_found, p4_records, p5_found, p5_groups)}
 SQL = {
+    "p5_found": _NEAR,
     "p2_found": _SHARED + "SELECT * FROM spans",
     "p2_shared_part": _SHARED
     + """
