@@ -28,7 +28,7 @@ FLAGGED_POSTS, PLAIN_POSTS = 4_000, 6_000
 #: Weight of the counterfactual penalty and of the squared weights.
 COUNTERFACTUAL, DECAY = 1.0, 2e-5
 #: A post has a category from this score on.
-THRESHOLD = 0.5
+THRESHOLD = 0.15
 
 # Names of groups of people that may stand for one another.
 GROUPS = (
@@ -93,7 +93,7 @@ class Unmasker:
 
     def _find(self, word: str) -> str:
         stand = [{"*": None}.get(c, _STANDS.get(c, c)) for c in word]
-        if sum(c.isalpha() for c in word) * 3 < len(word):
+        if sum(c.isalpha() for c in word) * 5 < len(word):
             return word
         for other in self.by_length.get(len(word), ()):
             if all(s is None or o in s for s, o in zip(stand, other)):
@@ -145,7 +145,7 @@ def _matrix(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([i for r in rows for i in r], np.int64)
 
 
-def _descend(row: np.ndarray, column: np.ndarray, target: np.ndarray, mask: np.ndarray, swapped: tuple, width: int, steps: int = 150) -> tuple[np.ndarray, np.ndarray]:
+def _descend(row: np.ndarray, column: np.ndarray, target: np.ndarray, mask: np.ndarray, swapped: tuple, width: int, steps: int = 80) -> tuple[np.ndarray, np.ndarray]:
     """Logistic weights for one category by Adam, with the counterfactual and the squared penalty."""
     n, count = len(target), max(mask.sum(), 1)
     pairs, shift_row, shift_column, shift_sign = swapped
@@ -161,7 +161,7 @@ def _descend(row: np.ndarray, column: np.ndarray, target: np.ndarray, mask: np.n
         slope = error.sum() / count * 50
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         mb, vb = 0.9 * mb + 0.1 * slope, 0.99 * vb + 0.01 * slope**2
-        rate = 0.15 / (1 + step / 60)
+        rate = 0.2 / (1 + step / 40)
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         b -= rate * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.99**step)) + 1e-8)
     return w, b
@@ -170,29 +170,34 @@ def _descend(row: np.ndarray, column: np.ndarray, target: np.ndarray, mask: np.n
 def fit(posts: list[tuple], rounds: int = 3, groups: list[str] = GROUPS) -> tuple[Model, Unmasker]:
     """The model of posts ``(text, {category: 1, 0 or None})``; without flagged posts every score is near 0."""
     split = [(sentences_of(text), marks) for text, marks in posts]
-    often = Counter(w for sentences, _ in split for words in sentences for w in set(words) if w.isalpha())
     telling = Counter(w for sentences, marks in split if any(marks.values()) for words in sentences for w in set(words) if w.isalpha())
-    unmask = Unmasker(Counter({w: telling[w] for w in telling if telling[w] >= 2}))
+    unmask = Unmasker(Counter({w: telling[w] for w in telling if telling[w] >= 2} | {g: 10**6 for g in groups}))
     split = [([unmask.words(words) for words in sentences], marks) for sentences, marks in split]
     inside: Counter = Counter()
     total: Counter = Counter()
     for sentences, marks in split:
-        seen = set().union(*map(features_of, sentences)) if sentences else set()
+        seen = {w for words in sentences for w in words}
         total.update(seen)
         if any(marks.values()):
             inside.update(seen)
-    index = {f: i for i, f in enumerate(sorted(f for f in total if inside[f] >= 2))}
+    flagged = max(sum(any(m.values()) for _, m in split), 1)
+    odds = {w: (n / flagged) / ((total[w] - n + 0.5) / (len(split) - flagged + 1)) for w, n in inside.items()}
+    names = {g: groups[(i + 1) % len(groups)] for i, g in enumerate(groups)}
+    strong = {w for w, n in inside.items() if n >= 3 and odds[w] >= 3} | names.keys()
+    told = [(d, words) for d, (sentences, _) in enumerate(split) for words in sentences if not strong.isdisjoint(words)]
+    uses = Counter(f for _, words in told for f in features_of(words))
+    index = {f: i for i, f in enumerate(sorted(f for f, n in uses.items() if n >= 3 or (n == 2 and not strong.isdisjoint(f.split()))))}
     rows, owner = [], []
     named: list[tuple[list[int], list[int]]] = []
-    names = {g: groups[(i + 1) % len(groups)] for i, g in enumerate(groups) if often[g] or i < 6}
-    for d, (sentences, _) in enumerate(split):
-        for words in sentences:
-            own = {index[f] for f in features_of(words) if f in index}
-            rows.append(sorted(own))
-            owner.append(d)
-            if any(w in names for w in words):
-                other = {index[f] for f in features_of([names.get(w, w) for w in words]) if f in index}
-                named.append((sorted(own - other), sorted(other - own)))
+    for d, words in ((d, words) for d, (sentences, _) in enumerate(split) for words in sentences):
+        own = {index[f] for f in features_of(words) if f in index}
+        if not own:
+            continue
+        rows.append(sorted(own))
+        owner.append(d)
+        if any(w in names for w in words):
+            other = {index[f] for f in features_of([names.get(w, w) for w in words]) if f in index}
+            named.append((sorted(own - other), sorted(other - own)))
     row, column = _matrix(rows)
     owner_of = np.array(owner, np.int64)
     plus, minus = _matrix([x for x, _ in named]), _matrix([y for _, y in named])

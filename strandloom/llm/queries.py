@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from strandloom.llm import canonical, neardup, spans
+from pyspark.sql import functions as F
+
+from strandloom.llm import canonical, leakage, moderation, neardup, packing, spans
 from strandloom.llm.texts import sequence_records
+from strandloom.session import materialize, read
 
 
 def p2_found(spark, directory):
@@ -36,6 +39,47 @@ def p5_groups(spark, directory):
     return neardup.near_groups(sequence_records(spark, directory, parents=False))
 
 
+def p6_packed(spark, directory):
+    """Every text's pieces in the containers of each target."""
+    return packing.packed_documents(spark, directory)
+
+
+def p6_fill(spark, directory):
+    """Containers and the part of their room used, per target."""
+    return packing.container_fill(packing.packed_documents(spark, directory), read(spark, directory, "pack_targets"))
+
+
+def p7_found(spark, directory):
+    """Documents that repeat a passage of an evaluation item word for word."""
+    return leakage.exact_leaks(*leakage.tables(spark, directory))
+
+
+def p7_edited(spark, directory):
+    """Documents that hold most of an item, edits allowed, with the alignment score."""
+    return leakage.leaks(*leakage.tables(spark, directory)).where("score >= 0.6")
+
+
+def p7_items(spark, directory):
+    """Per item how many documents give it away, and the best score."""
+    found = leakage.leaks(*leakage.tables(spark, directory)).where("longest_run >= least(12, item_words) or score >= 0.6")
+    return found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.round(F.max("score"), 6).alias("best_score"))
+
+
+def p8_found(spark, directory):
+    """Posts with abusive, hateful or sexual content."""
+    return moderation.flagged_posts(moderation.score_posts(*moderation.tables(spark, directory)))
+
+
+def p8_scores(spark, directory):
+    """The scores of every post."""
+    return moderation.score_posts(*moderation.tables(spark, directory))
+
+
+def p8_source_rates(spark, directory):
+    """Per source the rate of each category."""
+    return moderation.source_rates(materialize(moderation.score_posts(*moderation.tables(spark, directory)), "post-scores"))
+
+
 _RECORDS = """
 WITH records AS (
   SELECT 'cas13_records' AS record_set, record_key AS record_id, upper(regexp_replace(protein_sequence, '[^A-Za-z]', '', 'g')) AS letters FROM cas13_records
@@ -76,8 +120,25 @@ WHERE a.letters <> b.letters AND c.c >= 0.6 * (a.n + b.n - c.c)
 """
 )
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_shared_part, p4_found, p4_records, p5_found, p5_groups)}
+_LEAKS = r"""
+WITH items AS (
+  SELECT item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') AS w FROM eval_items
+), needed AS (
+  SELECT item_id, w, least(12, len(w)) AS n FROM items WHERE len(w) > 0
+), passages AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS p FROM needed)
+), posts AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL
+), runs AS (
+  SELECT doc_id, n, array_to_string(w[p:p + n - 1], ' ') AS g
+  FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS p FROM posts, (SELECT DISTINCT n FROM needed) WHERE len(w) >= n)
+)
+SELECT DISTINCT doc_id, item_id FROM runs JOIN passages USING (n, g)
+"""
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_shared_part, p4_found, p4_records, p5_found, p5_groups, p6_packed, p6_fill, p7_found, p7_edited, p7_items, p8_found, p8_scores, p8_source_rates)}
 SQL = {
+    "p7_found": _LEAKS,
     "p5_found": _NEAR,
     "p2_found": _SHARED + "SELECT * FROM spans",
     "p2_shared_part": _SHARED
