@@ -5,7 +5,111 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: the standard amino acids.
+AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWY"
+
 
 def letters(text: Column) -> Column:
     """The letters A-Z of a text alone, in upper case."""
     return F.upper(F.regexp_replace(text, "[^A-Za-z]", ""))
+
+
+def normal_rna(text: Column) -> Column:
+    """A nucleotide text without blanks, in upper case, with U for T."""
+    return F.translate(F.upper(F.regexp_replace(text, r"\s", "")), "T", "U")
+
+
+def reverse_complement(rna: Column) -> Column:
+    """The reverse complement; other letters than ACGUN stay as they are."""
+    return F.reverse(F.translate(rna, "ACGUN", "UGCAN"))
+
+
+def invalid_symbols(sequence: Column) -> Column:
+    """The symbols of a sequence that are no standard amino acid, sorted; empty for a clean one."""
+    odd = F.regexp_replace(F.upper(sequence), f"[{AMINO_ACIDS}]", "")
+    return F.array_sort(F.array_distinct(F.filter(F.split(odd, ""), lambda x: x != "")))
+
+
+def tokens(sequence: Column) -> Column:
+    """The letters of a sequence as an array; empty for an empty one."""
+    return F.filter(F.split(sequence, ""), lambda x: x != "")
+
+
+def count_of(sequence: Column, symbols: str) -> Column:
+    """How many letters of a sequence are among ``symbols``."""
+    return F.length(F.regexp_replace(sequence, f"[^{symbols}]", ""))
+
+
+def net_charge(sequence: Column) -> Column:
+    """(K and R less D and E) per letter; null for an empty sequence."""
+    return F.try_divide(count_of(sequence, "KR") - count_of(sequence, "DE"), F.length(sequence))
+
+
+def hydrophobicity(sequence: Column) -> Column:
+    """The part of hydrophobic letters; null for an empty sequence."""
+    return F.try_divide(count_of(sequence, "AVILMFWY"), F.length(sequence))
+
+
+def entropy(sequence: Column) -> Column:
+    """Shannon entropy of a sequence's letters A-Z in nats; null for an empty sequence."""
+    n = F.length(sequence)
+    parts = [F.length(F.regexp_replace(sequence, f"[^{a}]", "")) for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    terms = [F.when(c > 0, -(c / n) * F.ln(c / n)).otherwise(0.0) for c in parts]
+    return F.when(n > 0, sum(terms[1:], terms[0]))
+
+
+def composition_deviation(left: Column, right: Column) -> Column:
+    """Half the summed differences of the amino acids' frequencies; null if a sequence is empty."""
+    terms = [F.abs(count_of(left, a) / F.length(left) - count_of(right, a) / F.length(right)) for a in AMINO_ACIDS]
+    return F.when((F.length(left) > 0) & (F.length(right) > 0), sum(terms[1:], terms[0]) / 2)
+
+
+def matches(left: Column, right: Column) -> Column:
+    """How many places two sequences agree in; null for unequal lengths."""
+    same = F.zip_with(tokens(left), tokens(right), lambda x, y: (x == y).cast("int"))
+    return F.when(F.length(left) == F.length(right), F.aggregate(same, F.lit(0), lambda s, x: s + x))
+
+
+def identity(left: Column, right: Column) -> Column:
+    """The part of places two sequences of one length agree in; null for unequal or no length."""
+    return F.when(F.length(left) > 0, matches(left, right) / F.length(left))
+
+
+def aligned_identity(left: Column, right: Column) -> Column:
+    """Identity over places where neither aligned row has a gap; 0 without such a place, null for unequal lengths."""
+    pairs = F.filter(F.arrays_zip(tokens(left).alias("x"), tokens(right).alias("y")), lambda p: (p["x"] != "-") & (p["y"] != "-"))
+    same = F.size(F.filter(pairs, lambda p: p["x"] == p["y"]))
+    return F.when(F.length(left) == F.length(right), F.coalesce(F.try_divide(same, F.size(pairs)), F.lit(0.0)))
+
+
+def designed_identity(left: Column, right: Column, fixed: Column) -> Column:
+    """Identity over the places (from 0) not in ``fixed``; null for unequal lengths or no such place."""
+    places = F.array_except(F.sequence(F.lit(0), F.length(left) - 1), fixed)
+    same = F.filter(places, lambda i: F.substring(left, i + 1, 1) == F.substring(right, i + 1, 1))
+    return F.when((F.length(left) == F.length(right)) & (F.length(left) > 0), F.try_divide(F.size(same), F.size(places)))
+
+
+def longest_homopolymer(sequence: Column) -> Column:
+    """The length of the longest run of one letter; 0 for an empty sequence."""
+    runs = F.regexp_extract_all(sequence, F.lit(r"((.)\2*)"), 1)
+    return F.when(sequence == "", 0).otherwise(F.array_max(F.transform(runs, F.length)))
+
+
+def low_complexity_windows(sequence: Column, window: int, fraction: float) -> Column:
+    """Starts (from 0) of windows in which one letter makes more than ``fraction``; none for shorter sequences.
+
+    Only letters that stand often enough in the whole sequence are looked at.
+    """
+    least = int(fraction * window) + 1
+    cut = F.transform(F.sequence(F.lit(1), F.length(sequence) - window + 1), lambda i: F.substring(sequence, i, window))
+
+    def rich(w: Column) -> Column:
+        return F.greatest(*[F.length(w) - F.length(F.replace(w, F.lit(a))) for a in AMINO_ACIDS]) >= least
+
+    starts = F.filter(F.transform(cut, lambda w, i: F.when(rich(w), i)), lambda i: i.isNotNull())
+    return F.when(F.length(sequence) >= window, starts).otherwise(F.array().cast("array<int>"))
+
+
+def safe_label(text: Column) -> Column:
+    """A lower-case label of letters, digits and single hyphens; null if nothing is left."""
+    return F.nullif(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-")), F.lit(""))
