@@ -60,15 +60,16 @@ class ItemBlock:
         self.seeds: dict[int, list[int]] = {}
 
     def choose_seeds(self, frequency: dict[int, int]) -> None:
-        """The rarest n-gram of each window of ``run`` words is a seed of its item."""
+        """The rarest n-gram of each window of ``run`` words is a seed of its item; n-grams that no document has are passed over."""
         seeds: dict[int, set[int]] = defaultdict(set)
         for item, ids in self.items.items():
             n = min(self.gram, len(ids))
             grams = grams_at(ids, n)
-            rank = [(frequency.get(int(g), 0), int(g)) for g in grams]
+            rank = [(frequency[int(g)], int(g)) if int(g) in frequency else None for g in grams]
             inside = min(self.run, len(ids)) - n + 1
             for start in range(len(grams) - inside + 1):
-                seeds[min(rank[start : start + inside])[1]].add(item)
+                if held := [r for r in rank[start : start + inside] if r]:
+                    seeds[min(held)[1]].add(item)
         self.seeds = {g: sorted(items) for g, items in seeds.items()}
         self.known = np.array(sorted(self.seeds), np.uint64)
 
