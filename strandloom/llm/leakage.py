@@ -11,7 +11,7 @@ tasks. Per block the documents are read twice and never shuffled:
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from strandloom.session import read
 
 RUN, GRAM = 12, 4
+#: An n-gram that at most this part of the documents has is rare enough to seed edited copies.
+RARE = 0.001
 #: Characters of item text in one block, which bounds what is sent to every task.
 BLOCK_CHARS = 4_000_000
 _WORDS = re.compile(r"[^\W_]+")
@@ -59,8 +61,13 @@ class ItemBlock:
         self.known = np.unique(np.concatenate([grams_at(ids, min(gram, len(ids))) for ids in self.items.values()] or [np.zeros(0, np.uint64)]))
         self.seeds: dict[int, list[int]] = {}
 
-    def choose_seeds(self, frequency: dict[int, int]) -> None:
-        """The rarest n-gram of each window of ``run`` words is a seed of its item; n-grams that no document has are passed over."""
+    def choose_seeds(self, frequency: dict[int, int], documents: int) -> None:
+        """The rarest n-gram of each window of ``run`` words that some document has is a seed of its item.
+
+        A window of which no n-gram is missing may stand in a document as a whole, so its seed is taken
+        however frequent it is. Of other windows only edited copies can exist; they need a rare seed.
+        """
+        rare = max(2, RARE * documents)
         seeds: dict[int, set[int]] = defaultdict(set)
         for item, ids in self.items.items():
             n = min(self.gram, len(ids))
@@ -68,7 +75,9 @@ class ItemBlock:
             rank = [(frequency[int(g)], int(g)) if int(g) in frequency else None for g in grams]
             inside = min(self.run, len(ids)) - n + 1
             for start in range(len(grams) - inside + 1):
-                if held := [r for r in rank[start : start + inside] if r]:
+                window = rank[start : start + inside]
+                held = [r for r in window if r]
+                if held and (len(held) == len(window) or min(held)[0] <= rare):
                     seeds[min(held)[1]].add(item)
         self.seeds = {g: sorted(items) for g, items in seeds.items()}
         self.known = np.array(sorted(self.seeds), np.uint64)
@@ -91,22 +100,54 @@ class ItemBlock:
         return flat, np.array(starts, np.int64), np.concatenate(at or [empty]), np.concatenate(value or [empty.astype(np.uint64)])
 
 
-def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
-    """Smith-Waterman score of two rows of word ids, the longest run of equal words, and where the best alignment ends in ``words``."""
-    ramp = _GAP * np.arange(len(words) + 1)
-    score, runs = np.zeros(len(words) + 1, np.int64), np.zeros(len(words) + 1, np.int64)
-    best, longest, end = 0, 0, 0
-    for word in item:
-        same = words == word
-        step = np.maximum(score[:-1] + np.where(same, _MATCH, _MISMATCH), score[1:] - _GAP)
-        fresh = np.concatenate([[0], np.maximum(step, 0)])
-        score = np.maximum(fresh, np.maximum.accumulate(fresh + ramp) - ramp)
-        runs = np.concatenate([[0], np.where(same, runs[:-1] + 1, 0)])
-        top = int(score.argmax())
-        if score[top] > best:
-            best, end = int(score[top]), top
-        longest = max(longest, int(runs.max()))
-    return best, longest, end
+def align(pairs: list[tuple[np.ndarray, np.ndarray]], together: int = 64) -> np.ndarray:
+    """Smith-Waterman of pairs of rows of word ids (item, words): score, longest run of equal words, where the best ends in words.
+
+    Pairs of like size are aligned together, one item word at a time.
+    """
+    out = np.zeros((len(pairs), 3), np.int64)
+    order = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][1]), len(pairs[i][0])))
+    for start in range(0, len(order), together):
+        chosen = order[start : start + together]
+        rows, wide, deep = len(chosen), max(len(pairs[i][1]) for i in chosen), max(len(pairs[i][0]) for i in chosen)
+        words, items = np.full((rows, wide), -2, np.int32), np.full((rows, deep), -3, np.int32)
+        for k, i in enumerate(chosen):
+            items[k, : len(pairs[i][0])], words[k, : len(pairs[i][1])] = pairs[i]
+        ramp = (_GAP * np.arange(wide + 1)).astype(np.int32)
+        score, runs = np.zeros((rows, wide + 1), np.int32), np.zeros((rows, wide + 1), np.int32)
+        best, longest, end = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+        for d in range(deep):
+            same = words == items[:, d : d + 1]
+            fresh = np.zeros_like(score)
+            np.maximum(score[:, :-1] + np.where(same, _MATCH, _MISMATCH), score[:, 1:] - _GAP, out=fresh[:, 1:])
+            np.maximum(fresh, 0, out=fresh)
+            score = np.maximum(fresh, np.maximum.accumulate(fresh + ramp, axis=1) - ramp)
+            runs[:, 1:] = np.where(same, runs[:, :-1] + 1, 0)
+            top = score.argmax(axis=1)
+            value = score[np.arange(rows), top]
+            end = np.where(value > best, top, end)
+            best = np.maximum(best, value)
+            longest = np.maximum(longest, runs.max(axis=1))
+        out[chosen] = np.stack([best, longest, end], axis=1)
+    return out
+
+
+def worth_aligning(item: np.ndarray, words: np.ndarray, run: int, least: float) -> bool:
+    """Whether the two can share ``run`` words in a row or align with a score of ``least`` of the best.
+
+    The score can't exceed the part of item words that stand in ``words`` at all.
+    """
+    if len(item) * len(words) > 1 << 24:
+        return True
+    same = item[:, None] == words
+    if same.any(axis=1).sum() >= least * len(item):
+        return True
+    done, width = same, 1
+    while 2 * width <= run:
+        done = done[: len(done) - width, : done.shape[1] - width] & done[width:, width:]
+        width *= 2
+    rest = run - width
+    return bool((done[: len(done) - rest, : done.shape[1] - rest] & done[rest:, rest:]).any()) if rest else bool(done.any())
 
 
 def _stretches(places: list[int], reach: int, least: int, most: int) -> Iterator[tuple[int, int]]:
@@ -124,7 +165,7 @@ def _stretches(places: list[int], reach: int, least: int, most: int) -> Iterator
         yield start, end
 
 
-def _scan_block(documents: DataFrame, block: ItemBlock) -> DataFrame:
+def _scan_block(documents: DataFrame, block: ItemBlock, least: float) -> DataFrame:
     """Documents against one block of items: one row for each pair with a seed in common."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,10 +174,12 @@ def _scan_block(documents: DataFrame, block: ItemBlock) -> DataFrame:
             row = np.searchsorted(starts, at, side="right") - 1
             pairs = np.unique(np.stack([value, row.astype(np.uint64)]), axis=1)[0] if len(at) else value
             grams, n = np.unique(pairs, return_counts=True)
+            grams, n = np.append(grams, np.uint64(0)), np.append(n, len(batch))
             yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
 
     counted = documents.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    block.choose_seeds(Counter(dict(zip(counted["gram"].to_numpy(np.int64).view(np.uint64).tolist(), counted["n"].tolist()))))
+    frequency = dict(zip(counted["gram"].to_numpy(np.int64).view(np.uint64).tolist(), counted["n"].tolist()))
+    block.choose_seeds(frequency, frequency.pop(0, 0))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,14 +191,18 @@ def _scan_block(documents: DataFrame, block: ItemBlock) -> DataFrame:
                 for item in block.seeds[gram]:
                     places[row, item].append(place)
             doc = batch.column(0).to_pylist()
-            out = []
+            pairs, owner = [], []
             for (row, item), found in places.items():
                 ids = block.items[item]
-                best = (0, 0, 0)
                 for low, high in _stretches(found, 2 * len(ids) + block.run, int(starts[row]), int(ends[row])):
-                    score, longest, end = align(ids, flat[low:high])
-                    best = (max(best[0], longest), *max(best[1:], (score, low + end - int(starts[row]))))
-                out.append((doc[row], item, best[0], len(ids), best[1] / (_MATCH * len(ids)), best[2]))
+                    if worth_aligning(ids, flat[low:high], min(block.run, len(ids)), least):
+                        pairs.append((ids, flat[low:high]))
+                        owner.append((row, item, low - int(starts[row])))
+            best: dict[tuple[int, int], tuple[int, int, int]] = {}
+            for (row, item, low), (score, longest, end) in zip(owner, align(pairs).tolist()):
+                held = best.get((row, item), (0, 0, 0))
+                best[row, item] = (max(held[0], longest), *max(held[1:], (score, low + end)))
+            out = [(doc[row], item, x[0], len(block.items[item]), x[1] / (_MATCH * len(block.items[item])), x[2]) for (row, item), x in best.items()]
             columns = list(zip(*out)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "longest_run", "item_words", "score", "last_word"])
@@ -163,9 +210,12 @@ def _scan_block(documents: DataFrame, block: ItemBlock) -> DataFrame:
     return documents.mapInArrow(scan, "doc_id long, item_id long, longest_run int, item_words int, score double, last_word int")
 
 
-def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, gram: int = GRAM, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, gram: int = GRAM, block_chars: int = BLOCK_CHARS, least_score: float = 0.5) -> DataFrame:
     """Pairs of a document and an item it has a seed of, with longest shared run of words and alignment score.
 
+    Pairs that can reach neither ``run`` words in a row (all words of a shorter item) nor ``least_score``, by an
+    upper bound, are left out.
+
     ``documents`` has ``doc_id, text``, ``items`` has ``item_id, item_text``; further columns are ignored.
     Null, empty and wordless texts on either side match nothing. Whole texts of any length are read.
     ``score`` is 1 for an item copied as a whole; edits, gaps and left-out ends lower it.
@@ -179,7 +229,7 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, gram: int = GR
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         block = ItemBlock([tuple(r) for r in part.distinct().collect()], run, gram)
         if block.items:
-            found = _scan_block(docs, block)
+            found = _scan_block(docs, block, least_score)
             out = found if out is None else out.unionByName(found)
     if out is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, longest_run int, item_words int, score double, last_word int")

@@ -55,8 +55,26 @@ def test_edited_copies_score_high(spark):
 def test_alignment_of_small_cases():
     import numpy as np
 
-    best, longest, end = leakage.align(np.array([1, 2, 3, 4]), np.array([9, 1, 2, 8, 3, 4, 9]))
-    assert (best, longest, end) == (7, 2, 6)
+    cases = [([1, 2, 3, 4], [9, 1, 2, 8, 3, 4, 9]), ([5], [1, 5]), ([1, 2], [3]), ([1, 2, 3], [1, 3]), ([1, 2, 3], [7, 1, 2, 3, 1, 2])]
+    got = leakage.align([(np.array(a), np.array(b)) for a, b in cases], together=3)
+    assert got.tolist() == [[7, 2, 6], [2, 1, 2], [0, 0, 0], [3, 1, 2], [6, 3, 4]]
+
+
+def plain_score(a, b):
+    score = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            score[i][j] = max(0, score[i - 1][j - 1] + (2 if x == y else -1), score[i - 1][j] - 1, score[i][j - 1] - 1)
+    return max(map(max, score))
+
+
+def test_alignment_matches_plain_table():
+    import numpy as np
+
+    rng = random.Random(12)
+    pairs = [([rng.randrange(6) for _ in range(rng.randrange(1, 20))], [rng.randrange(6) for _ in range(rng.randrange(1, 30))]) for _ in range(150)]
+    got = leakage.align([(np.array(a), np.array(b)) for a, b in pairs])
+    assert got[:, 0].tolist() == [plain_score(a, b) for a, b in pairs]
 
 
 def test_empty_tables_and_clashing_columns(spark):
