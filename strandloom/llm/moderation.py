@@ -101,23 +101,24 @@ class Unmasker:
         return word
 
     def words(self, words: list[str]) -> list[str]:
-        return [self.find(w) if _MASKED.match(w) else w for w in words]
+        return [w if w.isalpha() else self.find(w) if _MASKED.match(w) else w for w in words]
 
 
 class Model:
     """Weights of word runs per category. ``score`` gives a post's highest sentence score per category."""
 
-    def __init__(self, index: dict[str, int], weights: np.ndarray, bias: np.ndarray, unmask: Unmasker) -> None:
-        self.weights = {f: weights[i] for f, i in index.items() if np.abs(weights[i]).max() > 1e-3}
-        self.bias, self.known = bias, unmask.by_length
+    def __init__(self, index: dict[str, int], weights: np.ndarray, bias: np.ndarray) -> None:
+        self.weights = {f: tuple(weights[i].tolist()) for f, i in index.items() if np.abs(weights[i]).max() > 1e-3}
+        self.bias = bias.tolist()
 
     def score(self, text: str | None, unmask: Unmasker) -> np.ndarray:
-        best = np.full(len(CATEGORIES), -np.inf)
+        best = [-np.inf] * len(CATEGORIES)
         get = self.weights.get
         for words in sentences_of(text):
             found = [w for f in features_of(unmask.words(words)) if (w := get(f)) is not None]
             if found:
-                best = np.maximum(best, np.sum(found, axis=0) + self.bias)
+                for c, total in enumerate(map(sum, zip(*found))):
+                    best[c] = max(best[c], total + self.bias[c])
         return 1 / (1 + np.exp(-np.clip(best, -30, 30)))
 
 
@@ -225,7 +226,7 @@ def fit(posts: list[tuple], rounds: int = 3, groups: list[str] = GROUPS) -> tupl
             w, b = _descend(row, column, picked.astype(float), use.astype(float), swapped, len(index))
             score = np.bincount(row, w[column], len(rows)) + b
         weights[:, c], bias[c] = w, b
-    return Model(index, weights, bias, unmask), unmask
+    return Model(index, weights, bias), unmask
 
 
 def fit_on(documents: DataFrame, labels: DataFrame, flagged: int = FLAGGED_POSTS, plain: int = PLAIN_POSTS) -> tuple[Model, Unmasker]:
