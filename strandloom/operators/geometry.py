@@ -107,3 +107,35 @@ def superposed_rmsd(points: DataFrame, groups: list[str]) -> DataFrame:
 
     value = fit("n", "squares", *[f"s_{c}" for c in one + two], *[f"p_{a}{b}" for a in one for b in two])
     return facts.select(*groups, "n", F.nanvl(F.round(value, 6), F.lit(None).cast("double")).alias("rmsd"))
+
+
+def exposed_parts(atoms: DataFrame, probe: float = 1.4, points: int = 100) -> DataFrame:
+    """Each atom's part of its sphere that a probe can touch: ``id, exposed, area``.
+
+    ``atoms`` has ``id, x, y, z, radius``. Neighbours come from the grid join, so an atom's list is bounded by
+    how dense atoms can be; its sphere points are tested against them in Arrow batches. All atoms given
+    count as neighbours, whatever their chain.
+    """
+    reach = atoms.agg(F.max("radius")).first()[0] or 0.0
+    near = near_points(atoms, atoms, 2 * (reach + probe)).where("l <> r").select("l", "r")
+    who = atoms.select(F.col("id").alias("r"), F.struct("x", "y", "z", "radius").alias("q"))
+    lists = near.join(who, "r").groupBy("l").agg(F.collect_list("q").alias("others"))
+    every = atoms.join(lists, F.col("id") == F.col("l"), "left").select("id", "x", "y", "z", "radius", F.coalesce("others", F.array().cast("array<struct<x:double,y:double,z:double,radius:double>>")).alias("others"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = np.arange(points) + 0.5
+        polar, turn = np.arccos(1 - 2 * k / points), np.pi * (1 + 5**0.5) * k
+        sphere = np.stack([np.cos(turn) * np.sin(polar), np.sin(turn) * np.sin(polar), np.cos(polar)], 1)
+        for batch in batches:
+            parts = []
+            for x, y, z, radius, others in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
+                surface = np.array([x, y, z]) + (radius + probe) * sphere
+                free = np.ones(points, bool)
+                for o in others:
+                    free &= ((surface - (o["x"], o["y"], o["z"])) ** 2).sum(1) >= (o["radius"] + probe) ** 2
+                parts.append(float(free.mean()))
+            area = [4 * np.pi * (r + probe) ** 2 * p for r, p in zip(batch.column(4).to_pylist(), parts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts), pa.array(area, pa.float64())], ["id", "exposed", "area"])
+
+    kind = atoms.schema["id"].dataType.simpleString()
+    return every.mapInArrow(run, f"id {kind}, exposed double, area double")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 RANGE_BYTES = 64 << 20
 _OPEN, _CLOSE, _BLANK = b"[{", b"]}", b" \t\r\n"
+_FACTS = ("path", "start", "outside", "inside", "flips", "filled")
 
 
 def _at(path: str) -> tuple[fs.FileSystem, str]:
@@ -55,13 +56,13 @@ def _marks(data: bytes, before: int) -> tuple[np.ndarray, np.ndarray]:
     return odd, step
 
 
-def range_facts(path: str, start: int, end: int) -> tuple[int, int, int]:
-    """Change of depth if the range starts outside a string, if inside, and whether it holds an odd number of quotes."""
+def range_facts(path: str, start: int, end: int) -> tuple[int, int, int, int]:
+    """Change of depth if the range starts outside a string, if inside, whether it holds an odd number of quotes, and anything at all."""
     data = _read(path, start, end)
     odd, step = _marks(data, _backslashes_before(path, start))
     a = np.frombuffer(data, np.uint8)
     flips = bool(len(a)) and bool(odd[-1] ^ (a[-1] == 34 and _is_quote_last(data, path, start)))
-    return int(step[~odd].sum()), int(step[odd].sum()), int(flips)
+    return int(step[~odd].sum()), int(step[odd].sum()), int(flips), int(bool(data.strip(_BLANK)))
 
 
 def _is_quote_last(data: bytes, path: str, start: int) -> bool:
@@ -71,10 +72,14 @@ def _is_quote_last(data: bytes, path: str, start: int) -> bool:
     return before % 2 == 0
 
 
-def cut_elements(path: str, start: int, end: int, size: int, inside: bool, depth: int) -> Iterator[tuple[int, str | None, str | None]]:
+def cut_elements(path: str, start: int, end: int, size: int, inside: bool, depth: int, begun: bool) -> Iterator[tuple[int, str | None, str | None]]:
     """``offset, text, error`` of the elements whose separator lies in [start, end)."""
     data, stop = _read(path, start, end), end
     before = _backslashes_before(path, start)
+    if begun and not depth and not inside:  # the array ended in an earlier range
+        if data.strip(_BLANK):
+            yield start + len(data) - len(data.lstrip(_BLANK)), None, "content after the array"
+        return
     while True:
         odd, step = _marks(data, before)
         outside = odd == inside
@@ -93,7 +98,7 @@ def cut_elements(path: str, start: int, end: int, size: int, inside: bool, depth
     closing = np.flatnonzero(ends)
     if len(closing) and data[closing[0] + 1 : end - start].strip(_BLANK) and closing[0] < end - start:
         yield start + int(closing[0]), None, "content after the array"
-    for place in first.tolist():
+    for place in first[first < closing[0]].tolist() if len(closing) else first.tolist():
         k = np.searchsorted(edges, place, side="right")
         last = int(edges[k]) if k < len(edges) else len(data)
         raw = data[place + 1 : last].strip(_BLANK)
@@ -124,19 +129,20 @@ def read_json_array(spark: SparkSession, paths: str | list[str], range_bytes: in
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(p, s, *range_facts(p, s, e)) for p, s, e, _ in zip(*(c.to_pylist() for c in batch.columns))]
-            yield pa.RecordBatch.from_pylist([dict(zip(("path", "start", "outside", "inside", "flips"), r)) for r in rows], pa.schema([("path", pa.string()), ("start", pa.int64()), ("outside", pa.int64()), ("inside", pa.int64()), ("flips", pa.int64())]))
+            yield pa.RecordBatch.from_pylist([dict(zip(_FACTS, r)) for r in rows], pa.schema([("path", pa.string()), *((n, pa.int64()) for n in _FACTS[1:])]))
 
     parts = max(1, min(len(ranges), 10_000))
     table = spark.createDataFrame(ranges, "path string, start long, end long, size long").repartition(parts, "path", "start")
-    told = {(r.path, r.start): r for r in table.mapInArrow(facts, "path string, start long, outside long, inside long, flips long").collect()}
-    states, inside, depth = [], False, 0
+    told = {(r.path, r.start): r for r in table.mapInArrow(facts, "path string, " + ", ".join(f"{n} long" for n in _FACTS[1:])).collect()}
+    states, inside, depth, begun = [], False, 0, False
     for path, start, end, size in ranges:
         if start == 0:
-            inside, depth = False, 0
-        states.append((path, start, end, size, inside, depth))
+            inside, depth, begun = False, 0, False
+        states.append((path, start, end, size, inside, depth, begun))
         fact = told[path, start]
         depth += fact.inside if inside else fact.outside
         inside ^= bool(fact.flips)
+        begun |= bool(fact.filled)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +156,7 @@ def read_json_array(spark: SparkSession, paths: str | list[str], range_bytes: in
                 if held:
                     yield _rows(row[0], held)
 
-    known = spark.createDataFrame(states, "path string, start long, end long, size long, inside boolean, depth long").repartition(parts, "path", "start")
+    known = spark.createDataFrame(states, "path string, start long, end long, size long, inside boolean, depth long, begun boolean").repartition(parts, "path", "start")
     return known.mapInArrow(cut, "path string, offset long, raw_json string, error string")
 
 
