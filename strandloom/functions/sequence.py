@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,18 +52,23 @@ def hydrophobicity(sequence: Column) -> Column:
     return F.try_divide(count_of(sequence, "AVILMFWY"), F.length(sequence))
 
 
+def letter_counts(sequence: Column, symbols: str) -> Column:
+    """How often each of ``symbols`` stands in a sequence, in their order."""
+    each = F.array(*map(F.lit, symbols))
+    return F.transform(each, lambda a: F.length(sequence) - F.length(F.replace(sequence, a)))
+
+
 def entropy(sequence: Column) -> Column:
     """Shannon entropy of a sequence's letters A-Z in nats; null for an empty sequence."""
     n = F.length(sequence)
-    parts = [F.length(F.regexp_replace(sequence, f"[^{a}]", "")) for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
-    terms = [F.when(c > 0, -(c / n) * F.ln(c / n)).otherwise(0.0) for c in parts]
-    return F.when(n > 0, sum(terms[1:], terms[0]))
+    held = F.filter(letter_counts(sequence, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), lambda c: c > 0)
+    return F.when(n > 0, F.aggregate(held, F.lit(0.0), lambda s, c: s - (c / n) * F.ln(c / n)))
 
 
 def composition_deviation(left: Column, right: Column) -> Column:
     """Half the summed differences of the amino acids' frequencies; null if a sequence is empty."""
-    terms = [F.abs(count_of(left, a) / F.length(left) - count_of(right, a) / F.length(right)) for a in AMINO_ACIDS]
-    return F.when((F.length(left) > 0) & (F.length(right) > 0), sum(terms[1:], terms[0]) / 2)
+    terms = F.zip_with(letter_counts(left, AMINO_ACIDS), letter_counts(right, AMINO_ACIDS), lambda x, y: F.abs(x / F.length(left) - y / F.length(right)))
+    return F.when((F.length(left) > 0) & (F.length(right) > 0), F.aggregate(terms, F.lit(0.0), lambda s, t: s + t) / 2)
 
 
 def matches(left: Column, right: Column) -> Column:
@@ -96,18 +103,27 @@ def longest_homopolymer(sequence: Column) -> Column:
 
 
 def low_complexity_windows(sequence: Column, window: int, fraction: float) -> Column:
-    """Starts (from 0) of windows in which one letter makes more than ``fraction``; none for shorter sequences.
+    """Starts (from 0) of windows in which one amino acid makes more than ``fraction``; none for shorter sequences, null for null.
 
-    Only letters that stand often enough in the whole sequence are looked at.
+    Sliding counts come from running sums, in Arrow batches; as Catalyst expressions each window would be
+    searched once for every amino acid.
     """
-    least = int(fraction * window) + 1
-    cut = F.transform(F.sequence(F.lit(1), F.length(sequence) - window + 1), lambda i: F.substring(sequence, i, window))
-
-    def rich(w: Column) -> Column:
-        return F.greatest(*[F.length(w) - F.length(F.replace(w, F.lit(a))) for a in AMINO_ACIDS]) >= least
-
-    starts = F.filter(F.transform(cut, lambda w, i: F.when(rich(w), i)), lambda i: i.isNotNull())
-    return F.when(F.length(sequence) >= window, starts).otherwise(F.array().cast("array<int>"))
+    known = np.frombuffer(AMINO_ACIDS.encode(), np.uint8)[:, None]
+
+    @F.pandas_udf("array<int>")
+    def find(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            if text is None or len(text) < window:
+                out.append(None if text is None else [])
+                continue
+            sums = np.cumsum(known == np.frombuffer(text.encode("latin-1", "replace"), np.uint8), axis=1, dtype=np.int32)
+            counts = sums[:, window - 1 :].copy()
+            counts[:, 1:] -= sums[:, :-window]
+            out.append(np.flatnonzero(counts.max(axis=0) > fraction * window + 1e-9).tolist())
+        return pd.Series(out, dtype=object)
+
+    return find(sequence)
 
 
 def safe_label(text: Column) -> Column:

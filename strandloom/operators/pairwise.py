@@ -54,11 +54,12 @@ def index_map(first: str, second: str) -> list[int | None]:
     return out
 
 
-def aligned_pairs(df: DataFrame, key: str, first: str, second: str) -> DataFrame:
+def aligned_pairs(df: DataFrame, key: str, first: str, second: str, straight_from: float = 0.5) -> DataFrame:
     """``key, aligned, same, identity, mapping`` of each pair: places with a partner, equal ones, their part, and the map.
 
-    Pairs of one length in which nine of ten places agree are taken as they stand; a null side gives nulls and an empty one
-    an identity of 0. The table of an alignment is as large as the product of the lengths.
+    Pairs of one length that agree in at least ``straight_from`` of their places are taken as they stand (1 aligns all but
+    equal ones); a null side gives nulls and an empty one an identity of 0. Rows are spread by key first, since
+    an alignment's work and memory grow with the product of the lengths.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +69,7 @@ def aligned_pairs(df: DataFrame, key: str, first: str, second: str) -> DataFrame
                 if a is None or b is None:
                     rows.append((k, None, None, None, None))
                     continue
-                straight = len(a) == len(b) and sum(map(str.__eq__, a, b)) >= 0.9 * len(a)
+                straight = len(a) == len(b) and sum(map(str.__eq__, a, b)) >= straight_from * len(a)
                 pairs = list(range(len(a))) if straight else index_map(a, b)
                 held = [(i, j) for i, j in enumerate(pairs) if j is not None]
                 same = sum(a[i] == b[j] for i, j in held)
@@ -77,5 +78,5 @@ def aligned_pairs(df: DataFrame, key: str, first: str, second: str) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(aligned, pa.int32()), pa.array(same, pa.int32()), pa.array(identity, pa.float64()), pa.array(mapping, pa.list_(pa.int32()))], ["key", "aligned", "same", "identity", "mapping"])
 
     kind = df.schema[key].dataType.simpleString()
-    out = df.select(F.col(key), F.col(first), F.col(second)).mapInArrow(run, f"key {kind}, aligned int, same int, identity double, mapping array<int>")
+    out = df.select(F.col(key), F.col(first), F.col(second)).repartition(key).mapInArrow(run, f"key {kind}, aligned int, same int, identity double, mapping array<int>")
     return out.withColumnRenamed("key", key)
