@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from strandloom.session import materialize, read
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Texts in a packing group, which bounds a packing task.
+#: Pieces in a packing group, which bounds a packing task.
 GROUP_ROWS = 20_000
 # Fixed value: how the tokenizer cuts a text before it merges bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -119,14 +119,15 @@ def pack(counts: DataFrame, targets: DataFrame, group_rows: int = GROUP_ROWS) ->
     capacity. A text that stands twice is laid twice. Container names hold within a target.
     """
     counts = counts.select("doc_id", "n_tokens").where("n_tokens > 0")
-    groups = max(1, -(-counts.count() // group_rows))
     chosen = targets.select("target_name", "capacity_tokens").where("capacity_tokens > 0").distinct()
     capacities = [tuple(r) for r in chosen.limit(1001).collect()]
     if len(capacities) > 1000:
         raise ValueError("more than 1000 targets; pack them in several calls")
     if not capacities:
         return counts.sparkSession.createDataFrame([], "target_name string, container string, doc_id long, piece_no int, n_tokens int")
-    wanted = F.array(*[F.struct(F.lit(t).cast("string").alias("target_name"), F.lit(c).cast("int").alias("capacity")) for t, c in capacities])
+    sums = counts.agg(*[F.sum(F.ceil(F.col("n_tokens") / c)).alias(f"p{i}") for i, (_, c) in enumerate(capacities)]).first()
+    groups = [max(1, -(-int(n or 0) // group_rows)) for n in sums]
+    wanted = F.array(*[F.struct(F.lit(t).cast("string").alias("target_name"), F.lit(c).cast("int").alias("capacity"), F.lit(g).alias("groups")) for (t, c), g in zip(capacities, groups)])
     pieces = counts.select("doc_id", "n_tokens", F.explode(wanted).alias("t")).select("doc_id", "n_tokens", "t.*")
     pieces = pieces.select("*", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_tokens") / F.col("capacity")).cast("int") - 1)).alias("piece_no"))
     pieces = pieces.select(
@@ -135,7 +136,7 @@ def pack(counts: DataFrame, targets: DataFrame, group_rows: int = GROUP_ROWS) ->
         "doc_id",
         "piece_no",
         F.least(F.col("capacity"), F.col("n_tokens") - F.col("piece_no") * F.col("capacity")).cast("int").alias("n_tokens"),
-        F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(groups)).cast("int").alias("pack_group"),
+        F.pmod(F.xxhash64("doc_id", "piece_no"), F.col("groups")).cast("int").alias("pack_group"),
     )
 
     def run(table: pa.Table) -> pa.Table:
