@@ -142,6 +142,8 @@ def worth_aligning(item: np.ndarray, words: np.ndarray, run: int, least: float)
     same = item[:, None] == words
     if same.any(axis=1).sum() >= least * len(item):
         return True
+    if len(words) < run:
+        return False
     done, width = same, 1
     while 2 * width <= run:
         done = done[: len(done) - width, : done.shape[1] - width] & done[width:, width:]

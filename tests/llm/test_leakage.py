@@ -82,3 +82,20 @@ def test_empty_tables_and_clashing_columns(spark):
     clashing = docs.selectExpr("*", "1 as gram", "2 as n", "3 as item_id")
     assert [tuple(r) for r in leakage.exact_leaks(clashing, items).collect()] == [(1, 2)]
     assert leakage.exact_leaks(docs.limit(0), items).count() == 0 and leakage.exact_leaks(docs, items.limit(0)).count() == 0
+
+
+def test_pruning_of_short_stretches():
+    import numpy as np
+
+    item = np.arange(40)
+    for size in range(1, 14):
+        for words in (np.arange(5, 5 + size), np.arange(5, 5 + size)[::-1], np.full(size, -1)):
+            held = any((words[k : k + 12] == item[j : j + 12]).all() for k in range(size - 11) for j in range(29))
+            assert leakage.worth_aligning(item, words, 12, 0.5) == held
+
+
+def test_documents_of_six_and_ten_words(spark):
+    item = [f"w{i}" for i in range(40)]
+    docs = [(6, " ".join(item[20:24] + ["other"] * 2)), (10, " ".join(item[30:34] + ["other"] * 6))]
+    found = leakage.exact_leaks(*tables(spark, [*docs, (90, " ".join(item[:12]))], [(1, " ".join(item))])).collect()
+    assert [tuple(r) for r in found] == [(90, 1)]
