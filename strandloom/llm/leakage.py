@@ -1,11 +1,9 @@
-"""Evaluation items inside documents (problem 7): rare n-gram seeds, then Smith-Waterman alignment.
+"""Evaluation items inside documents (problem 7): n-gram seeds, then Smith-Waterman alignment.
 
 The items are a stated query set and are taken in blocks of bounded size, each of which goes to all
-tasks. Per block the documents are read twice and never shuffled:
-
-1. In how many documents does each n-gram of the block's items stand?
-2. Of each window of 12 item words the rarest n-gram is a seed, so every copied window has one. Where
-   a document has a seed, the item is aligned with the words around it.
+tasks. Per block the documents are read once and never shuffled. Every n-gram of an item is a seed,
+however many documents hold it; where a document has a seed, the item is aligned with the words around
+it, unless an upper bound shows that neither a run nor a score can come of it.
 """
 
 from __future__ import annotations
@@ -22,8 +20,6 @@ from pyspark.sql import functions as F
 from strandloom.session import read
 
 RUN, GRAM = 12, 4
-#: An n-gram that at most this part of the documents has is rare enough to seed edited copies.
-RARE = 0.001
 #: Characters of item text in one block, which bounds what is sent to every task.
 BLOCK_CHARS = 4_000_000
 _WORDS = re.compile(r"[^\W_]+")
@@ -58,28 +54,11 @@ class ItemBlock:
         self.items = {i: np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in ws], np.int64) for i, ws in ((i, words_of(t)) for i, t in items) if ws}
         self.run, self.gram = run, gram
         self.sizes = sorted({min(gram, len(ids)) for ids in self.items.values()})
-        self.known = np.unique(np.concatenate([grams_at(ids, min(gram, len(ids))) for ids in self.items.values()] or [np.zeros(0, np.uint64)]))
-        self.seeds: dict[int, list[int]] = {}
-
-    def choose_seeds(self, frequency: dict[int, int], documents: int) -> None:
-        """The rarest n-gram of each window of ``run`` words that some document has is a seed of its item.
-
-        A window of which no n-gram is missing may stand in a document as a whole, so its seed is taken
-        however frequent it is. Of other windows only edited copies can exist; they need a rare seed.
-        """
-        rare = max(2, RARE * documents)
-        seeds: dict[int, set[int]] = defaultdict(set)
+        seeds: dict[int, list[int]] = defaultdict(list)
         for item, ids in self.items.items():
-            n = min(self.gram, len(ids))
-            grams = grams_at(ids, n)
-            rank = [(frequency[int(g)], int(g)) if int(g) in frequency else None for g in grams]
-            inside = min(self.run, len(ids)) - n + 1
-            for start in range(len(grams) - inside + 1):
-                window = rank[start : start + inside]
-                held = [r for r in window if r]
-                if held and (len(held) == len(window) or min(held)[0] <= rare):
-                    seeds[min(held)[1]].add(item)
-        self.seeds = {g: sorted(items) for g, items in seeds.items()}
+            for g in np.unique(grams_at(ids, min(gram, len(ids)))).tolist():
+                seeds[g].append(item)
+        self.seeds = dict(seeds)
         self.known = np.array(sorted(self.seeds), np.uint64)
 
     def hits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -132,15 +111,22 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]], together: int = 64) -> np.
     return out
 
 
+def _best_stretch(held: np.ndarray) -> int:
+    """The greatest sum of neighbours, a match for each that is held and a mismatch for each other."""
+    total = np.concatenate([[0], np.cumsum(np.where(held, _MATCH, _MISMATCH))])
+    return int((total - np.minimum.accumulate(total)).max())
+
+
 def worth_aligning(item: np.ndarray, words: np.ndarray, run: int, least: float) -> bool:
     """Whether the two can share ``run`` words in a row or align with a score of ``least`` of the best.
 
-    The score can't exceed the part of item words that stand in ``words`` at all.
+    On either side each word of the aligned part brings 2 at most where the other side has it at all and
+    costs 1 where not, so the score can't exceed the best stretch of such a row.
     """
     if len(item) * len(words) > 1 << 24:
         return True
     same = item[:, None] == words
-    if same.any(axis=1).sum() >= least * len(item):
+    if min(_best_stretch(same.any(axis=0)), _best_stretch(same.any(axis=1))) >= _MATCH * least * len(item):
         return True
     if len(words) < run:
         return False
@@ -170,38 +156,32 @@ def _stretches(places: list[int], reach: int, least: int, most: int) -> Iterator
 def _scan_block(documents: DataFrame, block: ItemBlock, least: float) -> DataFrame:
     """Documents against one block of items: one row for each pair with a seed in common."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, starts, at, value = block.hits(batch.column(1).to_pylist())
-            row = np.searchsorted(starts, at, side="right") - 1
-            pairs = np.unique(np.stack([value, row.astype(np.uint64)]), axis=1)[0] if len(at) else value
-            grams, n = np.unique(pairs, return_counts=True)
-            grams, n = np.append(grams, np.uint64(0)), np.append(n, len(batch))
-            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
-
-    counted = documents.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    frequency = dict(zip(counted["gram"].to_numpy(np.int64).view(np.uint64).tolist(), counted["n"].tolist()))
-    block.choose_seeds(frequency, frequency.pop(0, 0))
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, starts, at, value = block.hits(batch.column(1).to_pylist())
             ends = np.append(starts[1:], len(flat)) - 1
+            at, value = at[order := np.argsort(at, kind="stable")], value[order]
             rows = np.searchsorted(starts, at, side="right") - 1
-            places: dict[tuple[int, int], list[int]] = defaultdict(list)
-            for row, place, gram in zip(rows.tolist(), at.tolist(), value.tolist()):
-                for item in block.seeds[gram]:
-                    places[row, item].append(place)
+            cuts = np.flatnonzero(np.diff(rows, prepend=-1)).tolist()
             doc = batch.column(0).to_pylist()
-            pairs, owner = [], []
-            for (row, item), found in places.items():
-                ids = block.items[item]
-                for low, high in _stretches(found, 2 * len(ids) + block.run, int(starts[row]), int(ends[row])):
-                    if worth_aligning(ids, flat[low:high], min(block.run, len(ids)), least):
-                        pairs.append((ids, flat[low:high]))
-                        owner.append((row, item, low - int(starts[row])))
+            pairs, owner, known = [], [], {}
+            for a, b in zip(cuts, [*cuts[1:], len(rows)]):
+                row, places = int(rows[a]), defaultdict(list)
+                for place, gram in zip(at[a:b].tolist(), value[a:b].tolist()):
+                    for item in block.seeds[gram]:
+                        places[item].append(place)
+                for item, found in places.items():
+                    ids = block.items[item]
+                    for low, high in _stretches(found, 2 * len(ids) + block.run, int(starts[row]), int(ends[row])):
+                        if worth_aligning(ids, flat[low:high], min(block.run, len(ids)), least):
+                            k = known.setdefault((item, flat[low:high].tobytes()), len(pairs))
+                            if k == len(pairs):
+                                pairs.append((ids, flat[low:high]))
+                            owner.append((row, item, low - int(starts[row]), k))
+            aligned = align(pairs).tolist()
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for (row, item, low), (score, longest, end) in zip(owner, align(pairs).tolist()):
+            for row, item, low, k in owner:
+                score, longest, end = aligned[k]
                 held = best.get((row, item), (0, 0, 0))
                 best[row, item] = (max(held[0], longest), *max(held[1:], (score, low + end)))
             out = [(doc[row], item, x[0], len(block.items[item]), x[1] / (_MATCH * len(block.items[item])), x[2]) for (row, item), x in best.items()]
@@ -221,7 +201,8 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, gram: int = GR
     ``documents`` has ``doc_id, text``, ``items`` has ``item_id, item_text``; further columns are ignored.
     Null, empty and wordless texts on either side match nothing. Whole texts of any length are read.
     ``score`` is 1 for an item copied as a whole; edits, gaps and left-out ends lower it.
-    Documents that stand twice come out twice.
+    Documents that stand twice come out twice. A copy that keeps no ``gram`` words of the item in a row has no
+    seed and is not found, whatever its score.
     """
     docs = documents.select("doc_id", "text").where("text is not null")
     items = items.select("item_id", "item_text").where("item_text is not null")

@@ -99,3 +99,21 @@ def test_documents_of_six_and_ten_words(spark):
     docs = [(6, " ".join(item[20:24] + ["other"] * 2)), (10, " ".join(item[30:34] + ["other"] * 6))]
     found = leakage.exact_leaks(*tables(spark, [*docs, (90, " ".join(item[:12]))], [(1, " ".join(item))])).collect()
     assert [tuple(r) for r in found] == [(90, 1)]
+
+
+def test_edited_copy_beside_a_copy_word_for_word(spark):
+    passage = [f"w{i}" for i in range(40)]
+    edited = [f"edit{i}" if i % 8 == 7 else w for i, w in enumerate(passage)]
+    documents = [(1, " ".join(passage)), (2, " ".join(edited))] + [(d, f"d{d} " + " ".join(passage[8 * (d % 5) : 8 * (d % 5) + 7])) for d in range(10, 30)]
+    found = {r.doc_id: r.score for r in leakage.leaks(*tables(spark, documents, [(7, " ".join(passage))])).collect()}
+    assert found[1] == 1 and found[2] == plain_score(passage, edited) / 80 and set(found) == {1, 2}
+
+
+def test_bound_is_never_under_the_score():
+    import numpy as np
+
+    rng = random.Random(13)
+    for _ in range(400):
+        a, b = ([rng.randrange(9) for _ in range(rng.randrange(1, n))] for n in (20, 60))
+        least = plain_score(a, b) / (2 * len(a))
+        assert not least or leakage.worth_aligning(np.array(a), np.array(b), len(a) + 1, least)
