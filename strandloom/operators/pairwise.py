@@ -54,12 +54,21 @@ def index_map(first: str, second: str) -> list[int | None]:
     return out
 
 
-def aligned_pairs(df: DataFrame, key: str, first: str, second: str, straight_from: float = 0.5) -> DataFrame:
+def straight_is_best(first: str, second: str) -> bool:
+    """Whether a bound proves that no alignment with gaps is as good as the pair taken as it stands.
+
+    Between equal lengths a gap on one side needs one on the other: two are opened and one match is lost at least.
+    """
+    unequal = len(first) - sum(map(str.__eq__, first, second))
+    return len(first) == len(second) and (MATCH - MISMATCH) * unequal < MATCH - 2 * OPEN
+
+
+def aligned_pairs(df: DataFrame, key: str, first: str, second: str) -> DataFrame:
     """``key, aligned, same, identity, mapping`` of each pair: places with a partner, equal ones, their part, and the map.
 
-    Pairs of one length that agree in at least ``straight_from`` of their places are taken as they stand (1 aligns all but
-    equal ones); a null side gives nulls and an empty one an identity of 0. Rows are spread by key first, since
-    an alignment's work and memory grow with the product of the lengths.
+    Pairs of one length are taken as they stand only where their unequal places cost less than the least that gaps can
+    (see ``straight_is_best``); a null side gives nulls and an empty one an identity of 0. Rows are spread by key first,
+    since an alignment's work and memory grow with the product of the lengths.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,8 +78,7 @@ def aligned_pairs(df: DataFrame, key: str, first: str, second: str, straight_fro
                 if a is None or b is None:
                     rows.append((k, None, None, None, None))
                     continue
-                straight = len(a) == len(b) and sum(map(str.__eq__, a, b)) >= straight_from * len(a)
-                pairs = list(range(len(a))) if straight else index_map(a, b)
+                pairs = list(range(len(a))) if straight_is_best(a, b) else index_map(a, b)
                 held = [(i, j) for i, j in enumerate(pairs) if j is not None]
                 same = sum(a[i] == b[j] for i, j in held)
                 rows.append((k, len(held), same, same / len(held) if held else 0.0, pairs))

@@ -53,6 +53,26 @@ def test_aligned_pairs(spark):
     assert out["a"].identity == 1 and out["a"].aligned == 3 and out["b"].identity == 0.75 and out["n"].identity is None and out["e"].identity == 0 and out["s"].mapping == [0, 1, 2, 3]
 
 
+def test_pairs_of_one_length_are_aligned_too(spark):
+    rng = random.Random(2)
+    rows = []
+    for k in range(120):
+        a = [rng.choice("ACDEFGH") for _ in range(rng.randrange(2, 60))]
+        b = list(a)
+        for _ in range(rng.randrange(6)):
+            b[rng.randrange(len(b))] = rng.choice("ACDEFGH")
+        if k % 2:
+            del b[rng.randrange(len(b))]
+            b.insert(rng.randrange(len(b) + 1), rng.choice("ACDEFGH"))
+        rows.append((str(k), "".join(a), "".join(b)))
+    out = {r.k: r for r in pairwise.aligned_pairs(spark.createDataFrame(rows, "k string, x string, y string"), "k", "x", "y").collect()}
+    gapped = 0
+    for k, a, b in rows:
+        assert out[k].mapping == pairwise.index_map(a, b) and score(a, b, out[k].mapping) == best(a, b)
+        gapped += 2 * sum(map(str.__eq__, a, b)) >= len(a) and None in out[k].mapping
+    assert gapped
+
+
 def test_draws(spark):
     rows = spark.createDataFrame([("m", str(i), "AC" if i % 2 else "AD") for i in range(10)], "aln string, row_id string, seq string")
     samples = [r.seq for r in generate.profile_samples(generate.profile(rows), 200, 1).collect()]
