@@ -65,14 +65,12 @@ SELECT query, target, fident FROM (
 """
 )
 def hit_table_exchange(spark, directory):
-    """Similarity hits written as TSV, read again, and the best of each query where it is alone at the top."""
+    """Similarity hits written as TSV, read again, and the best of each query; ties go to the smallest target."""
     score = F.round(F.col("score") / 10000, 6)
     hits = read(spark, directory, "cas_effectors").where("operon_id is not null and sequence_sha256 is not null and score between 0 and 10000")
     rows = hits.select(F.col("operon_id").alias("query"), F.col("sequence_sha256").alias("target"), score.alias("fident"), F.lit(1).alias("alnlen"), F.lit(1.0).alias("qcov"), F.lit(1.0).alias("tcov"), F.lit(0.0).alias("evalue"), F.lit(1.0).alias("bits"))
     rows.write.csv(path := _place(spark, "hits"), sep="\t")
-    back = text_files.read_hits(spark, path)
-    ties = back.groupBy("query", "fident").agg(F.count("*").alias("n")).where("n = 1").select("query", "fident")
-    return text_files.best_hits(back).select("query", "target", "fident").join(ties, ["query", "fident"], "left_semi").select("query", "target", "fident")
+    return text_files.best_hits(text_files.read_hits(spark, path)).select("query", "target", "fident")
 
 
 @query("SELECT count(*) AS rows, count(DISTINCT record_key) AS keys, min(record_key) AS first_key FROM cas13_records")

@@ -51,9 +51,9 @@ def read_hits(spark: SparkSession, path: str) -> DataFrame:
 
 
 def best_hits(hits: DataFrame, least_coverage: float = 0.0) -> DataFrame:
-    """The best hit of each query by identity, coverage and bits, ties by target."""
-    order = F.struct("fident", "qcov", "bits", (-F.xxhash64("target")).alias("t"), "target")
-    return hits.where(F.col("qcov") >= least_coverage).groupBy("query").agg(F.max(order).alias("b")).select("query", "b.target", "b.fident", "b.qcov", "b.bits")
+    """The best hit of each query by identity, coverage and bits, ties by the smallest target."""
+    order = F.struct((-F.col("fident")).alias("f"), (-F.col("qcov")).alias("q"), F.coalesce(-F.col("bits"), F.lit(float("inf"))).alias("s"), "target", "fident", "qcov", "bits")
+    return hits.where(F.col("qcov") >= least_coverage).groupBy("query").agg(F.min(order).alias("b")).select("query", "b.target", "b.fident", "b.qcov", "b.bits")
 
 
 def read_pdb(spark: SparkSession, path: str) -> DataFrame:

@@ -133,3 +133,12 @@ def test_staging_never_overwrites(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 3
     with pytest.raises(FileExistsError):
         sinks.staged_parquet(df, str(tmp_path / "t"))
+
+
+def test_best_hits_of_repeated_rows_and_ties(spark, tmp_path):
+    from strandloom.plans import exchange
+
+    rows = [("o1", "t1", 9000), ("o1", "t1", 9000), ("o2", "b", 8000), ("o2", "a", 8000), ("o2", "c", 7000), ("o3", "z", 5000), (None, "t", 1), ("o4", None, 1), ("o4", "t", 10001)]
+    spark.createDataFrame(rows, "operon_id string, sequence_sha256 string, score int").write.parquet(str(tmp_path / "cas_effectors.parquet"))
+    found = exchange.hit_table_exchange(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in found) == [("o1", "t1", 0.9), ("o2", "a", 0.8), ("o3", "z", 0.5)]
