@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import hashing
@@ -215,12 +216,19 @@ SELECT pair_id, string_agg(CASE WHEN back THEN p ELSE token END, '' ORDER BY i)
 """
 )
 def design_consensus(spark, directory):
-    """Two methods' designs of one scaffold and seed merged at a set identity to the parent."""
+    """Two methods' designs of one scaffold, seed and proposal merged at a set identity to the parent.
+
+    Proposals are the designs of a scaffold, seed and method numbered by ``candidate_id``; from the second on the number
+    ends the ``pair_id``. Designs without a counterpart are left out; rows delivered twice count once.
+    """
     designs = _designs(spark, directory)
     parents = designs.groupBy("scaffold_id").agg(F.max("p").alias("parent"))
     fitting = designs.join(parents, "scaffold_id").where(F.length("s") == F.length("parent")).where("seed is not null").withColumn("pair_id", F.concat("scaffold_id", F.lit("/"), "seed"))
+    once = fitting.where(F.col("method").isin("mpnn_plain", "mpnn_ligand")).groupBy("pair_id", "method", "candidate_id").agg(F.max("parent").alias("parent"), F.min("s").alias("s"))
+    number = F.row_number().over(Window.partitionBy("pair_id", "method").orderBy("candidate_id"))
+    numbered = once.withColumn("number", number).withColumn("pair_id", F.when(F.col("number") == 1, F.col("pair_id")).otherwise(F.concat("pair_id", F.lit("#"), "number")))
     first = lambda method: F.min(F.when(F.col("method") == method, F.struct("candidate_id", "s")))
-    pairs = fitting.groupBy("pair_id").agg(F.max("parent").alias("parent"), first("mpnn_plain").alias("a"), first("mpnn_ligand").alias("b")).where("a is not null and b is not null")
+    pairs = numbered.groupBy("pair_id").agg(F.max("parent").alias("parent"), first("mpnn_plain").alias("a"), first("mpnn_ligand").alias("b")).where("a is not null and b is not null")
     return C.consensus(pairs.select("pair_id", "parent", F.col("a.s").alias("first"), F.col("b.s").alias("second")), 0.6)
 
 

@@ -50,3 +50,15 @@ def test_bootstrap_is_the_same_on_any_partitioning(spark):
     df = spark.createDataFrame([("g", i, float(i)) for i in range(8)] + [("one", 1, 3.0)], "g string, unit int, x double")
     got = [sorted(tuple(r) for r in C.bootstrap_means(df.repartition(n), ["g"], 50, 3).collect()) for n in (1, 6)]
     assert got[0] == got[1] and got[0][1][1:] == (1, 3.0, 3.0, 3.0) and got[0][0][3] <= 3.5 <= got[0][0][4]
+
+
+def test_every_design_with_a_counterpart_is_merged(spark, tmp_path):
+    from strandloom.plans import cohorts as plans
+
+    designs = [("a1", "mpnn_plain"), ("a2", "mpnn_plain"), ("a2", "mpnn_plain"), ("a3", "mpnn_plain"), ("b1", "mpnn_ligand"), ("b2", "mpnn_ligand"), ("c1", "other"), ("c2", "other")]
+    residue = {"a1": "C", "a2": "D", "a3": "E", "b1": "C", "b2": "D", "c1": "F", "c2": "F"}
+    rows = [(k, m, "s", 1, [0], 0, residue[k] * 4, "AAAA") for k, m in designs]
+    schema = "candidate_id string, method string, scaffold_id string, seed int, fixed_positions array<int>, fixed_position_violations int, sequence string, parent_sequence string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "candidates.parquet"))
+    found = {r.pair_id: (r.agreement, r.sequence.replace("A", "")) for r in plans.design_consensus(spark, str(tmp_path)).collect()}
+    assert {k: (a, set(s)) for k, (a, s) in found.items()} == {"s/1": (1.0, {"C"}), "s/1#2": (1.0, {"D"})}
