@@ -3,24 +3,30 @@
 Votes of raters make labels of posts, and a linear model over word runs is fitted to their sentences.
 A post has a category if one of its sentences does, so each round picks the telling sentences of the
 flagged posts anew. For sentences that name a group, the model is fitted so that it hardly changes its
-score when another group is named: that penalty keeps neutral mentions of a group from counting as
-hate. The fit takes a bounded sample of labelled posts; scores and rates cover all posts.
+score when other groups are named: that penalty keeps neutral mentions of a group from counting as
+hate. Names of groups are a parameter, and further ones are found by the contexts they share. The fit
+takes a bounded sample of labelled posts; scores and rates cover all posts.
+
+Scoring is done for whole Arrow batches: tokens become numbers through a dictionary that undoes
+disguises once per spelling, and runs of words are looked up as numbers in sorted arrays.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.session import read
+from strandloom.session import materialize, read
 
 CATEGORIES = ("abuse", "hate", "sexual")
 #: The most flagged and unflagged posts the model is fitted to.
@@ -30,50 +36,69 @@ COUNTERFACTUAL, DECAY = 1.0, 2e-5
 #: A post has a category from this score on.
 THRESHOLD = 0.15
 
-# Names of groups of people that may stand for one another.
+#: Names of groups of people that may stand for one another; a parameter, to which the contexts of the sample add more.
 GROUPS = (
-    "dravonians ostrelians quellites tessarines marshfolk varnholmers women men foreigners immigrants refugees christians "
-    "muslims jews hindus buddhists atheists gays lesbians blacks whites asians africans europeans americans"
+    "women men foreigners immigrants refugees christians muslims jews hindus buddhists atheists gays lesbians blacks whites "
+    "asians africans europeans americans"
 ).split()
+#: How many other groups a sentence is rewritten for, and in how many telling contexts a word must stand like others to be such a name.
+SWAPS, CONTEXTS = 3, 3
 # Letters of other scripts that look like Latin ones.
 _ALIKE = str.maketrans("аеорсухіѕјһԁкмтнвοαερικτυνχ", "aeopcyxisjhdkmthboaepiktyvx")
 # Characters written for a letter, and the letters they may stand for.
 _STANDS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "8": "b", "9": "g"}
-_INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤️﻿]")
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe0f\ufeff]")
 _DOTTED = re.compile(r"(?<![^\W_])(?:[^\W_][.\-_~·]){2,}[^\W_](?![^\W_])")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){2,}[^\W\d_](?![^\W_])")
+#: What a text must hold to have a dotted or spaced word at all; cheap to look for.
+_MAYBE_DOTTED, _MAYBE_SPACED = re.compile(r"[.\-_~·][^\W_][.\-_~·][^\W_]"), re.compile(r" [^\W\d_] [^\W\d_](?![^\W_])")
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
-_SENTENCE = re.compile(r"[.!?…。！？;\n]+|</?\w+[^>\n]*>")
-_TOKEN = re.compile(r"[^\W_]+(?:[*@$]+[^\W_]*)*|[*@$]+[^\W_]+(?:[*@$]+[^\W_]*)*")
-_WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
+_PIECE = re.compile(r"[^\W_]+(?:[*@$]+[^\W_]*)*|[*@$]+[^\W_]+(?:[*@$]+[^\W_]*)*|[.!?…。！？;\n]+|</?\w+[^>\n]*>")
+_WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 _MASKED = re.compile(r"(?=.*[^\W\d_])(?=.*[\d*@$])")
+_BREAKS = frozenset(".!?…。！？;\n<")
 
 
-def plain_text(text: str) -> str:
-    """A text in lower case without the usual disguises: look-alikes, dots, blanks or marks between letters, stretching."""
+def _bare(text: str) -> str:
+    """A text without invisible characters and without dots or blanks between single letters."""
     if not text.isascii():
         text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
-    text = text.casefold()
-    if not text.isascii():
-        text = text.translate(_ALIKE)
-    text = _DOTTED.sub(lambda m: re.sub(r"[.\-_~·]", "", m.group()), text)
-    text = _SPACED.sub(lambda m: m.group().replace(" ", ""), text)
-    return _STRETCHED.sub(r"\1", text)
+    if _MAYBE_DOTTED.search(text):
+        text = _DOTTED.sub(lambda m: re.sub(r"[.\-_~·]", "", m.group()), text)
+    if _MAYBE_SPACED.search(text):
+        text = _SPACED.sub(lambda m: m.group().replace(" ", ""), text)
+    return text
+
+
+@lru_cache(200_000)
+def _normal(word: str) -> str:
+    """A word in lower case, without look-alikes of other scripts and without stretching."""
+    word = word.casefold()
+    if not word.isascii():
+        word = word.translate(_ALIKE)
+    return _STRETCHED.sub(r"\1", word)
+
+
+def plain_text(text: str) -> str:
+    """A text in lower case without the usual disguises: look-alikes, dots or blanks between letters, stretching."""
+    return _normal(_bare(text))
+
+
+def words_of_token(token: str) -> list[str]:
+    """The words a token stands for: none for a number, its letters for scripts without blanks."""
+    word = _normal(token)
+    return list(word) if _WIDE.search(word) else [] if word.isdecimal() else [word]
 
 
 def sentences_of(text: str | None) -> list[list[str]]:
     """The sentences of a text as words; letters of scripts without blanks count as words."""
-    out = []
-    for part in _SENTENCE.split(plain_text(text)) if text else ():
-        words: list[str] = []
-        for word in _TOKEN.findall(part):
-            if _WIDE.search(word):
-                words += list(word)
-            elif not word.isdecimal():
-                words.append(word)
-        if words:
-            out.append(words)
-    return out
+    out: list[list[str]] = [[]]
+    for token in _PIECE.findall(_bare(text)) if text else ():
+        if token[0] in _BREAKS:
+            out.append([])
+        else:
+            out[-1] += words_of_token(token)
+    return [words for words in out if words]
 
 
 def features_of(words: list[str]) -> set[str]:
@@ -89,9 +114,8 @@ class Unmasker:
         self.by_length: dict[int, list[str]] = defaultdict(list)
         for word, _ in sorted(words.items(), key=lambda x: (-x[1], x[0])):
             self.by_length[len(word)].append(word)
-        self.find = lru_cache(50_000)(self._find)
 
-    def _find(self, word: str) -> str:
+    def find(self, word: str) -> str:
         stand = [{"*": None}.get(c, _STANDS.get(c, c)) for c in word]
         if sum(c.isalpha() for c in word) * 5 < len(word):
             return word
@@ -104,22 +128,81 @@ class Unmasker:
         return [w if w.isalpha() else self.find(w) if _MASKED.match(w) else w for w in words]
 
 
+class _Numbers(dict):
+    """Numbers of the words of each spelling, worked out once; emptied when it has grown large."""
+
+    def __init__(self, vocabulary: dict[str, int], unmask: Unmasker, most: int = 300_000) -> None:
+        super().__init__()
+        self.vocabulary, self.unmask, self.most = vocabulary, unmask, most
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        if len(self) >= self.most:
+            self.clear()
+        if token[0] in _BREAKS:
+            found = (1, 0)
+        else:
+            found = tuple(self.vocabulary.get(w, 2) for w in self.unmask.words(words_of_token(token)))
+        self[token] = found
+        return found
+
+
 class Model:
-    """Weights of word runs per category. ``score`` gives a post's highest sentence score per category."""
+    """Weights of word runs per category. ``score`` gives each post's highest sentence score per category."""
 
     def __init__(self, index: dict[str, int], weights: np.ndarray, bias: np.ndarray) -> None:
-        self.weights = {f: tuple(weights[i].tolist()) for f, i in index.items() if np.abs(weights[i]).max() > 1e-3}
-        self.bias = bias.tolist()
-
-    def score(self, text: str | None, unmask: Unmasker) -> np.ndarray:
-        best = [-np.inf] * len(CATEGORIES)
-        get = self.weights.get
-        for words in sentences_of(text):
-            found = [w for f in features_of(unmask.words(words)) if (w := get(f)) is not None]
-            if found:
-                for c, total in enumerate(map(sum, zip(*found))):
-                    best[c] = max(best[c], total + self.bias[c])
-        return 1 / (1 + np.exp(-np.clip(best, -30, 30)))
+        held = [(f.split(" "), weights[i]) for f, i in index.items() if np.abs(weights[i]).max() > 1e-3]
+        # 0 and 1 are a sentence's edges, 2 is any word that the model does not know.
+        self.vocabulary = {"^": 0, "$": 1, "": 2}
+        rows = [[self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words] for words, _ in held]
+        self.base = len(self.vocabulary)
+        self.runs = []
+        for n in (1, 2, 3):
+            chosen = [k for k, r in enumerate(rows) if len(r) == n]
+            keys = np.array([self._key(rows[k]) for k in chosen], np.int64)
+            order = np.argsort(keys)
+            self.runs.append((keys[order], np.array([held[k][1] for k in chosen]).reshape(-1, len(CATEGORIES))[order]))
+        self.bias = bias
+
+    def _key(self, row) -> int:  # type: ignore[no-untyped-def]
+        out = 0
+        for x in row:
+            out = out * self.base + x
+        return out
+
+    def score(self, texts: list[str | None], numbers: _Numbers) -> np.ndarray:
+        """One row of scores from 0 to 1 for each text."""
+        flat: list[int] = [0]
+        ends, get = [], numbers.__getitem__
+        for text in texts:
+            if text:
+                flat.extend(chain.from_iterable(map(get, _PIECE.findall(_bare(text)))))
+            flat += (1, 0)
+            ends.append(len(flat) - 1)
+        ids = np.array(flat, np.int64)
+        sentence = np.cumsum(ids == 0) - 1
+        rows, weights, keys = [], [], []
+        for n, (known, value) in enumerate(self.runs):
+            if not len(known) or len(ids) <= n:
+                continue
+            run = ids[: len(ids) - n].copy()
+            for d in range(1, n + 1):
+                run = run * self.base + ids[d : len(ids) - n + d]
+            place = np.minimum(np.searchsorted(known, run), len(known) - 1)
+            at = np.flatnonzero(known[place] == run)
+            # A run counts once in a sentence.
+            once = np.unique(sentence[at] * len(known) + place[at])
+            rows.append(once // len(known))
+            weights.append(value[once % len(known)])
+            keys.append(n)
+        best = np.full((len(texts), len(CATEGORIES)), -30.0)
+        if rows and sum(map(len, rows)):
+            row, value = np.concatenate(rows), np.concatenate(weights)
+            count = int(sentence[-1]) + 1
+            totals = np.stack([np.bincount(row, value[:, c], count) for c in range(len(CATEGORIES))], 1) + self.bias
+            told = np.unique(row)
+            owner = np.searchsorted(sentence[np.array(ends)], told, side="right")
+            np.maximum.at(best, owner, np.clip(totals[told], -30, 30))
+        return 1 / (1 + np.exp(-best))
 
 
 def vote_labels(labels: DataFrame) -> DataFrame:
@@ -138,15 +221,17 @@ def training_posts(documents: DataFrame, labels: DataFrame, flagged: int = FLAGG
     voted = vote_labels(labels).withColumn("flagged", F.greatest(*[F.coalesce(c, F.lit(1)) for c in CATEGORIES]))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = voted.where("flagged = 1").orderBy(*by_hash).limit(flagged).unionByName(voted.where("flagged = 0").orderBy(*by_hash).limit(plain))
-    texts = documents.select("doc_id", "text").where("text <> ''").dropDuplicates(["doc_id"])
-    return texts.join(chosen, "doc_id").select("doc_id", "text", *CATEGORIES)
+    # At most flagged + plain ids, so they are sent to the scan and only chosen posts are shuffled.
+    chosen = materialize(chosen.select("doc_id", *CATEGORIES), "chosen-posts")
+    texts = documents.select("doc_id", "text").where("text <> ''").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text")).join(chosen, "doc_id").select("doc_id", "text", *CATEGORIES)
 
 
 def _matrix(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([i for r in rows for i in r], np.int64)
 
 
-def _descend(row: np.ndarray, column: np.ndarray, target: np.ndarray, mask: np.ndarray, swapped: tuple, width: int, steps: int = 80) -> tuple[np.ndarray, np.ndarray]:
+def _descend(row: np.ndarray, column: np.ndarray, target: np.ndarray, mask: np.ndarray, swapped: tuple, width: int, penalty: float, steps: int = 80) -> tuple[np.ndarray, np.ndarray]:
     """Logistic weights for one category by Adam, with the counterfactual and the squared penalty."""
     n, count = len(target), max(mask.sum(), 1)
     pairs, shift_row, shift_column, shift_sign = swapped
@@ -158,7 +243,7 @@ def _descend(row: np.ndarray, column: np.ndarray, target: np.ndarray, mask: np.n
         gradient = np.bincount(column, error[row], width) / count * 50 + DECAY * 50 * w
         if pairs:
             change = np.bincount(shift_row, w[shift_column] * shift_sign, pairs)
-            gradient += COUNTERFACTUAL * 2 / pairs * np.bincount(shift_column, change[shift_row] * shift_sign, width)
+            gradient += penalty * 2 / pairs * np.bincount(shift_column, change[shift_row] * shift_sign, width)
         slope = error.sum() / count * 50
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         mb, vb = 0.9 * mb + 0.1 * slope, 0.99 * vb + 0.01 * slope**2
@@ -168,12 +253,52 @@ def _descend(row: np.ndarray, column: np.ndarray, target: np.ndarray, mask: np.n
     return w, b
 
 
-def fit(posts: list[tuple], rounds: int = 3, groups: list[str] = GROUPS) -> tuple[Model, Unmasker]:
+def group_names(split: list[tuple[list[list[str]], dict]], given: list[str]) -> list[str]:
+    """``given`` and the words that stand for them: words in ``CONTEXTS`` telling contexts that another such word has too.
+
+    A context is the two words before and the two after. It is telling if it stands in two hateful posts and three times as
+    often as by chance. What fills the same places of such sentences names what they are aimed at.
+    """
+    hateful, plain = sum(m["hate"] == 1 for _, m in split), sum(m["hate"] == 0 for _, m in split)
+    filled: dict[tuple, dict[str, set[int]]] = defaultdict(lambda: defaultdict(set))
+    elsewhere: Counter = Counter()
+    for d, (sentences, marks) in enumerate(split):
+        if marks["hate"] is None:
+            continue
+        for words in sentences:
+            padded = ["^", "^", *words, "$", "$"]
+            for i, word in enumerate(words):
+                frame = (padded[i], padded[i + 1], padded[i + 3], padded[i + 4])
+                if marks["hate"] == 0:
+                    elsewhere[frame] += 1
+                elif word.isalpha():
+                    filled[frame][word].add(d)
+    contexts: dict[str, set[tuple]] = defaultdict(set)
+    for frame, by_word in filled.items():
+        posts = len(set().union(*by_word.values()))
+        if posts >= 2 and len(by_word) >= 2 and posts * plain >= 3 * (elsewhere[frame] + 0.5) * hateful:
+            for word in by_word:
+                contexts[word].add(frame)
+    wide = {w for w, frames in contexts.items() if len(frames) >= CONTEXTS}
+    known = wide | set(given)
+    alike = {w for w in wide if sum(any(o != w and o in known for o in filled[f]) for f in contexts[w]) >= CONTEXTS}
+    return [*given, *sorted(alike - set(given))]
+
+
+def _others(words: list[str], names: list[str], place: dict[str, int]) -> list[list[str]]:
+    """The sentence with its group names changed to others, ``SWAPS`` times, chosen by hash of the sentence."""
+    start = zlib.crc32(" ".join(words).encode("utf-8", "replace"))
+    steps = {1 + (start + k * 2654435761) % max(len(names) - 1, 1) for k in range(SWAPS)}
+    return [[names[(place[w] + step) % len(names)] if w in place else w for w in words] for step in sorted(steps)]
+
+
+def fit(posts: list[tuple], rounds: int = 3, groups: list[str] = GROUPS, penalty: float = COUNTERFACTUAL) -> tuple[Model, Unmasker]:
     """The model of posts ``(text, {category: 1, 0 or None})``; without flagged posts every score is near 0."""
     split = [(sentences_of(text), marks) for text, marks in posts]
     telling = Counter(w for sentences, marks in split if any(marks.values()) for words in sentences for w in set(words) if w.isalpha())
     unmask = Unmasker(Counter({w: telling[w] for w in telling if telling[w] >= 2} | {g: 10**6 for g in groups}))
     split = [([unmask.words(words) for words in sentences], marks) for sentences, marks in split]
+    groups = group_names(split, list(groups))
     inside: Counter = Counter()
     total: Counter = Counter()
     for sentences, marks in split:
@@ -183,7 +308,7 @@ def fit(posts: list[tuple], rounds: int = 3, groups: list[str] = GROUPS) -> tupl
             inside.update(seen)
     flagged = max(sum(any(m.values()) for _, m in split), 1)
     odds = {w: (n / flagged) / ((total[w] - n + 0.5) / (len(split) - flagged + 1)) for w, n in inside.items()}
-    names = {g: groups[(i + 1) % len(groups)] for i, g in enumerate(groups)}
+    names = {g: i for i, g in enumerate(groups)}
     strong = {w for w, n in inside.items() if n >= 3 and odds[w] >= 3} | names.keys()
     told = [(d, words) for d, (sentences, _) in enumerate(split) for words in sentences if not strong.isdisjoint(words)]
     uses = Counter(f for _, words in told for f in features_of(words))
@@ -196,9 +321,10 @@ def fit(posts: list[tuple], rounds: int = 3, groups: list[str] = GROUPS) -> tupl
             continue
         rows.append(sorted(own))
         owner.append(d)
-        if any(w in names for w in words):
-            other = {index[f] for f in features_of([names.get(w, w) for w in words]) if f in index}
-            named.append((sorted(own - other), sorted(other - own)))
+        if penalty and not names.keys().isdisjoint(words):
+            for changed in _others(words, groups, names):
+                other = {index[f] for f in features_of(changed) if f in index}
+                named.append((sorted(own - other), sorted(other - own)))
     row, column = _matrix(rows)
     owner_of = np.array(owner, np.int64)
     plus, minus = _matrix([x for x, _ in named]), _matrix([y for _, y in named])
@@ -223,32 +349,37 @@ def fit(posts: list[tuple], rounds: int = 3, groups: list[str] = GROUPS) -> tupl
             if k:
                 picked |= (post_mark == 1) & (score > 0)
             use = picked | (post_mark == 0)
-            w, b = _descend(row, column, picked.astype(float), use.astype(float), swapped, len(index))
+            w, b = _descend(row, column, picked.astype(float), use.astype(float), swapped, len(index), penalty)
             score = np.bincount(row, w[column], len(rows)) + b
         weights[:, c], bias[c] = w, b
     return Model(index, weights, bias), unmask
 
 
-def fit_on(documents: DataFrame, labels: DataFrame, flagged: int = FLAGGED_POSTS, plain: int = PLAIN_POSTS) -> tuple[Model, Unmasker]:
+def fit_on(documents: DataFrame, labels: DataFrame, flagged: int = FLAGGED_POSTS, plain: int = PLAIN_POSTS, groups: list[str] = GROUPS) -> tuple[Model, Unmasker]:
     """The model of the labelled posts; at most ``flagged + plain`` posts come to the driver."""
     posts = training_posts(documents, labels, flagged, plain).orderBy("doc_id").collect()
-    return fit([(p.text, {c: p[c] for c in CATEGORIES}) for p in posts])
+    return fit([(p.text, {c: p[c] for c in CATEGORIES}) for p in posts], groups=groups)
 
 
-def score_posts(documents: DataFrame, labels: DataFrame, flagged: int = FLAGGED_POSTS, plain: int = PLAIN_POSTS) -> DataFrame:
+def score_posts(documents: DataFrame, labels: DataFrame, flagged: int = FLAGGED_POSTS, plain: int = PLAIN_POSTS, groups: list[str] = GROUPS) -> DataFrame:
     """``doc_id, source, abuse, hate, sexual``: the scores of every post, from 0 to 1.
 
     Null, empty and wordless posts score 0 in all. Whole texts are read. A post that stands twice comes
     out twice. Labels of posts that are missing do nothing.
     """
-    model, unmask = fit_on(documents, labels, flagged, plain)
-    known = {length: words for length, words in unmask.by_length.items()}
+    model, unmask = fit_on(documents, labels, flagged, plain, groups)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled = Unmasker(Counter())
-        spelled.by_length = known
+        numbers = _Numbers(model.vocabulary, unmask)
         for batch in batches:
-            scores = np.array([model.score(t, spelled) for t in batch.column(2).to_pylist()]).reshape(-1, len(CATEGORIES))
+            texts = batch.column(2).to_pylist()
+            parts, start, size = [], 0, 0
+            for i, text in enumerate(texts, 1):
+                size += len(text or "")
+                if size > 1 << 21 or i == len(texts):
+                    parts.append(model.score(texts[start:i], numbers))
+                    start, size = i, 0
+            scores = np.concatenate(parts) if parts else np.zeros((0, len(CATEGORIES)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(scores[:, i]) for i in range(len(CATEGORIES))]], ["doc_id", "source", *CATEGORIES])
 
     return documents.select("doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, abuse double, hate double, sexual double")

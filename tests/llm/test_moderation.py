@@ -3,18 +3,19 @@ import random
 from strandloom.llm import moderation
 
 INSULTS = ["you are a {} fool", "only a {} fool would {} this", "shut up you {} fool"]
-PLAIN = ["the {} cache runs {}", "use the {} queue on {}", "my {} loop took {} seconds", "many dravonians speak {} and {}", "the ostrelians hold a {} fair"]
-HATE = ["all {} are vermin", "never trust the {} they steal"]
+PLAIN = ["the {} cache runs {}", "use the {} queue on {}", "my {} loop took {} seconds", "many {g} speak {} and {}", "the {g} hold a {} fair"]
+GROUPS = ["aurelians", "bryntons", "corvands", "delmarites", "eskwards"]
+HATE = ["all {} are vermin", "never trust the {} they steal", "keep the {} out of our town", "those {} breed like rats"]
 ADVERTS = ["send me your {} nudes", "hot {} singles are waiting"]
 
 
 def made_up(rng, n):
     fill = lambda t, words: t.format(*[rng.choice(words) for _ in range(t.count("{}"))])
-    words, groups = [f"w{i}" for i in range(60)], moderation.GROUPS[:5]
+    words, groups = [f"w{i}" for i in range(60)], GROUPS
     posts, marks = [], []
     for _ in range(n):
         kind = rng.choice(["none"] * 5 + list(moderation.CATEGORIES))
-        said = [fill(rng.choice(PLAIN), words) for _ in range(rng.randrange(2, 6))]
+        said = [fill(rng.choice(PLAIN).replace("{g}", rng.choice(groups)), words) for _ in range(rng.randrange(2, 6))]
         if kind != "none":
             source, pool = {"abuse": (INSULTS, words), "hate": (HATE, groups), "sexual": (ADVERTS, words)}[kind]
             said.insert(rng.randrange(len(said)), fill(rng.choice(source), pool))
@@ -42,8 +43,38 @@ def test_naming_another_group_hardly_changes_a_score(spark):
     rng = random.Random(11)
     posts, marks = made_up(rng, 600)
     model, unmask = moderation.fit([(p, {c: int(m == c) for c in moderation.CATEGORIES}) for p, m in zip(posts, marks)])
-    score = lambda t: model.score(t, unmask)[1]
-    assert score("many tessarines speak w1 and w2") < 0.15 and abs(score("all dravonians are vermin") - score("all varnholmers are vermin")) < 0.3
+    numbers = moderation._Numbers(model.vocabulary, unmask)
+    score = lambda t: model.score([t], numbers)[0, 1]
+    assert score("many corvands speak w1 and w2") < 0.15 and abs(score("all aurelians are vermin") - score("all eskwards are vermin")) < 0.3
+
+
+def test_names_are_found_by_their_contexts():
+    rng = random.Random(12)
+    posts, marks = made_up(rng, 600)
+    split = [(moderation.sentences_of(p), {c: int(m == c) for c in moderation.CATEGORIES}) for p, m in zip(posts, marks)]
+    assert moderation.group_names(split, ["women"]) == ["women", *GROUPS]
+    assert moderation.group_names([], ["women"]) == ["women"]
+
+
+def test_batches_score_like_sentences_one_by_one():
+    rng = random.Random(13)
+    posts, marks = made_up(rng, 300)
+    model, unmask = moderation.fit([(p, {c: int(m == c) for c in moderation.CATEGORIES}) for p, m in zip(posts, marks)])
+    numbers = moderation._Numbers(model.vocabulary, unmask)
+    weights = {}
+    names = {i: w for w, i in model.vocabulary.items()}
+    for n, (known, value) in enumerate(model.runs, 1):
+        for key, w in zip(known.tolist(), value):
+            weights[" ".join(names[key // model.base ** (n - 1 - i) % model.base] for i in range(n))] = w
+    posts += [None, "", "?!", "a. b"]
+    got = model.score(posts, numbers)
+    for text, scores in zip(posts, got):
+        best = [-30.0] * 3
+        for words in moderation.sentences_of(text):
+            found = [weights[f] for f in moderation.features_of(unmask.words(words)) if f in weights]
+            if found:
+                best = [max(b, min(max(t, -30), 30)) for b, t in zip(best, sum(found) + model.bias)]
+        assert all(abs(1 / (1 + moderation.np.exp(-b)) - s) < 1e-9 for b, s in zip(best, scores))
 
 
 def test_disguises_come_off():
