@@ -115,7 +115,16 @@ class Unmasker:
         for word, _ in sorted(words.items(), key=lambda x: (-x[1], x[0])):
             self.by_length[len(word)].append(word)
 
+        self.known: dict[str, str] = {}
+
     def find(self, word: str) -> str:
+        if word not in self.known:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            self.known[word] = self._find(word)
+        return self.known[word]
+
+    def _find(self, word: str) -> str:
         stand = [{"*": None}.get(c, _STANDS.get(c, c)) for c in word]
         if sum(c.isalpha() for c in word) * 5 < len(word):
             return word
@@ -190,7 +199,8 @@ class Model:
             place = np.minimum(np.searchsorted(known, run), len(known) - 1)
             at = np.flatnonzero(known[place] == run)
             # A run counts once in a sentence.
-            once = np.unique(sentence[at] * len(known) + place[at])
+            once = np.sort(sentence[at] * len(known) + place[at])
+            once = once[np.append(True, once[1:] != once[:-1])[: len(once)]]
             rows.append(once // len(known))
             weights.append(value[once % len(known)])
             keys.append(n)
@@ -234,13 +244,17 @@ def _matrix(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 def _descend(row: np.ndarray, column: np.ndarray, target: np.ndarray, mask: np.ndarray, swapped: tuple, width: int, penalty: float, steps: int = 80) -> tuple[np.ndarray, np.ndarray]:
     """Logistic weights for one category by Adam, with the counterfactual and the squared penalty."""
     n, count = len(target), max(mask.sum(), 1)
+    # Sums per sentence and per run of words go over sorted stretches; every sentence has a run and every run a sentence.
+    by_column = np.argsort(column, kind="stable")
+    row_starts = np.searchsorted(row, np.arange(n))
+    row_of, column_starts = row[by_column], np.searchsorted(column[by_column], np.arange(width))
     pairs, shift_row, shift_column, shift_sign = swapped
     w, b = np.zeros(width), -3.0
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[column], n) + b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[column], row_starts) + b, -30, 30)))
         error = (p - target) * mask
-        gradient = np.bincount(column, error[row], width) / count * 50 + DECAY * 50 * w
+        gradient = np.add.reduceat(error[row_of], column_starts) / count * 50 + DECAY * 50 * w
         if pairs:
             change = np.bincount(shift_row, w[shift_column] * shift_sign, pairs)
             gradient += penalty * 2 / pairs * np.bincount(shift_column, change[shift_row] * shift_sign, width)
@@ -254,17 +268,19 @@ def _descend(row: np.ndarray, column: np.ndarray, target: np.ndarray, mask: np.n
 
 
 def group_names(split: list[tuple[list[list[str]], dict]], given: list[str]) -> list[str]:
-    """``given`` and the words that stand for them: words in ``CONTEXTS`` telling contexts that another such word has too.
+    """``given`` and the words that stand for them: hateful words in ``CONTEXTS`` telling contexts that another such word has too.
 
-    A context is the two words before and the two after. It is telling if it stands in two hateful posts and three times as
+    A word is hateful if it stands in hateful posts three times as often as by chance. A context is the two words before and the two after. It is telling if it stands in two hateful posts and three times as
     often as by chance. What fills the same places of such sentences names what they are aimed at.
     """
     hateful, plain = sum(m["hate"] == 1 for _, m in split), sum(m["hate"] == 0 for _, m in split)
     filled: dict[tuple, dict[str, set[int]]] = defaultdict(lambda: defaultdict(set))
     elsewhere: Counter = Counter()
+    used: tuple[Counter, Counter] = (Counter(), Counter())
     for d, (sentences, marks) in enumerate(split):
         if marks["hate"] is None:
             continue
+        used[marks["hate"]].update({w for words in sentences for w in words})
         for words in sentences:
             padded = ["^", "^", *words, "$", "$"]
             for i, word in enumerate(words):
@@ -278,7 +294,8 @@ def group_names(split: list[tuple[list[list[str]], dict]], given: list[str]) ->
         posts = len(set().union(*by_word.values()))
         if posts >= 2 and len(by_word) >= 2 and posts * plain >= 3 * (elsewhere[frame] + 0.5) * hateful:
             for word in by_word:
-                contexts[word].add(frame)
+                if used[1][word] * plain >= 3 * (used[0][word] + 0.5) * hateful:
+                    contexts[word].add(frame)
     wide = {w for w, frames in contexts.items() if len(frames) >= CONTEXTS}
     known = wide | set(given)
     alike = {w for w in wide if sum(any(o != w and o in known for o in filled[f]) for f in contexts[w]) >= CONTEXTS}
@@ -327,6 +344,9 @@ def fit(posts: list[tuple], rounds: int = 3, groups: list[str] = GROUPS, penalty
                 named.append((sorted(own - other), sorted(other - own)))
     row, column = _matrix(rows)
     owner_of = np.array(owner, np.int64)
+    seen = np.sort(owner_of[row] * len(index) + column)
+    seen = seen[np.append(True, seen[1:] != seen[:-1])[: len(seen)]]
+    seen_post, seen_column = seen // max(len(index), 1), seen % max(len(index), 1)
     plus, minus = _matrix([x for x, _ in named]), _matrix([y for _, y in named])
     swapped = (len(named), np.concatenate([plus[0], minus[0]]), np.concatenate([plus[1], minus[1]]), np.concatenate([np.ones(len(plus[0])), -np.ones(len(minus[0]))]))
     weights, bias = np.zeros((len(index), len(CATEGORIES))), np.full(len(CATEGORIES), -8.0)
@@ -336,9 +356,8 @@ def fit(posts: list[tuple], rounds: int = 3, groups: list[str] = GROUPS, penalty
             continue
         post_mark = mark[owner_of]
         in_flagged, in_plain = np.ones(len(index)), np.ones(len(index))
-        seen = np.unique(np.stack([owner_of[row], column]), axis=1)
-        np.add.at(in_flagged, seen[1][mark[seen[0]] == 1], 1)
-        np.add.at(in_plain, seen[1][mark[seen[0]] == 0], 1)
+        in_flagged += np.bincount(seen_column[mark[seen_post] == 1], minlength=len(index))
+        in_plain += np.bincount(seen_column[mark[seen_post] == 0], minlength=len(index))
         odds = np.log(in_flagged / (mark == 1).sum()) - np.log(in_plain / max((mark == 0).sum(), 1))
         odds[in_flagged < 3] = 0
         score = np.bincount(row, np.maximum(odds, 0)[column], len(rows)) / np.sqrt(np.bincount(row, minlength=len(rows)) + 5)

@@ -3,7 +3,7 @@ import random
 from strandloom.llm import moderation
 
 INSULTS = ["you are a {} fool", "only a {} fool would {} this", "shut up you {} fool"]
-PLAIN = ["the {} cache runs {}", "use the {} queue on {}", "my {} loop took {} seconds", "many {g} speak {} and {}", "the {g} hold a {} fair"]
+PLAIN = [f"{x} is {{}} and {{}}" for x in ("disk", "host", "port", "node", "cable", "frame", "stack", "table", "shelf", "wheel", "brush") for _ in range(3)] + ["the {} cache runs {}", "use the {} queue on {}", "my {} loop took {} seconds", "many {g} speak {} and {}", "the {g} hold a {} fair"]
 GROUPS = ["aurelians", "bryntons", "corvands", "delmarites", "eskwards"]
 HATE = ["all {} are vermin", "never trust the {} they steal", "keep the {} out of our town", "those {} breed like rats"]
 ADVERTS = ["send me your {} nudes", "hot {} singles are waiting"]
