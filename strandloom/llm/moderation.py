@@ -170,8 +170,16 @@ class Model:
             keys = np.array([self._key(rows[k]) for k in chosen], np.int64)
             order = np.argsort(keys)
             self.runs.append((keys[order], np.array([held[k][1] for k in chosen]).reshape(-1, len(CATEGORIES))[order]))
+        # Most runs of words are none of these; a table of bits tells so for nearly all of them.
+        self.maybe = [np.zeros(1 << 20, bool) for _ in self.runs]
+        for bits, (keys, _) in zip(self.maybe, self.runs):
+            bits[self._slot(keys)] = True
         self.bias = bias
 
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+
     def _key(self, row) -> int:  # type: ignore[no-untyped-def]
         out = 0
         for x in row:
@@ -189,21 +197,21 @@ class Model:
             ends.append(len(flat) - 1)
         ids = np.array(flat, np.int64)
         sentence = np.cumsum(ids == 0) - 1
-        rows, weights, keys = [], [], []
+        rows, weights = [], []
         for n, (known, value) in enumerate(self.runs):
             if not len(known) or len(ids) <= n:
                 continue
             run = ids[: len(ids) - n].copy()
             for d in range(1, n + 1):
                 run = run * self.base + ids[d : len(ids) - n + d]
-            place = np.minimum(np.searchsorted(known, run), len(known) - 1)
-            at = np.flatnonzero(known[place] == run)
+            at = np.flatnonzero(self.maybe[n][self._slot(run)])
+            place = np.minimum(np.searchsorted(known, run[at]), len(known) - 1)
+            met = known[place] == run[at]
             # A run counts once in a sentence.
-            once = np.sort(sentence[at] * len(known) + place[at])
+            once = np.sort(sentence[at[met]] * len(known) + place[met])
             once = once[np.append(True, once[1:] != once[:-1])[: len(once)]]
             rows.append(once // len(known))
             weights.append(value[once % len(known)])
-            keys.append(n)
         best = np.full((len(texts), len(CATEGORIES)), -30.0)
         if rows and sum(map(len, rows)):
             row, value = np.concatenate(rows), np.concatenate(weights)
