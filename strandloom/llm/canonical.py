@@ -3,9 +3,9 @@
 1. A record becomes canonical bytes, the same for every typography of it. Copies within an Arrow batch
    collapse at once, so a record imported very often stays small from here on.
 2. Buckets are split by leading bytes: those over the capacity by twice as many, again and again,
-   until each fits. Bytes of one record that still overflow go to several buckets.
-3. Each bucket is counted in a trie of the bytes with counters at the ends; equal ends of several
-   buckets add up.
+   until each fits. Copies of one record that still overflow go to several buckets.
+3. Each bucket is counted in a trie of the bytes with counters at the ends; only the ends of records
+   that were spread over several buckets add up.
 """
 
 from __future__ import annotations
@@ -88,29 +88,28 @@ def canonical_records(df: DataFrame, key: str = "record_key") -> DataFrame:
     return picked.mapInArrow(run, "digest binary, canon binary, n long, first_key string, keys array<string>")
 
 
-def radix_buckets(canon: DataFrame, capacity: int = BUCKET_BYTES) -> DataFrame:
-    """``canon`` with a binary ``bucket``, so that no bucket holds more than about ``capacity`` bytes.
+def radix_buckets(canon: DataFrame, capacity: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame | None]:
+    """``canon`` with a binary ``bucket``: buckets that hold whole records' copies, and parts of single records' copies, if any.
 
-    Only bucket sizes are shuffled. The loop ends when every bucket fits or its records have no
-    further bytes; such a bucket holds copies of one record and is spread by key.
+    No bucket holds more than about ``capacity`` bytes. Each round counts the bytes per bucket and writes the rows
+    of buckets that are too large, which the next round splits by twice as many bytes. A bucket too large that
+    holds one record alone is not split by further bytes but spread by key.
     """
-    longest = canon.agg(F.max(F.length("canon"))).first()[0] or 0
-    rows, taken, settled = canon, 1, None
+    rows, taken, whole, parts = canon, 1, None, None
     while True:
         rows = rows.withColumn("bucket", F.substring("canon", 1, taken))
-        sizes = rows.groupBy("bucket").agg(F.sum(F.length("canon")).alias("_bytes"))
-        large = sizes.where(F.col("_bytes") > capacity)
-        if taken >= longest:
-            parts = large.select("bucket", F.ceil(F.col("_bytes") / capacity).alias("_parts"))
-            spread = rows.join(parts, "bucket", "left").withColumn("bucket", F.when(F.col("_parts").isNull(), F.col("bucket")).otherwise(F.concat("bucket", F.encode(F.pmod(F.xxhash64("first_key"), F.col("_parts")).cast("string"), "utf-8"))))
-            spread = spread.drop("_parts")
-            return spread if settled is None else settled.unionByName(spread)
-        large = materialize(large.select("bucket"), "radix-large")
-        if large.isEmpty():
-            return rows if settled is None else settled.unionByName(rows)
-        fits = rows.join(large, "bucket", "left_anti").select(rows.columns)
-        settled = fits if settled is None else settled.unionByName(fits)
-        rows = rows.join(large, "bucket", "left_semi").select(*canon.columns)
+        sizes = rows.groupBy("bucket").agg(F.count("*").alias("_n"), F.sum(F.length("canon")).alias("_bytes"), (F.min("digest") == F.max("digest")).alias("_one"))
+        sizes = materialize(sizes, "radix-sizes")
+        if sizes.where(F.col("_bytes") > capacity).isEmpty():
+            return rows if whole is None else whole.unionByName(rows), parts
+        placed = spread_join(rows, sizes, "bucket", "_n")
+        large, one = F.col("_bytes") > capacity, F.col("_one")
+        fits = placed.where(~large).select(*canon.columns, "bucket")
+        whole = fits if whole is None else whole.unionByName(fits)
+        part = F.pmod(F.xxhash64("first_key"), F.ceil(F.col("_bytes") / capacity)).cast("string")
+        single = placed.where(large & one).select(*canon.columns, F.concat("bucket", F.encode(part, "utf-8")).alias("bucket"))
+        parts = single if parts is None else parts.unionByName(single)
+        rows = materialize(placed.where(large & ~one).select(*canon.columns), "radix-rows")
         taken *= 2
 
 
@@ -141,9 +140,14 @@ def _count_in_trie(table: pa.Table) -> pa.Table:
 
 def copy_groups(canon: DataFrame, capacity: int = BUCKET_BYTES) -> DataFrame:
     """``digest, n, keep_key``: each different record with its number of copies and its least key."""
-    buckets = radix_buckets(canon.select("digest", "canon", "n", "first_key"), capacity)
-    ends = buckets.groupBy("bucket").applyInArrow(_count_in_trie, "digest binary, n long, first_key string")
-    return ends.groupBy("digest").agg(F.sum("n").alias("n"), F.min("first_key").alias("keep_key"))
+    whole, parts = radix_buckets(canon.select("digest", "canon", "n", "first_key"), capacity)
+    schema = "digest binary, n long, first_key string"
+    ends = whole.groupBy("bucket").applyInArrow(_count_in_trie, schema).withColumnRenamed("first_key", "keep_key")
+    if parts is None:
+        return ends
+    # Only the ends of records whose copies were spread over several buckets are put together.
+    spread = parts.groupBy("bucket").applyInArrow(_count_in_trie, schema)
+    return ends.unionByName(spread.groupBy("digest").agg(F.sum("n").alias("n"), F.min("first_key").alias("keep_key")))
 
 
 def records_once(df: DataFrame, key: str = "record_key", capacity: int = BUCKET_BYTES) -> DataFrame:
@@ -159,7 +163,7 @@ def hidden_copies(df: DataFrame, key: str = "record_key", capacity: int = BUCKET
     with null; metadata that is no JSON is compared as text.
     """
     canon = materialize(canonical_records(df, key), "canonical")
-    several = copy_groups(canon, capacity).where("n > 1")
+    several = materialize(copy_groups(canon, capacity).where("n > 1"), "copy-groups")
     rows = spread_join(canon.select("digest", "keys"), several, "digest", "n")
     return rows.select("keep_key", F.explode("keys").alias("copy_key")).where("copy_key <> keep_key")
 

@@ -1,7 +1,7 @@
 """Evaluation items inside documents (problem 7): n-gram seeds, then Smith-Waterman alignment.
 
-The items are a stated query set and are taken in blocks of bounded size, each of which goes to all
-tasks. Per block the documents are read once and never shuffled. Every n-gram of an item is a seed,
+The items are a stated query set and are taken in blocks of bounded size, several of which go to all
+tasks. Per ``SCAN_BLOCKS`` blocks the documents are read once and never shuffled. Every n-gram of an item is a seed,
 however many documents hold it; where a document has a seed, the item is aligned with the words around
 it, unless an upper bound shows that neither a run nor a score can come of it.
 """
@@ -17,11 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm.texts import slices
 from strandloom.session import read
 
 RUN, GRAM = 12, 4
 #: Characters of item text in one block, which bounds what is sent to every task.
 BLOCK_CHARS = 4_000_000
+#: Blocks that one scan of the documents takes, and bytes of text that are held as words at once, or one text.
+SCAN_BLOCKS, BATCH_BYTES = 8, 4 << 20
 _WORDS = re.compile(r"[^\W_]+")
 _MATCH, _MISMATCH, _GAP = 2, -1, 1
 
@@ -61,12 +64,12 @@ class ItemBlock:
         self.seeds = dict(seeds)
         self.known = np.array(sorted(self.seeds), np.uint64)
 
-    def hits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word ids of all texts in a row with -1 between them, where each starts, and places and values of known n-grams."""
+    def hits(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts as words the word ids of all in a row with -1 between them, where each starts, and places and values of known n-grams."""
         get, ids, starts = self.vocabulary.get, [], []
         for text in texts:
             starts.append(len(ids))
-            ids += [get(w, -1) for w in words_of(text)]
+            ids += [get(w, -1) for w in text]
             ids.append(-1)
         flat, at, value = np.array(ids, np.int64), [], []
         for n in self.sizes:
@@ -153,38 +156,44 @@ def _stretches(places: list[int], reach: int, least: int, most: int) -> Iterator
         yield start, end
 
 
-def _scan_block(documents: DataFrame, block: ItemBlock, least: float) -> DataFrame:
-    """Documents against one block of items: one row for each pair with a seed in common."""
+def _found_in(block: ItemBlock, texts: list[list[str]], least: float) -> Iterator[tuple]:
+    """Of each text (its number) and item with a seed in common and a chance: longest run, words of the item, score, end."""
+    flat, starts, at, value = block.hits(texts)
+    ends = np.append(starts[1:], len(flat)) - 1
+    at, value = at[order := np.argsort(at, kind="stable")], value[order]
+    rows = np.searchsorted(starts, at, side="right") - 1
+    cuts = np.flatnonzero(np.diff(rows, prepend=-1)).tolist()
+    pairs, owner, known = [], [], {}
+    for a, b in zip(cuts, [*cuts[1:], len(rows)]):
+        row, places = int(rows[a]), defaultdict(list)
+        for place, gram in zip(at[a:b].tolist(), value[a:b].tolist()):
+            for item in block.seeds[gram]:
+                places[item].append(place)
+        for item, found in places.items():
+            ids = block.items[item]
+            for low, high in _stretches(found, 2 * len(ids) + block.run, int(starts[row]), int(ends[row])):
+                if worth_aligning(ids, flat[low:high], min(block.run, len(ids)), least):
+                    k = known.setdefault((item, flat[low:high].tobytes()), len(pairs))
+                    if k == len(pairs):
+                        pairs.append((ids, flat[low:high]))
+                    owner.append((row, item, low - int(starts[row]), k))
+    aligned = align(pairs).tolist()
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for row, item, low, k in owner:
+        score, longest, end = aligned[k]
+        held = best.get((row, item), (0, 0, 0))
+        best[row, item] = (max(held[0], longest), *max(held[1:], (score, low + end)))
+    for (row, item), x in best.items():
+        yield row, item, x[0], len(block.items[item]), x[1] / (_MATCH * len(block.items[item])), x[2]
+
+
+def _scan(documents: DataFrame, blocks: list[ItemBlock], least: float) -> DataFrame:
+    """Documents against blocks of items: one row for each pair with a seed in common. Texts are split into words once."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, starts, at, value = block.hits(batch.column(1).to_pylist())
-            ends = np.append(starts[1:], len(flat)) - 1
-            at, value = at[order := np.argsort(at, kind="stable")], value[order]
-            rows = np.searchsorted(starts, at, side="right") - 1
-            cuts = np.flatnonzero(np.diff(rows, prepend=-1)).tolist()
-            doc = batch.column(0).to_pylist()
-            pairs, owner, known = [], [], {}
-            for a, b in zip(cuts, [*cuts[1:], len(rows)]):
-                row, places = int(rows[a]), defaultdict(list)
-                for place, gram in zip(at[a:b].tolist(), value[a:b].tolist()):
-                    for item in block.seeds[gram]:
-                        places[item].append(place)
-                for item, found in places.items():
-                    ids = block.items[item]
-                    for low, high in _stretches(found, 2 * len(ids) + block.run, int(starts[row]), int(ends[row])):
-                        if worth_aligning(ids, flat[low:high], min(block.run, len(ids)), least):
-                            k = known.setdefault((item, flat[low:high].tobytes()), len(pairs))
-                            if k == len(pairs):
-                                pairs.append((ids, flat[low:high]))
-                            owner.append((row, item, low - int(starts[row]), k))
-            aligned = align(pairs).tolist()
-            best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for row, item, low, k in owner:
-                score, longest, end = aligned[k]
-                held = best.get((row, item), (0, 0, 0))
-                best[row, item] = (max(held[0], longest), *max(held[1:], (score, low + end)))
-            out = [(doc[row], item, x[0], len(block.items[item]), x[1] / (_MATCH * len(block.items[item])), x[2]) for (row, item), x in best.items()]
+        for batch in slices(batches, 1, BATCH_BYTES):
+            texts, doc = [words_of(t) for t in batch.column(1).to_pylist()], batch.column(0).to_pylist()
+            out = [(doc[row], *told) for block in blocks for row, *told in _found_in(block, texts, least)]
             columns = list(zip(*out)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "longest_run", "item_words", "score", "last_word"])
@@ -208,11 +217,15 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, gram: int = GR
     items = items.select("item_id", "item_text").where("item_text is not null")
     size = items.agg(F.sum(F.length("item_text"))).first()[0] or 0
     blocks, out = size // block_chars + 1, None
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        block = ItemBlock([tuple(r) for r in part.distinct().collect()], run, gram)
-        if block.items:
-            found = _scan_block(docs, block, least_score)
+    for start in range(0, blocks, SCAN_BLOCKS):
+        chosen = []
+        for b in range(start, min(start + SCAN_BLOCKS, blocks)):
+            part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
+            block = ItemBlock([tuple(r) for r in part.distinct().collect()], run, gram)
+            if block.items:
+                chosen.append(block)
+        if chosen:
+            found = _scan(docs, chosen, least_score)
             out = found if out is None else out.unionByName(found)
     if out is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, longest_run int, item_words int, score double, last_word int")

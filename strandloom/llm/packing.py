@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from strandloom.session import materialize, read
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pieces in a packing group, which bounds a packing task.
 GROUP_ROWS = 20_000
+#: Targets that are packed in one job; more take several.
+TARGETS = 100
 # Fixed value: how the tokenizer cuts a text before it merges bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -42,8 +45,12 @@ def encoding(vocabulary: str = VOCABULARY, pattern: str = PATTERN):
 def count_tokens(texts: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """``key, n_tokens`` of whole texts; null and empty texts have 0 tokens."""
 
+    # The file goes to every executor with the job; its folder need not exist there.
+    texts.sparkSession.sparkContext.addFile(vocabulary)
+    shipped = vocabulary.rsplit("/", 1)[-1]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = encoding(vocabulary, pattern)
+        tokenizer = encoding(SparkFiles.get(shipped), pattern)
         for batch in batches:
             sizes = [len(tokenizer.encode_ordinary(t)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32())], ["key", "n_tokens"])
@@ -113,18 +120,23 @@ def _tightest_pair(distinct: list[int], waiting: dict[int, list[int]], room: int
 def pack(counts: DataFrame, targets: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Pieces of texts in containers: ``target_name, container, doc_id, piece_no, n_tokens``.
 
-    ``counts`` has ``doc_id, n_tokens``; ``targets``, a few rows, has ``target_name, capacity_tokens``.
+    ``counts`` has ``doc_id, n_tokens``; ``targets``, a stated list of capacities, has ``target_name, capacity_tokens``.
     A text of more tokens than a target's capacity is cut into full pieces and a rest; no other text
     is cut. Texts of 0 tokens need no room and are left out, as are targets without a positive
     capacity. A text that stands twice is laid twice. Container names hold within a target.
     """
     counts = counts.select("doc_id", "n_tokens").where("n_tokens > 0")
     chosen = targets.select("target_name", "capacity_tokens").where("capacity_tokens > 0").distinct()
-    capacities = [tuple(r) for r in chosen.limit(1001).collect()]
-    if len(capacities) > 1000:
-        raise ValueError("more than 1000 targets; pack them in several calls")
-    if not capacities:
-        return counts.sparkSession.createDataFrame([], "target_name string, container string, doc_id long, piece_no int, n_tokens int")
+    capacities = [tuple(r) for r in chosen.collect()]
+    kind = counts.schema["doc_id"].dataType.simpleString()
+    out = counts.sparkSession.createDataFrame([], f"target_name string, container string, doc_id {kind}, piece_no int, n_tokens int")
+    for start in range(0, len(capacities), TARGETS):
+        out = out.unionByName(_pack_for(counts, capacities[start : start + TARGETS], group_rows))
+    return out
+
+
+def _pack_for(counts: DataFrame, capacities: list[tuple[str, int]], group_rows: int) -> DataFrame:
+    """The pieces of all texts in containers of some targets."""
     sums = counts.agg(*[F.sum(F.ceil(F.col("n_tokens") / c)).alias(f"p{i}") for i, (_, c) in enumerate(capacities)]).first()
     groups = [max(1, -(-int(n or 0) // group_rows)) for n in sums]
     wanted = F.array(*[F.struct(F.lit(t).cast("string").alias("target_name"), F.lit(c).cast("int").alias("capacity"), F.lit(g).alias("groups")) for (t, c), g in zip(capacities, groups)])

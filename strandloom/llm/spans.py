@@ -150,9 +150,11 @@ def _extend_sorted(span: int, k: int, most: int = 100_000):
 def _shared_stretches(texts: DataFrame, span: int, k: int, hot: int) -> DataFrame:
     """``tid, first, last`` (from 0, inclusive): stretches of at least ``span`` letters that another text has too."""
     reach = span - k
-    every = anchors(texts, span, k).repartition("h")
+    every = materialize(anchors(texts, span, k), "span-anchors")
+    # Counted map-side first, so that a seed of very many texts is one row a task and its occurrences can be spread.
     seeds = every.groupBy("h").agg(F.min("tid").alias("a"), F.max("tid").alias("b"), F.count("*").alias("c")).where("a <> b").select("h", "c")
-    hits = materialize(every.join(seeds, "h"), "seed-hits")
+    seeds = materialize(seeds, "span-seeds")
+    hits = materialize(spread_join(every, seeds, "h", "c"), "seed-hits")
     around = hits.join(texts.select("tid", "letters"), "tid").select(
         "h", "c", "tid", "pos", F.substring("letters", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.lit(k + reach) + F.least(F.col("pos"), F.lit(reach))).alias("around")
     )
@@ -166,6 +168,7 @@ def _shared_stretches(texts: DataFrame, span: int, k: int, hot: int) -> DataFram
     many = around.where(F.col("c") > hot).where(F.length("around") >= span).select("tid", (F.col("pos") - left).alias("at"), "around", F.explode(places).alias("j"))
     many = many.select("tid", (F.col("at") + F.col("j")).alias("first"), F.substring("around", F.col("j") + 1, F.lit(span)).alias("stretch"))
     again = many.groupBy("stretch").agg(F.min("tid").alias("a"), F.max("tid").alias("b"), F.count("*").alias("c")).where("a <> b").select("stretch", "c")
+    again = materialize(again, "span-stretches")
     several = spread_join(many, again, "stretch", "c")
     return out.unionByName(several.select("tid", "first", (F.col("first") + span - 1).alias("last")))
 

@@ -71,6 +71,18 @@ def test_empty_table_clashing_columns_and_long_texts(spark):
 
 def test_radix_buckets_fit(spark):
     records, _ = made_up(400)
-    canon = canonical.canonical_records(spark.createDataFrame(records, SCHEMA)).select("digest", "canon", "n", "first_key")
-    buckets = canonical.radix_buckets(canon, 2_000).selectExpr("bucket", "length(canon) as n").groupBy("bucket").sum("n").collect()
-    assert len(buckets) > 5 and max(r[1] for r in buckets) <= 2_500
+    canon = canonical.canonical_records(spark.createDataFrame(records, SCHEMA).repartition(40)).select("digest", "canon", "n", "first_key")
+    whole, parts = canonical.radix_buckets(canon, 600)
+    buckets = [r for df in (whole, parts) for r in df.selectExpr("bucket", "length(canon) as n").groupBy("bucket").sum("n").collect()]
+    assert len(buckets) > 5 and max(r[1] for r in buckets) <= 1_500
+    assert parts.select("digest").distinct().count() <= 5 and whole.unionByName(parts).groupBy().sum("n").first()[0] == 400
+
+
+def test_one_deposit_of_a_third_of_all_rows(spark):
+    records, owner = made_up(900)
+    least = {}
+    for key in sorted(owner):
+        least.setdefault(owner[key], key)
+    df = spark.createDataFrame(records, SCHEMA).repartition(60)
+    counted = {r.keep_key: r.copies for r in canonical.records_once(df, capacity=500).collect()}
+    assert set(counted) == set(least.values()) and sum(counted.values()) == 900 and max(counted.values()) >= 300

@@ -49,3 +49,12 @@ def test_token_counts_of_whole_texts(spark):
     whole = packing.encoding()
     assert got == {i: len(whole.encode_ordinary(t)) if t else 0 for i, t in enumerate(texts)} and got[3] > 19_000
     assert whole.decode(whole.encode_ordinary("Zürich 12 🙂")) == "Zürich 12 🙂"
+
+
+def test_many_targets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "TARGETS", 3)
+    counts = spark.createDataFrame([(i, 1 + i % 9) for i in range(40)], "doc_id long, n_tokens int")
+    targets = spark.createDataFrame([(f"t{c}", c) for c in range(5, 13)], "target_name string, capacity_tokens int")
+    rows = packing.pack(counts, targets).collect()
+    total = sum(1 + i % 9 for i in range(40))
+    assert {t: sum(r.n_tokens for r in rows if r.target_name == t) for t in {r.target_name for r in rows}} == {f"t{c}": total for c in range(5, 13)}
