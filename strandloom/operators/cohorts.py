@@ -5,11 +5,17 @@ Groups may be of any size: what is needed of a group is aggregated, and only agg
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from strandloom.functions.hashing import hash_number
 
+#: Pairs up to which sign flips are counted exactly, and steps of the grid beyond.
+HALVES, GRID = 40, 1 << 18
+
 
 def closest_in_box(df: DataFrame, groups: list[str], key: str, value: str, low: float, high: float, target: float) -> DataFrame:
     """``df`` with ``status``: of each group the row nearest to ``target`` within [low, high] is selected, ties by key.
@@ -47,20 +53,71 @@ def guarded_correlation(x: str, y: str) -> Column:
     return F.when((vx > 1e-9) & (vy > 1e-9), F.try_divide(cov, F.sqrt(F.abs(vx)) * F.sqrt(F.abs(vy))))
 
 
-def sign_flip_p(differences: DataFrame, groups: list[str], most: int = 16) -> DataFrame:
-    """Exact two-sided sign-flip p-values of paired differences: ``groups, pairs, mean_difference, p_value``.
+def rank_agreement(x: str, y: str) -> Column:
+    """Correlation of two columns of ranks in a group; where one is constant, 1 if all are equal and else 0."""
+    return F.when(F.count_if(F.col(x) != F.col(y)) == 0, 1.0).otherwise(F.coalesce(guarded_correlation(x, y), F.lit(0.0)))
+
+
+def sign_flip_p(differences: DataFrame, groups: list[str]) -> DataFrame:
+    """Two-sided sign-flip p-values of paired differences: ``groups, pairs, mean_difference, p_value``.
 
-    A group of n pairs has 2**n flips, each one row of an explode; groups of more than ``most`` pairs get a null p.
-    ``differences`` has ``unit, d``; null differences are left out.
+    ``differences`` has ``unit, d``; null differences are left out. Up to ``HALVES`` pairs all 2**n flips are counted
+    exactly, by sorting the sums of two halves. Beyond that the distribution is that of differences rounded to
+    ``GRID`` steps of their summed size: equal sizes are counted first, of which there can be some 700, and
+    their characteristic function gives the distribution, so a group of any size stays small in its task.
     """
     held = differences.where("d is not null")
-    order = F.row_number().over(Window.partitionBy(*groups).orderBy("unit")) - 1
-    numbered = held.withColumn("bit", order)
-    facts = held.groupBy(*groups).agg(F.count("*").alias("pairs"), F.avg("d").alias("mean_difference"))
-    flips = facts.where(F.col("pairs") <= most).select(*groups, "pairs", "mean_difference", F.explode(F.expr("sequence(0L, shiftleft(1L, cast(pairs as int)) - 1)")).alias("flip"))
-    sums = flips.join(numbered, groups).groupBy(*groups, "flip", "pairs", "mean_difference").agg((F.sum(F.when(F.expr("shiftright(flip, bit) & 1 = 1"), -F.col("d")).otherwise(F.col("d"))) / F.col("pairs")).alias("m"))
-    p = sums.groupBy(*groups).agg(F.avg((F.abs("m") >= F.abs("mean_difference") - 1e-12).cast("double")).alias("p_value"))
-    return facts.join(p, groups, "left")
+    facts = held.groupBy(*groups).agg(F.count("*").alias("pairs"), F.avg("d").alias("mean_difference"), F.sum(F.abs("d")).alias("_size"))
+    keys = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]
+    named = facts.select(*[F.col(g).alias(f"_{g}") for g in groups], "pairs", "_size")
+    placed = held.join(named, keys)
+    few = placed.where(F.col("pairs") <= HALVES).groupBy(*groups).agg(F.collect_list("d").alias("_d")).select(*groups, _flips_by_halves("_d").alias("p_value"))
+    # Signed steps; a total of 0 makes every flip as extreme.
+    step = F.when(F.col("_size") > 0, F.round(F.abs("d") / F.col("_size") * GRID)).otherwise(0).cast("long")
+    many = placed.where(F.col("pairs") > HALVES).withColumn("_step", step).groupBy(*groups, "_step").agg(F.count("*").alias("_c"), F.sum(F.signum("d") * F.col("_step")).alias("_t"))
+    far = many.groupBy(*groups).agg(F.collect_list("_step").alias("_steps"), F.collect_list("_c").alias("_counts"), F.sum("_t").alias("_sum")).select(*groups, _flips_on_a_grid("_steps", "_counts", "_sum").alias("p_value"))
+    p = few.unionByName(far).select(*[F.col(g).alias(f"_{g}") for g in groups], "p_value")
+    return facts.join(p, keys, "left").select(*groups, "pairs", "mean_difference", "p_value")
+
+
+@F.pandas_udf(DoubleType())
+def _flips_by_halves(lists: pd.Series) -> pd.Series:
+    """The part of all sign flips whose sum is as far from 0 as the plain sum."""
+
+    def sums(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(1)
+        for v in values:
+            out = np.concatenate([out + v, out - v])
+        return np.sort(out)
+
+    def p(values: list[float]) -> float:
+        d = np.sort(np.asarray(values, float))
+        left, right, reach = sums(d[::2]), sums(d[1::2]), abs(d.sum()) - 1e-12 * len(d)
+        if reach <= 0:
+            return 1.0
+        near = np.searchsorted(right, reach - left, side="left") - np.searchsorted(right, -reach - left, side="right")
+        return float(1 - near.sum() / (len(left) * len(right)))
+
+    return lists.map(p)
+
+
+@F.pandas_udf(DoubleType())
+def _flips_on_a_grid(steps: pd.Series, counts: pd.Series, sums: pd.Series) -> pd.Series:
+    """The same for whole steps, each with its count."""
+
+    def p(step: np.ndarray, count: np.ndarray, total: float) -> float:
+        step, count = np.asarray(step, np.int64), np.asarray(count, np.int64)
+        size = 1 << int(2 * int((step * count).sum()) + 2).bit_length()
+        turn = 2 * np.pi * np.arange(size // 2 + 1) / size
+        wave = np.ones(len(turn))
+        for s, c in zip(step.tolist(), count.tolist()):
+            wave *= np.cos(turn * s) ** c
+        chance = np.fft.irfft(wave, size)
+        at = np.arange(size)
+        at = np.minimum(at, size - at)
+        return float(min(max(chance[at >= abs(int(round(total)))].sum(), 0.0), 1.0))
+
+    return pd.Series([p(*x) for x in zip(steps, counts, sums)], dtype=float)
 
 
 def benjamini_hochberg(tests: DataFrame, p: str, out: str) -> DataFrame:
@@ -93,11 +150,13 @@ def state_aggregates(scores: DataFrame, weights: DataFrame) -> DataFrame:
     ``scores`` has ``id, state, score``, ``weights`` has ``state, weight``; weights are normalised to 1. Ids that
     lack a state are left out.
     """
-    whole = weights.agg(F.sum("weight").alias("_s"), F.count("*").alias("_states"))
-    share = weights.crossJoin(F.broadcast(whole)).select("state", (F.col("weight") / F.col("_s")).alias("w"), "_states")
+    whole = Window.partitionBy()
+    share = weights.select("state", (F.col("weight") / F.sum("weight").over(whole)).alias("w"), F.count("*").over(whole).alias("_states"))
     joined = scores.join(share, "state")
-    per = joined.groupBy("id").agg(F.sum(F.col("w") * F.col("score")).alias("weighted_mean"), F.min("score").alias("least"), F.sum(F.col("w") * F.col("score") * F.col("score")).alias("_q"), F.count("*").alias("_n"), F.max("_states").alias("_states"))
-    return per.where("_n = _states").select("id", "weighted_mean", "least", F.greatest(F.col("_q") - F.col("weighted_mean") * F.col("weighted_mean"), F.lit(0.0)).alias("variance"))
+    # An id has one score a state, so its list is as short as the table of weights.
+    per = joined.groupBy("id").agg(F.sum(F.col("w") * F.col("score")).alias("weighted_mean"), F.min("score").alias("least"), F.collect_list(F.struct("w", "score")).alias("_l"), F.count("*").alias("_n"), F.max("_states").alias("_states"))
+    spread = F.aggregate("_l", F.lit(0.0), lambda t, x: t + x["w"] * (x["score"] - F.col("weighted_mean")) * (x["score"] - F.col("weighted_mean")))
+    return per.where("_n = _states").select("id", "weighted_mean", "least", spread.alias("variance"))
 
 
 def mask_kinds(members: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 HABITAT_DELIMITERS = r",;|/\t\n\r"
 LIST_DELIMITERS = r",;|/&+\s\"'\[\]"
 
-_MARK, _TWIN = "\u0001", "\u0002"
+_MARK, _TWIN, _ESCAPE = "\u0001", "\u0002", "\u0003"
 
 
 def split_unquoted(text: Column, delimiters: str = LIST_DELIMITERS) -> Column:
@@ -29,7 +29,10 @@ def split_quoted(text: Column, delimiters: str = HABITAT_DELIMITERS) -> Column:
     is split on the marks, odd pieces stay whole and even pieces are split on the delimiters. A quote
     that never closes is a letter like any other at a value's edge and is trimmed off there.
     """
-    bare = F.translate(F.coalesce(text, F.lit("")), _MARK + _TWIN, "")
+    bare = F.coalesce(text, F.lit(""))
+    # Marks that stand in the text itself are written as an escape and a letter until the values are out.
+    for mark, letter in ((_ESCAPE, "c"), (_MARK, "a"), (_TWIN, "b")):
+        bare = F.replace(bare, F.lit(mark), F.lit(_ESCAPE + letter))
     bare = F.regexp_replace(bare, r"^\s*\[|\]\s*$", "")
     opening = rf"(?:^|(?<=[{delimiters}]))\s*+"
     double = r'"([^"]*+(?:""[^"]*+)*+)"'
@@ -45,7 +48,12 @@ def split_quoted(text: Column, delimiters: str = HABITAT_DELIMITERS) -> Column:
         plain = F.transform(F.split(piece, f"[{delimiters}]"), lambda x: F.regexp_replace(x, r"^[\s\[\]\"']+|[\s\[\]\"']+$", ""))
         return F.when(i % 2 == 1, F.array(literal(piece))).otherwise(plain)
 
-    return F.filter(F.flatten(F.transform(pieces, values)), lambda x: x != "")
+    def restored(value: Column) -> Column:
+        for mark, letter in ((_MARK, "a"), (_TWIN, "b"), (_ESCAPE, "c")):
+            value = F.replace(value, F.lit(_ESCAPE + letter), F.lit(mark))
+        return value
+
+    return F.transform(F.filter(F.flatten(F.transform(pieces, values)), lambda x: x != ""), restored)
 
 
 def unpack(df: DataFrame, source_table: str, row_key: str, values: Column) -> DataFrame:

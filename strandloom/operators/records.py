@@ -191,8 +191,8 @@ def pair_repeats(effectors: DataFrame, arrays: DataFrame) -> DataFrame:
 def exact_unique(records: DataFrame) -> DataFrame:
     """One row per sequence hash: representative (least operon), counts, extremes and the sets of flags and subtypes.
 
-    Null hashes are left out. NaN scores count as missing. The members of a hash, which may be a third of
-    all rows, are not gathered here; they are the rows themselves.
+    Null hashes are left out. NaN scores count as missing. The operons of a hash, which may be a third of
+    all rows, are not gathered here; ``hash_operons`` links them, one row each.
     """
     clean = records.where("sequence_sha256 is not null").withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("evalue", "score")})
     return clean.groupBy("sequence_sha256").agg(
@@ -205,3 +205,8 @@ def exact_unique(records: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("truncated")).alias("truncated_flags"),
         F.array_sort(F.collect_set("subtype")).alias("subtypes"),
     )
+
+
+def hash_operons(records: DataFrame) -> DataFrame:
+    """``sequence_sha256, operon_id, records``: the operons of each hash, one row a link; null ids and hashes link nothing."""
+    return records.where("sequence_sha256 is not null and operon_id is not null").groupBy("sequence_sha256", "operon_id").agg(F.count("*").alias("records"))

@@ -206,7 +206,8 @@ def place_classes(spark, directory):
 @query(
     _C
     + f"""
-, o AS (SELECT scaffold_id || '/' || seed AS pair_id, min(candidate_id) FILTER (method = 'mpnn_plain') AS a, min(candidate_id) FILTER (method = 'mpnn_ligand') AS b FROM c JOIN (SELECT scaffold_id, max(p) AS parent FROM c GROUP BY 1) USING (scaffold_id) WHERE length(s) = length(parent) AND seed IS NOT NULL GROUP BY 1)
+, nb AS (SELECT scaffold_id || '/' || seed AS pair, method, candidate_id, row_number() OVER (PARTITION BY scaffold_id, seed, method ORDER BY candidate_id) AS k FROM c JOIN (SELECT scaffold_id, max(p) AS parent FROM c GROUP BY 1) USING (scaffold_id) WHERE length(s) = length(parent) AND seed IS NOT NULL AND method IN ('mpnn_plain', 'mpnn_ligand'))
+, o AS (SELECT CASE WHEN k = 1 THEN pair ELSE pair || '#' || k END AS pair_id, min(candidate_id) FILTER (method = 'mpnn_plain') AS a, min(candidate_id) FILTER (method = 'mpnn_ligand') AS b FROM nb GROUP BY 1)
 , pr AS (SELECT pair_id, parent, x.s AS f, y.s AS g FROM o JOIN c x ON x.candidate_id = a JOIN c y ON y.candidate_id = b JOIN (SELECT scaffold_id, max(p) AS parent FROM c GROUP BY 1) q ON q.scaffold_id = x.scaffold_id)
 , z AS (SELECT pair_id, length(parent) AS n, i, parent[i] AS p, f[i] AS a, g[i] AS b, CAST({_HASH.format("'first:' || pair_id || ':' || i")} % 1000 AS INTEGER) AS ca, CAST({_HASH.format("'second:' || pair_id || ':' || i")} % 1000 AS INTEGER) AS cb FROM (SELECT *, unnest(range(1, length(parent) + 1)) AS i FROM pr))
 , t AS (SELECT *, CASE WHEN a = b THEN a WHEN a = p THEN b WHEN b = p THEN a WHEN ca >= cb THEN a ELSE b END AS token, CASE WHEN a <> b AND a = p THEN ca - cb WHEN a <> b AND b = p THEN cb - ca END AS gain FROM z)
@@ -258,15 +259,15 @@ def state_scores(spark, directory):
     _E
     + """
 , k AS (SELECT id, state, rank() OVER (PARTITION BY state ORDER BY round(score, 9)) + (count(*) OVER (PARTITION BY state, round(score, 9)) - 1) / 2 AS r FROM u)
-SELECT a.state AS left_state, b.state AS right_state, count(*) AS users, round(corr(a.r, b.r), 6) AS rank_correlation FROM k a JOIN k b ON a.id = b.id AND a.state < b.state GROUP BY ALL
+SELECT a.state AS left_state, b.state AS right_state, count(*) AS users, round(CASE WHEN count(*) FILTER (a.r <> b.r) = 0 THEN 1.0 ELSE coalesce(corr(a.r, b.r), 0.0) END, 6) AS rank_correlation FROM k a JOIN k b ON a.id = b.id AND a.state < b.state GROUP BY ALL
 """
 )
 def state_rank_agreement(spark, directory):
-    """Rank correlation of users between each two event types."""
+    """Rank correlation of users between each two event types; where one is constant, 1 for equal ranks and else 0."""
     scores, _ = _states(spark, directory)
     ranked = C.average_ranks(scores.withColumn("score", F.round("score", 9)), ["state"], "score", "r")
     pairs = ranked.select("id", F.col("state").alias("left_state"), F.col("r").alias("x")).join(ranked.select("id", F.col("state").alias("right_state"), F.col("r").alias("y")), "id").where("left_state < right_state")
-    return pairs.groupBy("left_state", "right_state").agg(F.count("*").alias("users"), F.round(C.guarded_correlation("x", "y"), 6).alias("rank_correlation"))
+    return pairs.groupBy("left_state", "right_state").agg(F.count("*").alias("users"), F.round(C.rank_agreement("x", "y"), 6).alias("rank_correlation"))
 
 
 @query(

@@ -60,8 +60,8 @@ def cluster_table_exchange(spark, directory):
 @query(
     """
 SELECT query, target, fident FROM (
-  SELECT operon_id AS query, sequence_sha256 AS target, round(score / 10000, 6) AS fident, row_number() OVER (PARTITION BY operon_id ORDER BY round(score / 10000, 6) DESC) AS k FROM cas_effectors
-  WHERE operon_id IS NOT NULL AND sequence_sha256 IS NOT NULL AND score BETWEEN 0 AND 10000 QUALIFY k = 1 AND count(*) OVER (PARTITION BY operon_id, round(score / 10000, 6)) = 1)
+  SELECT operon_id AS query, sequence_sha256 AS target, round(score / 10000, 6) AS fident, row_number() OVER (PARTITION BY operon_id ORDER BY round(score / 10000, 6) DESC, sequence_sha256) AS k FROM cas_effectors
+  WHERE operon_id IS NOT NULL AND sequence_sha256 IS NOT NULL AND score BETWEEN 0 AND 10000 QUALIFY k = 1)
 """
 )
 def hit_table_exchange(spark, directory):

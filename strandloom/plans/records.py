@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from strandloom.functions import hashing
 from strandloom.functions import sequence as S
 from strandloom.operators import records as R
+from strandloom.operators.skew import spread_join
 from strandloom.plans.catalog import Catalog
-from strandloom.session import read
+from strandloom.session import materialize, read
 
 catalog = Catalog()
 query = catalog.query
@@ -200,6 +201,12 @@ def exact_unique(spark, directory):
     return R.exact_unique(read(spark, directory, "cas13_records"))
 
 
+@query("SELECT sequence_sha256, operon_id, count(*) AS records FROM cas13_records WHERE sequence_sha256 IS NOT NULL AND operon_id IS NOT NULL GROUP BY ALL")
+def hash_operons(spark, directory):
+    """Every operon that a sequence hash stands in: the link table beside ``exact_unique``, one row a link."""
+    return R.hash_operons(read(spark, directory, "cas13_records"))
+
+
 @query("SELECT count(*) AS records, count(DISTINCT sequence_sha256) AS hashes, count(DISTINCT CASE WHEN NOT subtype_conflict AND truncated = '00' THEN sequence_sha256 END) AS complete_hashes FROM cas13_records")
 def complete_hash_count(spark, directory):
     """Distinct sequence hashes, and those of complete records without conflict."""
@@ -302,11 +309,13 @@ FROM cas_effectors e LEFT JOIN o ON o.operon_id = e.operon_id GROUP BY ALL
 def effector_mapping(spark, directory):
     """Effectors mapped to their operon's biome, with the reason where that fails.
 
-    Effectors are aggregated per operon first, so the bin that holds a tenth of them joins as few rows.
+    Only the different ids of effectors meet the operons; the effectors take their operon's biome back by a join that
+    salts the bin that holds a tenth of them.
     """
     biomes = read(spark, directory, "atlas_operons").groupBy("operon_id").agg(F.max("biome").alias("biome"), F.lit(1).alias("known"))
-    per = read(spark, directory, "cas_effectors").groupBy("operon_id", "sequence_sha256").agg(F.count("*").alias("n"))
-    joined = per.join(biomes, "operon_id", "left").withColumn("status", F.when(F.col("known").isNull(), "missing_operon").when(F.col("biome").isNull(), "no_biome").otherwise("mapped"))
+    per = read(spark, directory, "cas_effectors").select(F.coalesce("operon_id", F.lit("")).alias("operon_id"), "sequence_sha256").groupBy("operon_id", "sequence_sha256").agg(F.count("*").alias("n"))
+    ids = materialize(per.groupBy("operon_id").agg(F.count("*").alias("rows")).join(biomes, "operon_id", "left"), "effector-biomes")
+    joined = spread_join(per, ids, "operon_id", "rows").withColumn("status", F.when(F.col("known").isNull(), "missing_operon").when(F.col("biome").isNull(), "no_biome").otherwise("mapped"))
     return joined.groupBy("biome", "status").agg(F.sum("n").alias("effectors"), F.count_distinct("sequence_sha256").alias("hashes"))
 
 
@@ -332,13 +341,13 @@ def repeats_both_ways(spark, directory):
 @query(
     """
 SELECT operon_id, hmm_name, score, evalue, gene_name FROM (
-  SELECT operon_id, hmm_name, score, evalue, gene_name, row_number() OVER (PARTITION BY operon_id ORDER BY score DESC, evalue ASC, hmm_name DESC, gene_name DESC) AS k
-  FROM cas_effectors WHERE operon_id IS NOT NULL AND score IS NOT NULL AND evalue IS NOT NULL AND NOT isnan(score) AND NOT isnan(evalue) AND hmm_name IS NOT NULL AND gene_name IS NOT NULL) WHERE k = 1
+  SELECT operon_id, hmm_name, score, evalue, gene_name, row_number() OVER (PARTITION BY operon_id ORDER BY score DESC, evalue ASC, hmm_name DESC NULLS LAST, gene_name DESC NULLS LAST) AS k
+  FROM cas_effectors WHERE operon_id IS NOT NULL AND score IS NOT NULL AND evalue IS NOT NULL AND NOT isnan(score) AND NOT isnan(evalue)) WHERE k = 1
 """
 )
 def best_effector(spark, directory):
-    """The best scored effector of each operon: by score, then e-value, then names; aggregated map-side first."""
-    good = read(spark, directory, "cas_effectors").where("operon_id is not null and score is not null and evalue is not null and not isnan(score) and not isnan(evalue) and hmm_name is not null and gene_name is not null")
+    """The best scored effector of each operon: by score, then e-value, then names, null ones last; aggregated map-side first."""
+    good = read(spark, directory, "cas_effectors").where("operon_id is not null and score is not null and evalue is not null and not isnan(score) and not isnan(evalue)")
     best = good.groupBy("operon_id").agg(F.max(F.struct("score", (-F.col("evalue")).alias("e"), "hmm_name", "gene_name")).alias("b"))
     return best.select("operon_id", "b.hmm_name", "b.score", (-F.col("b.e")).alias("evalue"), "b.gene_name")
 

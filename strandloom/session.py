@@ -19,10 +19,13 @@ def read(spark: SparkSession, directory: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a fresh temporary folder is set.
+    Only a session on one machine (local tests) may name none; there a fresh temporary folder is set. On a
+    cluster executors could not read each other's folders, so that fails.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(named)
     return named

@@ -62,3 +62,34 @@ def test_every_design_with_a_counterpart_is_merged(spark, tmp_path):
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "candidates.parquet"))
     found = {r.pair_id: (r.agreement, r.sequence.replace("A", "")) for r in plans.design_consensus(spark, str(tmp_path)).collect()}
     assert {k: (a, set(s)) for k, (a, s) in found.items()} == {"s/1": (1.0, {"C"}), "s/1#2": (1.0, {"D"})}
+
+
+def flips(d):
+    from itertools import product
+
+    return sum(abs(sum(s * x for s, x in zip(signs, d))) >= abs(sum(d)) - 1e-12 for signs in product((1, -1), repeat=len(d))) / 2 ** len(d)
+
+
+def test_sign_flips_of_many_pairs(spark, monkeypatch):
+    import math
+    import random
+
+    rng = random.Random(1)
+    d = {"a": [rng.gauss(0.4, 1) for _ in range(17)], "b": [rng.gauss(0, 1) for _ in range(6)], "c": [1.0] * 60, "zero": [0.0] * 50, None: [1.0, 2.0]}
+    df = spark.createDataFrame([(g, i, x) for g, v in d.items() for i, x in enumerate(v)], "g string, unit int, d double")
+    out = {r.g: r for r in C.sign_flip_p(df, ["g"]).collect()}
+    assert out["a"].p_value == pytest.approx(flips(d["a"]), abs=1e-9) and out["b"].p_value == pytest.approx(flips(d["b"])) and out[None].p_value == 0.5
+    assert out["c"].pairs == 60 and out["c"].p_value == pytest.approx(2 / 2**60, abs=1e-12) and out["zero"].p_value == 1
+    ten = [1.0] * 40 + [-1.0] * 20
+    (r,) = C.sign_flip_p(spark.createDataFrame([("k", i, x) for i, x in enumerate(ten)], "g string, unit int, d double"), ["g"]).collect()
+    wanted = sum(math.comb(60, k) for k in range(61) if abs(60 - 2 * k) >= 20) / 2**60
+    assert r.p_value == pytest.approx(wanted, abs=1e-6)
+    monkeypatch.setattr(C, "HALVES", 3)
+    grid = {r.g: r for r in C.sign_flip_p(df, ["g"]).collect()}
+    assert grid["a"].p_value == pytest.approx(flips(d["a"]), abs=1e-3)
+
+
+def test_rank_agreement_of_constant_states(spark):
+    df = spark.createDataFrame([("same", 1.0, 1.0), ("same", 1.0, 1.0), ("flat", 1.0, 0.0), ("flat", 1.0, 2.0), ("back", 0.0, 1.0), ("back", 1.0, 0.0)], "g string, x double, y double")
+    out = {r.g: r.c for r in df.groupBy("g").agg(C.rank_agreement("x", "y").alias("c")).collect()}
+    assert out == {"same": 1.0, "flat": 0.0, "back": pytest.approx(-1.0)}

@@ -54,3 +54,11 @@ def test_rows_keep_order_and_long_texts_stay_whole(spark):
     quoted = "'" + "x;" * 50_000 + "'"
     assert values(spark, packed.split_quoted, [quoted]) == [["x;" * 50_000]]
     assert packed.unpack(df.limit(0), "t", "key", packed.split_unquoted(F.col("t"))).count() == 0
+
+
+def test_control_characters_are_kept(spark):
+    from strandloom.operators.packed import split_quoted
+
+    texts = ["a\u0001b; c\u0002", "'x\u0001;y', \u0003a", '"p""\u0002q", \u0003\u0001']
+    out = [r.v for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", split_quoted(F.col("t")).alias("v")).orderBy("i").collect()]
+    assert out == [["a\u0001b", "c\u0002"], ["x\u0001;y", "\u0003a"], ['p"\u0002q', "\u0003\u0001"]]
