@@ -3,7 +3,9 @@
 Every record's JSON text is walked depth first. Each list element gets an interval label: ``pre`` when
 it is entered, ``post`` when it is left, both from one clock, and ``level``, the number of enclosing
 objects. A node lies inside another exactly if its interval does, so all links between the flat
-tables are found by interval containment and none needs the JSON again.
+tables are found by interval containment and none needs the JSON again. A record's nodes are whole in
+their task, so parents come from the labels in the same Arrow batch, without a shuffle. ``node_table``
+gives the flat table of one type with typed columns.
 """
 
 from __future__ import annotations
@@ -34,7 +36,24 @@ NAMED_LISTS = frozenset(
     }
 )
 
-NODE_SCHEMA = "source_table string, row_key string, operon_id string, node_type string, kind string, node_path string, level int, pre long, post long, value string"
+NODE_SCHEMA = "record long, source_table string, row_key string, operon_id string, node_type string, kind string, node_path string, level int, pre long, post long, value string, parent_pre long, parent_path string"
+
+# Fields of the objects of each type, with their kinds; other fields stay in ``value``.
+NODE_FIELDS = {
+    "samples": "sample_id string, depth_m double",
+    "runs": "run_id string, platform string",
+    "files": "name string, bytes long",
+    "attributes": "tag string, value string",
+    "contigs": "contig_id string, length long",
+    "features": "kind string, at array<long>",
+    "sites": "site string, grade int",
+    "cas": "gene_name string, hmm_name string, evalue double, score double, truncated string, length long",
+    "crispr": "crispr_repeat string, orientation string, orientation_source string",
+    "crispr_spacers": "seq string, pos long",
+    "domains": "name string, from long, to long",
+    "hits": "target string, identity double",
+    "segments": "from long, to long",
+}
 
 
 def _no_constant(name: str) -> None:
@@ -91,9 +110,27 @@ def number_nodes(root, root_name: str = "record", named: frozenset[str] = NAMED_
     return nodes
 
 
+def holders(pre: tuple, post: tuple, level: tuple, kind: tuple) -> list[int]:
+    """For each node the number of the innermost node whose interval holds its own, -1 for the record.
+
+    Nodes stand in order of ``pre``. Those of one level never overlap, so of all one level up only the last that
+    started can hold a node, and does if it ends later.
+    """
+    last: list[int] = []
+    out = []
+    for i in range(len(pre)):
+        up = level[i] - 1
+        out.append(last[up] if up >= 0 and post[last[up]] > post[i] else -1)
+        if kind[i] != "scalar":
+            del last[level[i] :]
+            last.append(i)
+    return out
+
+
 def _own_fields(value) -> str | None:
+    """An object without its child lists and objects, lists of plain numbers kept; other values as they are."""
     if isinstance(value, dict):
-        value = {k: v for k, v in value.items() if not isinstance(v, (dict, list))}
+        value = {k: v for k, v in value.items() if not isinstance(v, dict) and not (isinstance(v, list) and (k in NAMED_LISTS or any(isinstance(x, (dict, list)) for x in v)))}
     return None if value is None else json.dumps(value, ensure_ascii=False)
 
 
@@ -106,12 +143,13 @@ def label_nodes(
     alone. With ``root_is_list`` a bare object at the top counts as element 0. Only the named
     columns are read, so further columns, also with clashing names, do no harm.
     """
-    picked = df.select(F.col(row_key).cast("string").alias("k"), F.col(operon_id).cast("string").alias("o"), F.col(json_col).alias("j"))
+    # Rows that share a key, or have none, are told apart by their text.
+    picked = df.select(F.col(row_key).cast("string").alias("k"), F.col(operon_id).cast("string").alias("o"), F.col(json_col).alias("j"), F.xxhash64(F.col(row_key).cast("string"), F.col(json_col)).alias("r"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(10)]
-            for key, operon, text in zip(*(c.to_pylist() for c in batch.columns)):
+            out: list[list] = [[] for _ in range(13)]
+            for key, operon, text, record in zip(*(c.to_pylist() for c in batch.columns)):
                 try:
                     root = parse_strict(text)
                 except ValueError:
@@ -121,11 +159,14 @@ def label_nodes(
                 nodes = number_nodes(root, root_name, named, root_is_list)
                 n = len(nodes)
                 pre, post, level, name, kind, path, value = zip(*nodes)
-                for column, values in zip(out, ([source_table] * n, [key] * n, [operon] * n, name, kind, path, level, pre, post, map(_own_fields, value) if with_values else [None] * n)):
+                held = holders(pre, post, level, kind)
+                told = map(_own_fields, value) if with_values else [None] * n
+                up_pre, up_path = ([None if h < 0 else x[h] for h in held] for x in (pre, path))
+                for column, values in zip(out, ([record] * n, [source_table] * n, [key] * n, [operon] * n, name, kind, path, level, pre, post, told, up_pre, up_path)):
                     column.extend(values)
                 if len(out[0]) > 50_000:
                     yield _batch(out)
-                    out = [[] for _ in range(10)]
+                    out = [[] for _ in range(13)]
             if out[0]:
                 yield _batch(out)
 
@@ -133,8 +174,8 @@ def label_nodes(
 
 
 def _batch(columns: list[list]) -> pa.RecordBatch:
-    kinds = [pa.string()] * 6 + [pa.int32(), pa.int64(), pa.int64(), pa.string()]
-    names = ["source_table", "row_key", "operon_id", "node_type", "kind", "node_path", "level", "pre", "post", "value"]
+    kinds = [pa.int64()] + [pa.string()] * 6 + [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+    names = ["record", "source_table", "row_key", "operon_id", "node_type", "kind", "node_path", "level", "pre", "post", "value", "parent_pre", "parent_path"]
 
     def column(values: list, kind: pa.DataType) -> pa.Array:
         try:
@@ -145,41 +186,27 @@ def _batch(columns: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([column(v, k) for v, k in zip(columns, kinds)], names)
 
 
-def link_parents(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with ``parent_pre`` and ``parent_path``: the innermost node whose interval holds theirs.
+def node_table(nodes: DataFrame, node_type: str, fields: str | None = None) -> DataFrame:
+    """The flat table of one node type: keys of the record, ``operon_id``, path, interval, parent, and typed ``fields``.
 
-    Nodes of one level never overlap, so of all nodes one level up only the last that starts before
-    a node can hold it. One sort by start finds it; no pair of nodes is built. A group is what one
-    record's single text holds. Record rows get null parents.
+    Fields that are missing, null or of another kind are null. Plain texts in a list have their text in ``text``.
     """
-    role = F.explode(
-        F.filter(
-            F.array(
-                F.when((F.col("kind") != "scalar"), F.struct(F.col("level").alias("at"), F.lit(0).alias("child"))),
-                F.when(F.col("level") > 0, F.struct((F.col("level") - 1).alias("at"), F.lit(1).alias("child"))),
-            ),
-            lambda x: x.isNotNull(),
-        )
-    )
-    events = nodes.withColumn("_e", role)
-    before = Window.partitionBy("source_table", "row_key", "_e.at").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
-    opened = F.last(F.when(F.col("_e.child") == 0, F.struct("pre", "post", "node_path")), ignorenulls=True).over(before)
-    return (
-        events.withColumn("_p", opened)
-        .where((F.col("_e.child") == 1) | (F.col("level") == 0))
-        .withColumn("_p", F.when(F.col("_p.post") > F.col("post"), F.col("_p")))
-        .select(*nodes.columns, F.col("_p.pre").alias("parent_pre"), F.col("_p.node_path").alias("parent_path"))
-    )
+    kinds = fields or NODE_FIELDS[node_type]
+    v = F.when(F.col("kind") == "object", F.try_parse_json("value"))
+    typed = [F.try_variant_get(v, f"$.{name}", kind).alias(name) for name, kind in (f.strip().split(" ", 1) for f in kinds.split(", "))]
+    text = F.when(F.col("kind") == "scalar", F.try_variant_get(F.try_parse_json("value"), "$", "string")).alias("text")
+    keys = ["source_table", "row_key", "operon_id", "node_path", "pre", "post", "parent_pre", "parent_path"]
+    return nodes.where((F.col("node_type") == node_type) & (F.col("level") > 0)).select(*keys, *typed, text)
 
 
 def descendants_of(nodes: DataFrame, ancestor_type: str, node_type: str) -> DataFrame:
     """Nodes of ``node_type`` with the ``ancestor_type`` node whose interval holds theirs, at any distance.
 
     Types here do not nest in themselves, so the last ancestor that starts before a node is the only
-    one that can hold it. Nodes without such an ancestor fall out.
+    one that can hold it. Nodes without such an ancestor fall out. A group is what one record's text holds.
     """
     both = nodes.where(F.col("node_type").isin(ancestor_type, node_type) & (F.col("kind") != "scalar"))
-    before = Window.partitionBy("source_table", "row_key").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("source_table", "row_key", "record").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
     opened = F.last(F.when(F.col("node_type") == ancestor_type, F.struct("pre", "post", "node_path")), ignorenulls=True).over(before)
     return (
         both.withColumn("_a", opened)

@@ -9,14 +9,21 @@ from strandloom.operators import nested, packed
 
 def p1_found(spark, directory):
     """Every JSON object that is a list element, with its place and the closest enclosing one."""
-    nodes = nested.atlas_nodes(spark, directory, with_values=False).where("kind <> 'scalar'")
-    linked = nested.link_parents(nodes.select("source_table", "row_key", "kind", "node_path", "level", "pre", "post"))
-    return linked.where("level > 0").select("source_table", "row_key", "node_path", "parent_path")
+    nodes = nested.atlas_nodes(spark, directory, with_values=False)
+    return nodes.where("kind <> 'scalar' and level > 0").select("source_table", "row_key", "node_path", "parent_path")
 
 
 def p1_nodes(spark, directory):
     """All nodes, texts in lists included, with interval labels, values, parents and operon."""
-    return nested.link_parents(nested.atlas_nodes(spark, directory))
+    return nested.atlas_nodes(spark, directory)
+
+
+def _table_of(node_type):
+    def query(spark, directory):
+        return nested.node_table(nested.atlas_nodes(spark, directory), node_type)
+
+    query.__name__, query.__doc__ = f"p1_{node_type}", f"The flat table of all {node_type}, with typed fields and links."
+    return query
 
 
 def p1_files_in_samples(spark, directory):
@@ -70,8 +77,60 @@ WITH texts AS (
   FROM cleaned WHERE item <> '')
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_nodes, p1_files_in_samples, p1_type_counts, p3_found, p3_item_counts)}
+# A recursive walk over all values, in document order by the places on the way to them; child lists may stand as JSON text
+# in a string or as a bare object. A node of order r at level l starts at 2 r - l and ends after all that lies in it.
+_P1_NODES = """
+WITH RECURSIVE texts AS (
+  SELECT 'operon_raw' AS source_table, CAST(record_index AS VARCHAR) AS row_key, trim(json_extract_string(raw_json, '$.operon_id')) AS operon_id, '' AS name, CAST(raw_json AS JSON) AS v FROM operon_raw WHERE json_valid(raw_json)
+  UNION ALL SELECT 'cas13_records', record_key, operon_id, '', CAST(metadata_json AS JSON) FROM cas13_records WHERE json_valid(metadata_json)
+  UNION ALL SELECT 'crispr_arrays', coalesce(operon_id, '') || '#' || array_index, operon_id, 'crispr_spacers', CAST(CASE json_type(spacers_json) WHEN 'OBJECT' THEN '[' || spacers_json || ']' ELSE spacers_json END AS JSON)
+    FROM (SELECT operon_id, array_index, any_value(spacers_json) AS spacers_json FROM crispr_arrays GROUP BY 1, 2) WHERE json_valid(spacers_json)
+), walk AS (
+  SELECT source_table, row_key, operon_id, name, v, '$' AS path, CAST([] AS VARCHAR[]) AS held, CAST([] AS BIGINT[]) AS place, false AS element FROM texts
+  UNION ALL
+  SELECT source_table, row_key, operon_id, name, CASE WHEN named AND json_type(x) = 'VARCHAR' AND json_valid(x ->> '$') THEN CASE json_type(x ->> '$') WHEN 'OBJECT' THEN CAST('[' || (x ->> '$') || ']' AS JSON) ELSE CAST(x ->> '$' AS JSON) END
+      WHEN named AND json_type(x) = 'OBJECT' THEN CAST('[' || x || ']' AS JSON) ELSE x END, path, held, place, element
+  FROM (
+    SELECT source_table, row_key, operon_id, CASE WHEN k IS NULL THEN name ELSE k END AS name, coalesce(k IN ('samples', 'runs', 'files', 'attributes', 'contigs', 'features', 'sites', 'cas', 'crispr', 'crispr_spacers', 'domains', 'hits', 'segments'), false) AS named,
+      CASE WHEN k IS NULL THEN json_extract(v, '$[' || i || ']') ELSE json_extract(v, '$."' || k || '"') END AS x, CASE WHEN k IS NULL THEN path || '[' || i || ']' ELSE path || '.' || k END AS path,
+      CASE WHEN element AND json_type(v) <> 'ARRAY' THEN list_append(held, path) ELSE held END AS held, list_append(place, i) AS place, k IS NULL AS element
+    FROM (
+      SELECT *, unnest(range(CAST(json_array_length(v) AS BIGINT))) AS i, CAST(NULL AS VARCHAR) AS k FROM walk WHERE json_type(v) = 'ARRAY'
+      UNION ALL SELECT *, unnest(range(len(json_keys(v)))), unnest(json_keys(v)) FROM walk WHERE json_type(v) = 'OBJECT'
+    )
+  )
+), nodes AS (
+  SELECT *, coalesce(held[-1], '$') AS parent_path, len(held) + 1 AS level, row_number() OVER (PARTITION BY source_table, row_key ORDER BY place) AS r FROM walk WHERE element AND json_type(v) <> 'ARRAY'
+), inside AS (SELECT source_table, row_key, h AS path, count(*) AS n FROM (SELECT source_table, row_key, unnest(held) AS h FROM nodes) GROUP BY ALL
+), spans AS (SELECT *, 2 * r - level AS pre, 2 * r - level + 2 * coalesce(n, 0) + 1 AS post FROM nodes LEFT JOIN inside USING (source_table, row_key, path))
+"""
+
+
+def _table_sql(node_type: str) -> str:
+    """The flat table of one type: each field as text, then in its kind."""
+    fields = []
+    for name, kind in (f.split(" ", 1) for f in nested.NODE_FIELDS[node_type].split(", ")):
+        text = f"""CASE WHEN json_type(s.v) = 'OBJECT' THEN json_extract_string(s.v, '$."{name}"') END"""
+        fields.append(f'{text} AS "{name}"' if kind == "string" else f'TRY_CAST({text} AS {dict(long="BIGINT", int="INTEGER", double="DOUBLE")[kind]}) AS "{name}"')
+    return (
+        _P1_NODES
+        + f"""SELECT s.source_table, s.row_key, s.operon_id, s.path AS node_path, s.pre, s.post, coalesce(p.pre, 0) AS parent_pre, s.parent_path, {", ".join(fields)}, CASE WHEN json_type(s.v) <> 'OBJECT' THEN s.v ->> '$' END AS text
+FROM spans s LEFT JOIN spans p ON p.source_table = s.source_table AND p.row_key = s.row_key AND p.path = s.parent_path WHERE s.name = '{node_type}'"""
+    )
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_nodes, p1_files_in_samples, p1_type_counts, p3_found, p3_item_counts, *map(_table_of, nested.NODE_FIELDS))}
 SQL = {
+    "p1_found": _P1_NODES + "SELECT source_table, row_key, path AS node_path, parent_path FROM nodes WHERE json_type(v) = 'OBJECT'",
+    "p1_type_counts": _P1_NODES
+    + """
+, typed AS (
+  SELECT source_table, row_key, CASE WHEN name <> '' THEN name WHEN source_table = 'operon_raw' THEN 'operon' ELSE 'metadata' END AS node_type, CASE json_type(v) WHEN 'OBJECT' THEN 'object' ELSE 'scalar' END AS kind FROM nodes
+  UNION ALL SELECT source_table, row_key, CASE source_table WHEN 'operon_raw' THEN 'operon' WHEN 'cas13_records' THEN 'metadata' ELSE 'crispr_spacers' END, 'record' FROM texts
+), per AS (SELECT source_table, node_type, kind, row_key, count(*) AS n FROM typed GROUP BY ALL)
+SELECT source_table, node_type, kind, CAST(sum(n) AS BIGINT) AS nodes, count(*) AS records, max(n) AS most_in_a_record FROM per GROUP BY ALL
+""",
+    **{f"p1_{t}": _table_sql(t) for t in nested.NODE_FIELDS if t != "features"},
     "p3_found": _P3_ITEMS + "SELECT source_table, row_key, item_no, item FROM items",
     "p3_item_counts": _P3_ITEMS + "SELECT source_table, item, count(*) AS times, count(DISTINCT row_key) AS rows FROM items GROUP BY 1, 2",
 }

@@ -43,7 +43,7 @@ def made_up(rng, depth=0):
 def linked(spark, texts, **options):
     df = spark.createDataFrame([(str(i), None, t) for i, t in enumerate(texts)], "key string, op string, body string")
     nodes = nested.label_nodes(df, "t", "key", "body", operon_id="op", **options)
-    return nested.link_parents(nodes)
+    return nodes
 
 
 def test_cases_and_parents_match_plain_recursion(spark):
@@ -92,6 +92,18 @@ def test_deep_wide_empty_and_clashing_columns(spark):
     wide = json.dumps([{"i": i} for i in range(20_000)])
     assert linked(spark, [wide]).where("kind = 'object'").count() == 20_000
     empty = spark.createDataFrame([], "key string, op string, body string")
-    assert nested.link_parents(nested.label_nodes(empty, "t", "key", "body", operon_id="op")).count() == 0
+    assert nested.label_nodes(empty, "t", "key", "body", operon_id="op").count() == 0
     clash = spark.createDataFrame([("k", "o", "[{}]", 1, 2)], "key string, op string, body string, pre int, _e int")
-    assert nested.link_parents(nested.label_nodes(clash, "t", "key", "body", operon_id="op")).count() == 2
+    assert nested.label_nodes(clash, "t", "key", "body", operon_id="op").count() == 2
+
+
+def test_typed_table_and_keys_that_repeat(spark):
+    texts = ['{"samples": [{"sample_id": "s1", "depth_m": 3, "runs": [{"run_id": "r", "platform": 7, "files": {"name": "f", "bytes": "x"}}]}, "plain"]}', '{"samples": [{"sample_id": null}]}']
+    df = spark.createDataFrame([(None, "o", t) for t in texts] + [("k", "o", texts[1]), ("k", "o", texts[0])], "key string, op string, body string")
+    nodes = nested.label_nodes(df, "t", "key", "body", operon_id="op")
+    samples = sorted((str(r.row_key), r.node_path, str(r.sample_id), r.depth_m, r.text) for r in nested.node_table(nodes, "samples").collect())
+    assert samples[:3] == [("None", "$.samples[0]", "None", None, None), ("None", "$.samples[0]", "s1", 3.0, None), ("None", "$.samples[1]", "None", None, "plain")] and len(samples) == 6
+    files = nested.node_table(nodes, "files").collect()
+    assert [(r.name, r.bytes, r.parent_path) for r in files] == [("f", None, "$.samples[0].runs[0]")] * 2
+    held = nested.descendants_of(nodes, "samples", "files").collect()
+    assert [r.ancestor_path for r in held] == ["$.samples[0]"] * 2
