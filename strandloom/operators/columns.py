@@ -8,16 +8,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.hashing import hash_number
 from strandloom.functions.sequence import tokens
+from strandloom.session import by_work, materialize
 
 
-def cells(rows: DataFrame) -> DataFrame:
-    """``aln, row_id, column, token``, columns from 0."""
-    return rows.select("aln", "row_id", F.posexplode(tokens(F.col("seq"))).alias("column", "token"))
+def cells(rows: DataFrame, *more: str) -> DataFrame:
+    """``aln, row_id, column, token`` and ``more``, columns from 0."""
+    return rows.select("aln", "row_id", *more, F.posexplode(tokens(F.col("seq"))).alias("column", "token"))
 
 
 def mean_pairwise_identity(rows: DataFrame) -> DataFrame:
@@ -58,74 +59,188 @@ def row_weights(rows: DataFrame, threshold: float = 0.8, block_rows: int = 1000)
         return pa.table({"aln": picked.column("aln"), "row_id": picked.column("row_id"), "near": pa.array(near.astype(np.int64))})
 
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("aln", "row_id")}
-    counted = left.unionByName(right).groupBy("aln", "i", "j").applyInArrow(compare, f"aln {kinds['aln']}, row_id {kinds['row_id']}, near long")
+    counted = by_work(left.unionByName(right), "aln", "i", "j").groupBy("aln", "i", "j").applyInArrow(compare, f"aln {kinds['aln']}, row_id {kinds['row_id']}, near long")
     return counted.groupBy("aln", "row_id").agg((F.lit(1.0) / F.greatest(F.sum("near"), F.lit(1))).alias("weight"))
 
 
 def conservation(rows: DataFrame, weights: DataFrame, allowed: float = 0.05) -> DataFrame:
-    """Per column: conservation, entropy, consensus (ties by letter), allowed tokens, gaps, effective rows.
+    """Per column: conservation, entropy, consensus (ties by letter), allowed tokens, frequencies, gaps, coverage, effective rows.
 
-    Frequencies are weighted and leave gaps out; gap fraction and coverage are not weighted. A column
-    of gaps alone has conservation and entropy 0 and a null consensus.
+    Frequencies leave gaps out, once weighted and once not; gap fraction and coverage are not weighted. A column
+    of gaps alone has conservation and entropy 0, a null consensus and no frequencies.
     """
-    weighed = cells(rows).join(weights, ["aln", "row_id"])
+    weighed = cells(rows.join(weights, ["aln", "row_id"]), "weight")
     counts = weighed.groupBy("aln", "column", "token").agg(F.sum("weight").alias("w"), F.count("*").alias("c"))
     real = F.col("token") != "-"
     whole = Window.partitionBy("aln", "column")
-    parts = counts.withColumn("f", F.try_divide(F.when(real, F.col("w")), F.sum(F.when(real, F.col("w"))).over(whole)))
+    share = lambda x: F.try_divide(F.when(real, F.col(x)), F.sum(F.when(real, F.col(x))).over(whole))
+    parts = counts.withColumns({"f": share("w"), "g": share("c")})
     order = F.struct(F.round("f", 9).alias("f"), (-F.ascii("token")).alias("t"))
-    return parts.groupBy("aln", "column").agg(
+    table = lambda x: F.map_from_entries(F.array_sort(F.collect_list(F.when(real, F.struct("token", F.round(x, 6).alias("f"))))))
+    out = parts.groupBy("aln", "column").agg(
         F.round(F.coalesce(F.max("f"), F.lit(0.0)), 6).alias("conservation"),
         F.round(F.coalesce(-F.sum(F.when(F.col("f") > 0, F.col("f") * F.ln("f"))), F.lit(0.0)), 6).alias("entropy"),
         F.max_by(F.when(real, F.col("token")), F.when(real, order)).alias("consensus"),
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("f") >= allowed, F.col("token")))), "").alias("allowed_tokens"),
+        table("f").alias("frequencies"),
+        table("g").alias("plain_frequencies"),
         F.round(F.sum(F.when(real, 0).otherwise(F.col("c"))) / F.sum("c"), 6).alias("gap_fraction"),
         F.round(F.sum("w"), 6).alias("effective_rows"),
     )
+    return out.withColumn("coverage", F.round(1 - F.col("gap_fraction"), 6))
 
 
-def variable_columns(rows: DataFrame, most: int) -> DataFrame:
-    """The ``most`` columns of each alignment with the highest plain entropy, ties by column."""
-    counts = cells(rows).where("token <> '-'").groupBy("aln", "column", "token").agg(F.count("*").alias("c"))
-    per = counts.groupBy("aln", "column").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.ln("c")).alias("s"))
-    ranked = per.select("aln", "column", F.round(F.ln("n") - F.col("s") / F.col("n"), 6).alias("h"))
-    rank = F.row_number().over(Window.partitionBy("aln").orderBy(F.desc("h"), "column"))
-    return ranked.withColumn("k", rank).where(F.col("k") <= most).select("aln", "column")
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.where(x > 0, x, 1.0))
 
 
-def mutual_information(long: DataFrame) -> DataFrame:
-    """``aln, i, j, mi`` of chosen cells ``aln, row_id, column, token, weight``; rows with a gap in either column are left out.
+def _information(joint: np.ndarray, left: np.ndarray, right: np.ndarray, pseudocount: float) -> np.ndarray:
+    """Mutual information of each column of the left with each of the right, from summed weights of their tokens.
 
-    One join by row makes the pairs of the chosen columns, never pairs of rows, and is counted at once.
+    ``left`` and ``right`` are where each column's tokens start. The pseudocount goes to all pairs of tokens that
+    stand in rows without a gap in either column.
+    """
+    of_left = np.repeat(np.arange(len(left)), np.diff(np.append(left, joint.shape[0])))
+    of_right = np.repeat(np.arange(len(right)), np.diff(np.append(right, joint.shape[1])))
+    a, b = np.add.reduceat(joint, right, axis=1), np.add.reduceat(joint, left, axis=0)
+    total = np.add.reduceat(a, left, axis=0)
+    if pseudocount:
+        has_a, has_b = a > 0, b > 0
+        many_a, many_b = np.add.reduceat(has_a.astype(float), left, axis=0), np.add.reduceat(has_b.astype(float), right, axis=1)
+        joint = joint + pseudocount * (has_a[:, of_right] & has_b[of_left])
+        a, b = a + pseudocount * has_a * many_b[of_left], b + pseudocount * has_b * many_a[:, of_right]
+        total = total + pseudocount * many_a * many_b
+    sums = np.add.reduceat(np.add.reduceat(_xlogx(joint), right, axis=1), left, axis=0) - np.add.reduceat(_xlogx(a), left, axis=0) - np.add.reduceat(_xlogx(b), right, axis=1)
+    safe = np.where(total > 0, total, 1.0)
+    return np.where(total > 0, np.maximum(sums / safe + np.log(safe), 0.0), 0.0)
+
+
+def _indicators(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One column for each token of each alignment column with several tokens; which column and token these are."""
+    codes = np.frombuffer("".join(texts).encode("latin-1", "replace"), np.uint8).reshape(len(texts), -1)
+    known = [t for t in np.unique(codes).tolist() if t != 45]
+    there = np.array([(codes == t).any(axis=0) for t in known]).reshape(len(known), codes.shape[1])
+    column, which = np.nonzero((there & (there.sum(axis=0) > 1)).T)
+    token = np.array(known, np.uint8)[which]
+    return (codes[:, column] == token).astype(np.float64), column, token
+
+
+def pair_information(rows: DataFrame, weights: DataFrame, pseudocount: float = 0.0, block: int = 128, part_rows: int = 20_000) -> DataFrame:
+    """``aln, i, j, mi``: mutual information in nats of all pairs ``i < j`` of columns that have several tokens.
+
+    Pairs with a column of one token have none and are not listed. Rows with a gap in either column are left out of
+    a pair. Columns are cut into blocks; the joint weights of two blocks are one matrix product in a task of its
+    own. Alignments of more than ``part_rows`` rows are summed up part by part.
+    """
+    kind = rows.schema["aln"].dataType.simpleString()
+    sizes = rows.groupBy("aln").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"), F.ceil(F.max(F.length("seq")) / block).cast("int").alias("blocks"))
+    placed = rows.join(weights, ["aln", "row_id"]).join(sizes, "aln").where("blocks > 0")
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("row_id"), F.col("parts")).cast("int")).withColumn("bi", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = lambda b: F.substring("seq", F.col(b) * block + 1, F.lit(block))
+    sent = placed.withColumn("bj", F.explode(F.sequence(F.col("bi"), F.col("blocks") - 1))).select("aln", "parts", "part", "bi", "bj", "weight", cut("bi").alias("x"), cut("bj").alias("y"))
+
+    def joint(table: pa.Table) -> tuple:
+        x, xc, xt = _indicators(table.column("x").to_pylist())
+        y, yc, yt = _indicators(table.column("y").to_pylist())
+        return (x * table.column("weight").to_numpy()[:, None]).T @ y, xc, xt, yc, yt
+
+    def pairs(name, bi: int, bj: int, product: np.ndarray, xc: np.ndarray, yc: np.ndarray) -> pa.Table:  # type: ignore[no-untyped-def]
+        i, left = np.unique(xc, return_index=True)
+        j, right = np.unique(yc, return_index=True)
+        mi = _information(product, left, right, pseudocount) if product.size else np.zeros((len(i), len(j)))
+        first, second = np.nonzero((bi < bj) | (i[:, None] < j[None, :]))
+        return pa.table({"aln": pa.array([name] * len(first)).cast(_ARROW[kind]), "i": pa.array((bi * block + i[first]).astype(np.int32)), "j": pa.array((bj * block + j[second]).astype(np.int32)), "mi": mi[first, second]})
+
+    def whole(table: pa.Table) -> pa.Table:
+        product, xc, _, yc, _ = joint(table)
+        return pairs(table.column("aln")[0].as_py(), table.column("bi")[0].as_py(), table.column("bj")[0].as_py(), product, xc, yc)
+
+    def part(table: pa.Table) -> pa.Table:
+        # Tokens of columns with one token in this part may meet others in the next, so all are kept.
+        codes = [np.frombuffer("".join(table.column(c).to_pylist()).encode("latin-1", "replace"), np.uint8).reshape(len(table), -1) for c in ("x", "y")]
+        sides = []
+        for c in codes:
+            known = [t for t in np.unique(c).tolist() if t != 45]
+            column, which = np.nonzero(np.array([(c == t).any(axis=0) for t in known]).reshape(len(known), c.shape[1]).T)
+            sides.append((column, np.array(known, np.uint8)[which]))
+        (xc, xt), (yc, yt) = sides
+        product = ((codes[0][:, xc] == xt) * table.column("weight").to_numpy()[:, None]).T @ (codes[1][:, yc] == yt).astype(np.float64)
+        i, j = np.nonzero(product)
+        n = len(i)
+        fixed = {c: pa.array([table.column(c)[0].as_py()] * n) for c in ("aln", "bi", "bj")}
+        return pa.table({"aln": fixed["aln"].cast(_ARROW[kind]), "bi": fixed["bi"].cast(pa.int32()), "bj": fixed["bj"].cast(pa.int32()), "xc": xc[i].astype(np.int32), "xt": xt[i].astype(np.int32), "yc": yc[j].astype(np.int32), "yt": yt[j].astype(np.int32), "w": product[i, j]})
+
+    def summed(table: pa.Table) -> pa.Table:
+        xc, xt, yc, yt = (table.column(c).to_numpy() for c in ("xc", "xt", "yc", "yt"))
+        left, right = np.unique(xc.astype(np.int64) * 256 + xt), np.unique(yc.astype(np.int64) * 256 + yt)
+        product = np.zeros((len(left), len(right)))
+        product[np.searchsorted(left, xc.astype(np.int64) * 256 + xt), np.searchsorted(right, yc.astype(np.int64) * 256 + yt)] = table.column("w").to_numpy()
+        keep_x, keep_y = (np.isin(v // 256, np.flatnonzero(np.bincount(v // 256) > 1)) for v in (left, right))
+        return pairs(table.column("aln")[0].as_py(), table.column("bi")[0].as_py(), table.column("bj")[0].as_py(), product[np.ix_(keep_x, keep_y)], left[keep_x] // 256, right[keep_y] // 256)
+
+    schema = f"aln {kind}, i int, j int, mi double"
+    out = by_work(sent.where("parts = 1"), "aln", "bi", "bj").groupBy("aln", "bi", "bj").applyInArrow(whole, schema)
+    parts = sent.where("parts > 1").groupBy("aln", "bi", "bj", "part").applyInArrow(part, f"aln {kind}, bi int, bj int, xc int, xt int, yc int, yt int, w double")
+    added = parts.groupBy("aln", "bi", "bj", "xc", "xt", "yc", "yt").agg(F.sum("w").alias("w"))
+    return out.unionByName(added.groupBy("aln", "bi", "bj").applyInArrow(summed, schema))
+
+
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
+
+
+def product_correction(pairs: DataFrame, columns: DataFrame) -> DataFrame:
+    """``aln, i, j, mi, apc``: information less the product of both columns' means over the mean of all.
+
+    ``columns`` has ``aln, columns``, the number of all columns: pairs that are not listed count as 0 in the means. Where
+    the mean of all is 0 nothing is taken off.
     """
-    real = long.where("token <> '-'")
-    a = real.select("aln", "row_id", F.col("column").alias("i"), F.col("token").alias("a"), "weight")
-    b = real.select("aln", "row_id", F.col("column").alias("j"), F.col("token").alias("b"))
-    joint = a.join(b, ["aln", "row_id"]).where("i < j").groupBy("aln", "i", "j", "a", "b").agg(F.sum("weight").alias("w"))
-    pair, left, right = (Window.partitionBy("aln", "i", "j", *x) for x in ((), ("a",), ("b",)))
-    parts = joint.select("aln", "i", "j", (F.col("w") / F.sum("w").over(pair)).alias("p"), (F.sum("w").over(left) / F.sum("w").over(pair)).alias("pa"), (F.sum("w").over(right) / F.sum("w").over(pair)).alias("pb"))
-    return parts.groupBy("aln", "i", "j").agg(F.sum(F.col("p") * F.ln(F.col("p") / (F.col("pa") * F.col("pb")))).alias("mi"))
-
-
-def product_correction(pairs: DataFrame) -> DataFrame:
-    """``aln, i, j, mi, apc``: information less the product of both columns' means over the mean of all."""
     both = pairs.select("aln", "i", "mi").unionByName(pairs.select("aln", F.col("j").alias("i"), "mi"))
-    means = both.groupBy("aln", "i").agg(F.avg("mi").alias("m"))
-    whole = pairs.groupBy("aln").agg(F.avg("mi").alias("g"))
-    joined = pairs.join(means.select("aln", "i", F.col("m").alias("mi_i")), ["aln", "i"]).join(means.select("aln", F.col("i").alias("j"), F.col("m").alias("mi_j")), ["aln", "j"]).join(whole, "aln")
+    sums = both.groupBy("aln", "i").agg(F.sum("mi").alias("s")).join(columns, "aln").withColumn("m", F.col("s") / (F.col("columns") - 1))
+    whole = sums.groupBy("aln").agg((F.sum("s") / F.max(F.col("columns") * (F.col("columns") - 1))).alias("g"))
+    means = sums.select("aln", "i", "m").join(whole, "aln")
+    joined = pairs.join(means.select("aln", "i", F.col("m").alias("mi_i"), "g"), ["aln", "i"]).join(means.select("aln", F.col("i").alias("j"), F.col("m").alias("mi_j")), ["aln", "j"])
     return joined.select("aln", "i", "j", "mi", (F.col("mi") - F.coalesce(F.try_divide(F.col("mi_i") * F.col("mi_j"), F.col("g")), F.lit(0.0))).alias("apc"))
 
 
-def drawn_rows(long: DataFrame, rows: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """Cells of rows drawn with replacement, one set a replicate; draws come from hashes and are the same anywhere.
+def coupled_pairs(rows: DataFrame, threshold: float = 0.8, pseudocount: float = 0.0) -> DataFrame:
+    """``aln, i, j, mi, apc`` of all pairs of columns with several tokens, rows weighted by their near neighbours."""
+    held = materialize(rows.select("aln", "row_id", "seq"), "alignment-rows")
+    pairs = materialize(pair_information(held, row_weights(held, threshold), pseudocount), "column-pairs")
+    return product_correction(pairs, held.groupBy("aln").agg(F.max(F.length("seq")).cast("long").alias("columns")))
+
+
+def strongest(pairs: DataFrame, most: int) -> DataFrame:
+    """The ``most`` pairs of each alignment with the greatest corrected information, ties by column."""
+    rank = F.row_number().over(Window.partitionBy("aln").orderBy(F.desc(F.round("apc", 6)), "i", "j"))
+    return pairs.withColumn("k", rank).where(F.col("k") <= most).drop("k")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    return rows.select("aln", "row_id", "seq", F.row_number().over(Window.partitionBy("aln").orderBy(F.sha2(F.col("row_id").cast("string"), 256), "row_id")).alias("k"))
+
+
+def drawn_rows(rows: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """``aln, row_id, seq`` drawn with replacement, one alignment ``aln#replicate`` a replicate, the same on any partitioning.
 
     Each alignment's rows are numbered by hash. Draw d of replicate r takes row hash(seed:aln:r:d) mod n.
     """
-    ordered = rows.select("aln", "row_id", F.row_number().over(Window.partitionBy("aln").orderBy(F.sha2(F.col("row_id").cast("string"), 256), "row_id")).alias("k"))
     sizes = rows.groupBy("aln").agg(F.count("*").alias("n"))
-    draws = sizes.select("aln", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).select("aln", "n", "replicate", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("d"))
+    each = sizes.select("aln", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).repartition("aln", "replicate")
+    draws = each.select("aln", "n", "replicate", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("d"))
     picked = draws.withColumn("k", (F.pmod(hash_number(F.concat_ws(":", F.lit(str(seed)), "aln", "replicate", "d")), F.col("n").cast("decimal(20,0)")) + 1).cast("int"))
-    return picked.join(ordered, ["aln", "k"]).join(long, ["aln", "row_id"]).select(F.concat_ws("#", "aln", "replicate").alias("aln"), F.col("d").alias("row_id"), "column", "token", F.lit(1.0).alias("weight"))
+    return picked.join(_numbered(rows), ["aln", "k"]).select(F.concat_ws("#", "aln", "replicate").alias("aln"), F.col("d").alias("row_id"), "seq")
+
+
+def permuted_rows(rows: DataFrame, split: Column, replicates: int, seed: int) -> DataFrame:
+    """``aln, row_id, seq`` where the columns from ``split`` on come from another row of the alignment, ``aln#replicate`` a replicate.
+
+    The order of the second halves is that of hash(seed:replicate:row).
+    """
+    first = _numbered(rows).select("aln", "row_id", "k", F.substring("seq", F.lit(1), split).alias("head"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    order = F.row_number().over(Window.partitionBy("aln", "replicate").orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), "replicate", "row_id"), 256), "row_id"))
+    second = rows.select("aln", "row_id", F.expr("seq").alias("whole"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).withColumn("k", order)
+    tail = F.substring("whole", F.length("head") + 1, F.length("whole"))
+    return first.join(second.drop("row_id"), ["aln", "replicate", "k"]).select(F.concat_ws("#", "aln", "replicate").alias("aln"), "row_id", F.concat("head", tail).alias("seq"))
 
 
 def ungapped_index(rows: DataFrame) -> DataFrame:

@@ -202,7 +202,7 @@ def design_weights(spark, directory):
     + _WEIGHTS
     + """
 , n AS (SELECT aln, col, token, sum(weight) AS w FROM cell JOIN w USING (aln, row_id) GROUP BY ALL), f AS (SELECT *, w / sum(w) OVER (PARTITION BY aln, col) AS f FROM n)
-SELECT aln, col AS "column", round(max(f), 6) AS conservation, round(abs(sum(f * ln(f))), 6) AS entropy, arg_max(token, (round(f, 9), -ascii(token))) AS consensus,
+SELECT aln, col AS "column", round(max(f), 6) AS conservation, round(abs(sum(f * ln(f))), 6) AS entropy, arg_max(token, (round(f, 9), -ascii(token))) AS consensus, 1.0 AS coverage,
   coalesce(string_agg(token, '' ORDER BY token) FILTER (f >= 0.05), '') AS allowed_tokens, 0.0 AS gap_fraction, round(sum(w), 6) AS effective_rows
 FROM f GROUP BY ALL
 """
@@ -211,39 +211,74 @@ def column_conservation(spark, directory):
     """Weighted conservation of every alignment column of every scaffold."""
     rows = _alignment(spark, directory)
     out = columns.conservation(rows, columns.row_weights(rows))
-    return out.withColumn("entropy", F.abs("entropy"))
+    return out.drop("frequencies", "plain_frequencies").withColumn("entropy", F.abs("entropy"))
 
 
-_VARIABLE = """
-, tc AS (SELECT aln, col, token, count(*) AS n FROM cell GROUP BY ALL), hc AS (SELECT aln, col, round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 6) AS h FROM tc GROUP BY ALL)
-, vc AS (SELECT aln, col FROM (SELECT *, row_number() OVER (PARTITION BY aln ORDER BY h DESC, col) AS k FROM hc) WHERE k <= 8)
-, x AS (SELECT aln, row_id, col, token FROM cell SEMI JOIN vc USING (aln, col))
-, jt AS (SELECT l.aln, l.col AS i, r.col AS j, l.token AS a, r.token AS b, count(*) AS w FROM x l JOIN x r ON l.aln = r.aln AND l.row_id = r.row_id AND l.col < r.col GROUP BY ALL)
-, jp AS (SELECT aln, i, j, w / sum(w) OVER (PARTITION BY aln, i, j) AS p, sum(w) OVER (PARTITION BY aln, i, j, a) / sum(w) OVER (PARTITION BY aln, i, j) AS pa, sum(w) OVER (PARTITION BY aln, i, j, b) / sum(w) OVER (PARTITION BY aln, i, j) AS pb FROM jt)
-, mi AS (SELECT aln, i, j, sum(p * ln(p / (pa * pb))) AS mi FROM jp GROUP BY ALL)
-, mm AS (SELECT aln, i, avg(mi) AS m FROM (SELECT aln, i, mi FROM mi UNION ALL SELECT aln, j, mi FROM mi) GROUP BY ALL), mg AS (SELECT aln, avg(mi) AS g FROM mi GROUP BY 1)
+@query(
+    _ALN
+    + _WEIGHTS
+    + """
+, n AS (SELECT aln, col, token, sum(weight) AS w, count(*) AS c FROM cell JOIN w USING (aln, row_id) GROUP BY ALL), f AS (SELECT *, w / sum(w) OVER (PARTITION BY aln, col) AS f, c / sum(c) OVER (PARTITION BY aln, col) AS g FROM n)
+SELECT aln, col AS "column", token, round(f, 6) AS frequency, round(g, 6) AS plain_frequency FROM f
 """
+)
+def column_frequencies(spark, directory):
+    """Weighted and plain token frequencies of every alignment column."""
+    rows = _alignment(spark, directory)
+    out = columns.conservation(rows, columns.row_weights(rows)).select("aln", "column", "plain_frequencies", F.explode("frequencies").alias("token", "frequency"))
+    return out.select("aln", "column", "token", "frequency", F.element_at("plain_frequencies", F.col("token")).alias("plain_frequency"))
 
 
-@query(_ALN + _VARIABLE + "SELECT mi.aln, mi.i, mi.j, round(mi, 5) AS mi, round(mi - coalesce(a.m * b.m / nullif(g, 0), 0), 5) AS apc FROM mi JOIN mm a ON a.aln = mi.aln AND a.i = mi.i JOIN mm b ON b.aln = mi.aln AND b.i = mi.j JOIN mg ON mg.aln = mi.aln")
-def coupled_columns(spark, directory):
-    """Mutual information, product-corrected, between the eight most variable columns of each scaffold."""
+@query(
+    _ALN
+    + _WEIGHTS
+    + """
+, n AS (SELECT aln, col, token, sum(weight) AS w FROM cell JOIN w USING (aln, row_id) GROUP BY ALL), f AS (SELECT *, w / sum(w) OVER (PARTITION BY aln, col) AS f FROM n), k AS (SELECT aln, col, round(max(f), 6) AS k FROM f GROUP BY ALL)
+SELECT aln, count(*) AS columns, count(*) FILTER (k >= 0.5) AS from_50, count(*) FILTER (k >= 0.8) AS from_80, count(*) FILTER (k >= 0.9) AS from_90, count(*) FILTER (k >= 0.95) AS from_95, 0.0 AS mean_gap, round(avg(k), 5) AS mean_conservation FROM k GROUP BY 1
+"""
+)
+def conservation_summary(spark, directory):
+    """Columns of each scaffold by conservation, with mean gap fraction and mean conservation."""
     rows = _alignment(spark, directory)
-    long = columns.cells(rows).join(columns.variable_columns(rows, 8), ["aln", "column"]).withColumn("weight", F.lit(1.0))
-    out = columns.product_correction(columns.mutual_information(long))
+    out = columns.conservation(rows, columns.row_weights(rows))
+    reached = [F.count_if(F.col("conservation") >= t / 100).alias(f"from_{t}") for t in (50, 80, 90, 95)]
+    return out.groupBy("aln").agg(F.count("*").alias("columns"), *reached, F.round(F.avg("gap_fraction"), 5).alias("mean_gap"), F.round(F.avg("conservation"), 5).alias("mean_conservation"))
+
+
+_COUPLED = """
+, tc AS (SELECT aln, col FROM cell GROUP BY ALL HAVING count(DISTINCT token) > 1), x AS (SELECT aln, row_id, col, token, weight FROM cell SEMI JOIN tc USING (aln, col) JOIN w USING (aln, row_id))
+, jt AS (SELECT l.aln, l.col AS i, r.col AS j, l.token AS a, r.token AS b, sum(l.weight) AS w FROM x l JOIN x r ON l.aln = r.aln AND l.row_id = r.row_id AND l.col < r.col GROUP BY ALL)
+, ja AS (SELECT aln, i, j, a, sum(w) AS wa FROM jt GROUP BY ALL), jb AS (SELECT aln, i, j, b, sum(w) AS wb FROM jt GROUP BY ALL), js AS (SELECT aln, i, j, sum(w) AS ws FROM jt GROUP BY ALL)
+, mi AS (SELECT aln, i, j, sum(w / ws * ln(w * ws / (wa * wb))) AS mi FROM jt JOIN ja USING (aln, i, j, a) JOIN jb USING (aln, i, j, b) JOIN js USING (aln, i, j) GROUP BY ALL)
+, nc AS (SELECT aln, max(length(s)) AS n FROM a GROUP BY 1), mm AS (SELECT aln, i, sum(mi) / (any_value(n) - 1) AS m FROM (SELECT aln, i, mi FROM mi UNION ALL SELECT aln, j, mi FROM mi) JOIN nc USING (aln) GROUP BY ALL)
+, mg AS (SELECT aln, 2 * sum(mi) / any_value(n * (n - 1)) AS g FROM mi JOIN nc USING (aln) GROUP BY 1)
+, cp AS (SELECT mi.aln, mi.i, mi.j, mi, mi - coalesce(p.m * q.m / nullif(g, 0), 0) AS apc FROM mi JOIN mm p ON p.aln = mi.aln AND p.i = mi.i JOIN mm q ON q.aln = mi.aln AND q.i = mi.j JOIN mg ON mg.aln = mi.aln)
+"""
+
+
+@query(_ALN + _WEIGHTS + _COUPLED + "SELECT aln, i, j, round(mi, 5) AS mi, round(apc, 5) AS apc FROM (SELECT *, row_number() OVER (PARTITION BY aln ORDER BY round(apc, 6) DESC, i, j) AS k FROM cp) WHERE k <= 20")
+def coupled_columns(spark, directory):
+    """The 20 pairs of columns of each scaffold with the greatest product-corrected information, of all its columns."""
+    out = columns.strongest(columns.coupled_pairs(_alignment(spark, directory)), 20)
     return out.select("aln", "i", "j", F.round("mi", 5).alias("mi"), F.round("apc", 5).alias("apc"))
 
 
 @query()
 def coupled_column_support(spark, directory):
-    """How often a pair of columns is among its scaffold's three strongest over 10 resamplings of the rows."""
-    rows = _alignment(spark, directory)
-    long = materialize(columns.cells(rows).join(columns.variable_columns(rows, 8), ["aln", "column"]), "variable-cells")
-    drawn = columns.drawn_rows(long, rows.select("aln", "row_id"), 10, 20260731)
-    scored = columns.product_correction(columns.mutual_information(drawn))
-    rank = F.row_number().over(Window.partitionBy("aln").orderBy(F.desc(F.round("apc", 9)), "i", "j"))
-    top = scored.withColumn("k", rank).where("k <= 3").withColumn("scaffold", F.split_part("aln", F.lit("#"), F.lit(1)))
-    return top.groupBy("scaffold", "i", "j").agg((F.count("*") / 10).alias("support"))
+    """How often a pair of columns is among its scaffold's three strongest over 5 reweighted resamplings of the rows."""
+    top = columns.strongest(columns.coupled_pairs(columns.drawn_rows(_alignment(spark, directory), 5, 20260731)), 3)
+    return top.groupBy(F.split_part("aln", F.lit("#"), F.lit(1)).alias("scaffold"), "i", "j").agg((F.count("*") / 5).alias("support"))
+
+
+@query()
+def permuted_maxima(spark, directory):
+    """The greatest corrected information between the two halves of each scaffold's columns, after 3 permutations of the second."""
+    half = F.floor(F.length("seq") / 2).cast("int")
+    rows = materialize(_alignment(spark, directory), "alignment")
+    cut = rows.groupBy("aln").agg(F.max(half).alias("half"))
+    pairs = columns.coupled_pairs(columns.permuted_rows(rows, half, 3, 20260731))
+    across = pairs.withColumn("scaffold", F.split_part("aln", F.lit("#"), F.lit(1))).join(cut.withColumnRenamed("aln", "scaffold"), "scaffold").where("i < half and j >= half")
+    return across.groupBy("scaffold", F.split_part("aln", F.lit("#"), F.lit(2)).cast("int").alias("replicate")).agg(F.round(F.max("apc"), 6).alias("greatest"))
 
 
 _MUT = "WITH v AS (SELECT DISTINCT variant_id, wt_sequence, mutation, full_mutant_sequence FROM variant_retrospective)"

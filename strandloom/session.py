@@ -31,6 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def by_work(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` in as many partitions as there are cores or shuffle partitions, whatever its size.
+
+    For groups of bounded size whose work is large for their bytes: adaptive execution would put them in few tasks.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

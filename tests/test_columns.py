@@ -17,6 +17,7 @@ def test_conservation_of_the_small_alignment(spark):
     df = spark.createDataFrame(MSA, ALN)
     out = {r.column: r for r in columns.conservation(df, equal_weights(df)).collect()}
     assert out[0].conservation == 0.75 and out[0].consensus == "A" and out[2].gap_fraction == 0.5 and out[1].entropy == 0 and out[4].allowed_tokens == "FY"
+    assert out[2].coverage == 0.5 and out[0].plain_frequencies == {"A": 0.75, "V": 0.25} and out[4].frequencies == {"F": 0.25, "Y": 0.75}
     weighted = {r.column: r for r in columns.conservation(df, columns.row_weights(df)).collect()}
     assert len(weighted) == 6 and all(r.effective_rows > 0 for r in weighted.values())
 
@@ -48,13 +49,57 @@ def test_mean_pairwise_identity(spark):
     assert [r.mean_identity for r in out] == [round((2 * 0.5 + 1) / 3, 6), None]
 
 
-def test_information_of_coupled_columns(spark):
-    rows = [("m", str(i), "AC" if i % 2 else "GU") for i in range(6)]
-    long = columns.cells(spark.createDataFrame(rows, ALN)).selectExpr("*", "1.0D as weight")
-    (r,) = columns.mutual_information(long).collect()
-    assert r.mi == pytest.approx(math.log(2))
-    (c,) = columns.product_correction(columns.mutual_information(long)).collect()
-    assert c.apc == pytest.approx(0)
+def plain_information(rows, weights, i, j, pseudocount):
+    joint = {}
+    for seq, w in zip(rows, weights):
+        if "-" not in (seq[i], seq[j]):
+            joint[seq[i], seq[j]] = joint.get((seq[i], seq[j]), 0) + w
+    left, right = {a for a, _ in joint}, {b for _, b in joint}
+    joint = {(a, b): joint.get((a, b), 0) + pseudocount for a in left for b in right}
+    total = sum(joint.values())
+    if not total:
+        return 0.0
+    p = {k: v / total for k, v in joint.items()}
+    pa, pb = {a: sum(v for (x, _), v in p.items() if x == a) for a in left}, {b: sum(v for (_, y), v in p.items() if y == b) for b in right}
+    return sum(v * math.log(v / (pa[a] * pb[b])) for (a, b), v in p.items() if v)
+
+
+@pytest.mark.parametrize("pseudocount,part_rows", [(0.0, 20_000), (0.5, 20_000), (0.0, 9), (0.5, 9)])
+def test_information_of_all_columns(spark, pseudocount, part_rows):
+    rng = random.Random(3)
+    made = {"m": [[rng.choice("ACD-") for _ in range(9)] for _ in range(25)], "pair": [list("AC" if i % 2 else "GU") for i in range(6)], "one": [list("ACD")]}
+    for row in made["m"]:
+        row[5], row[7] = row[1], "W"  # a copy and a column of one token
+    rows = [(aln, str(i), "".join(r)) for aln, all_ in made.items() for i, r in enumerate(all_)]
+    weights = {(aln, i): 1 / (1 + int(i) % 3) for aln, i, _ in rows}
+    w = spark.createDataFrame([(*k, v) for k, v in weights.items()], "aln string, row_id string, weight double")
+    got = {(r.aln, r.i, r.j): r.mi for r in columns.pair_information(spark.createDataFrame(rows, ALN), w, pseudocount, 4, part_rows).collect()}
+    for aln, all_ in made.items():
+        seqs, n = ["".join(r) for r in all_], len(all_[0])
+        for i in range(n):
+            for j in range(i + 1, n):
+                wanted = plain_information(seqs, [weights[aln, str(k)] for k in range(len(seqs))], i, j, pseudocount)
+                assert got.get((aln, i, j), 0) == pytest.approx(wanted, abs=1e-9)
+    assert not [k for k in got if 7 in k[1:] and k[0] == "m"] and (pseudocount or got["pair", 0, 1] == pytest.approx(plain_information(["AC", "GU"] * 3, [weights["pair", str(k)] for k in (1, 0, 3, 2, 5, 4)], 0, 1, 0)))
+
+
+def test_product_correction_over_all_columns(spark):
+    mi = {(0, 1): 0.4, (0, 3): 0.2, (1, 3): 0.1}  # column 2 has one token
+    pairs = spark.createDataFrame([("m", *k, v) for k, v in mi.items()] + [("zero", 0, 1, 0.0)], "aln string, i int, j int, mi double")
+    out = {(r.aln, r.i, r.j): r.apc for r in columns.product_correction(pairs, spark.createDataFrame([("m", 4), ("zero", 2)], "aln string, columns long")).collect()}
+    mean = {c: sum(v for k, v in mi.items() if c in k) / 3 for c in range(4)}
+    whole = 2 * sum(mi.values()) / 12
+    assert all(out["m", i, j] == pytest.approx(v - mean[i] * mean[j] / whole) for (i, j), v in mi.items()) and out["zero", 0, 1] == 0
+
+
+def test_strongest_pairs_and_permutations(spark):
+    df = spark.createDataFrame([("m", str(i), s) for i, s in enumerate(["AAAACG"] * 3 + ["CCCGUA"] * 3)], ALN)
+    top = columns.strongest(columns.coupled_pairs(df), 4).collect()
+    assert len(top) == 4 and all(r.mi == pytest.approx(math.log(2)) for r in top)
+    draw = lambda d: sorted(tuple(r) for r in columns.permuted_rows(d, columns.F.lit(3), 4, 7).collect())
+    got = draw(df.repartition(5))
+    assert got == draw(df.repartition(1)) and len(got) == 24 and {a for a, _, _ in got} == {f"m#{i}" for i in range(4)}
+    assert all(sorted(s[:3] for a, _, s in got if a == f"m#{i}") == ["AAA"] * 3 + ["CCC"] * 3 and sorted(s[3:] for a, _, s in got if a == f"m#{i}") == ["ACG"] * 3 + ["GUA"] * 3 for i in range(4))
 
 
 def test_index_and_checks(spark):
@@ -66,5 +111,5 @@ def test_index_and_checks(spark):
 
 def test_drawn_rows_do_not_depend_on_partitions(spark):
     df = spark.createDataFrame(MSA, ALN)
-    draw = lambda d: sorted(tuple(r) for r in columns.drawn_rows(columns.cells(d), d, 3, 7).collect())
-    assert draw(df.repartition(1)) == draw(df.repartition(7)) and len(draw(df)) == 3 * 4 * 6
+    draw = lambda d: sorted(tuple(r) for r in columns.drawn_rows(d, 3, 7).collect())
+    assert draw(df.repartition(1)) == draw(df.repartition(7)) and len(draw(df)) == 3 * 4
