@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,55 +52,3 @@ def random_mutants(df: DataFrame, key: str, sequence: str, rate: float, seed: in
     new = F.transform(tokens(F.col(sequence)), token)
     changed = F.size(F.filter(F.arrays_zip(tokens(F.col(sequence)).alias("a"), F.col("_new").alias("b")), lambda p: p["a"] != p["b"]))
     return df.withColumn("_new", new).select(key, F.array_join("_new", "").alias("mutant"), F.when(F.col(sequence).isNotNull(), changed).alias("changed"))
-
-
-def transitions(rows: DataFrame) -> dict[str, dict[str, int]]:
-    """How often each amino acid follows each, over all rows ``aln, seq``; at most 420 numbers come to the driver."""
-    pairs = F.transform(tokens(F.concat(F.lit("^"), F.col("seq"))), lambda t, i: F.substring(F.concat(F.lit("^"), F.col("seq")), i + 1, 2))
-    counted = rows.select(F.explode(pairs).alias("p")).where(F.length("p") == 2).groupBy("p").agg(F.count("*").alias("c")).where(f"p rlike '^[\\\\^{AMINO_ACIDS}][{AMINO_ACIDS}]$'")
-    out: dict[str, dict[str, int]] = {}
-    for r in counted.collect():
-        out.setdefault(r.p[0], {})[r.p[1]] = r.c
-    return out
-
-
-def decode(length: int, fixed: dict[int, str], allowed: dict[int, str], logits, temperature: float, draw) -> tuple[str, list[float]]:  # type: ignore[no-untyped-def]
-    """A sequence drawn from left to right, and the log-probability of each choice.
-
-    ``logits(prefix, place)`` gives one number per amino acid. Fixed places are kept with probability 1;
-    elsewhere only the allowed letters are drawn, by softmax at ``temperature``. ``draw()`` gives numbers in [0, 1).
-    """
-    if temperature <= 0:
-        raise ValueError("temperature must be positive")
-    sequence, trace = "", []
-    for place in range(length):
-        letters = fixed.get(place) or allowed.get(place) or AMINO_ACIDS
-        values = np.array([logits(sequence, place)[AMINO_ACIDS.index(a)] for a in letters]) / temperature
-        p = np.exp(values - values.max())
-        p /= p.sum()
-        pick = min(int(np.searchsorted(np.cumsum(p), draw(), side="right")), len(letters) - 1)
-        sequence += letters[pick]
-        trace.append(float(np.log(p[pick])))
-    return sequence, trace
-
-
-def decoded(requests: DataFrame, follows: dict[str, dict[str, int]], samples: int, temperature: float, seed: int) -> DataFrame:
-    """``id, sample, seq, mean_log_p``: sequences for ``id, length, fixed map<int,string>``, drawn by what follows what.
-
-    Draws come from a generator seeded by hash of seed, id and sample, so they are the same anywhere. A
-    null length gives no row; fixed places are always kept.
-    """
-    table = {a: np.log(np.array([follows.get(a, {}).get(b, 0) + 1.0 for b in AMINO_ACIDS])) for a in "^" + AMINO_ACIDS}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for key, length, fixed, sample in batch.itertuples(index=False):
-                places = dict(fixed or {})
-                state = np.random.default_rng(int(hashlib.sha256(f"{seed}:{key}:{sample}".encode()).hexdigest()[:16], 16))
-                text, trace = decode(length, places, {}, lambda prefix, _: table[prefix[-1] if prefix else "^"], temperature, state.random)
-                out.append((key, sample, text, float(np.mean(trace)) if trace else None))
-            yield pd.DataFrame(out, columns=["id", "sample", "seq", "mean_log_p"])
-
-    each = requests.where("length is not null").select("id", F.col("length").cast("int"), "fixed", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
-    return each.repartition("id", "sample").mapInPandas(run, "id string, sample int, seq string, mean_log_p double")

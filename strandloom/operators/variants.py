@@ -1,19 +1,18 @@
-"""Mutation notations applied to sequences."""
+"""Mutation notations applied to sequences, as column expressions."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.functions.sequence import letters
 from strandloom.operators.packed import split_unquoted
 
 # Three-letter names of the amino acids, in the order of their one-letter names.
 _THREE = dict(zip("Ala Cys Asp Glu Phe Gly His Ile Lys Leu Met Asn Pro Gln Arg Ser Thr Val Trp Tyr".split(), "ACDEFGHIKLMNPQRSTVWY"))
 _POINT = r"^(?:p\.)?[A-Z]\d+[A-Z]$"
-_CHANGE = re.compile(r"(?:p\.)?(?:([A-Z][a-z]{2}|[A-Z])(\d+)([A-Z][a-z]{2}|[A-Z])|del(\d+)-(\d+)|ins(\d+)_(\d+):([A-Z]+))")
+# The notations of a change of one residue, a deletion and an insertion.
+_NOTATIONS = {"point": r"^(?:p\.)?([A-Z][a-z]{2}|[A-Z])(\d{1,9})([A-Z][a-z]{2}|[A-Z])$", "cut": r"^(?:p\.)?del(\d{1,9})-(\d{1,9})$", "insert": r"^(?:p\.)?ins(\d{1,9})_(\d{1,9}):([A-Z]+)$"}
 
 
 def point_positions(df: DataFrame, mutation: str = "mutation") -> DataFrame:
@@ -27,44 +26,50 @@ def point_positions(df: DataFrame, mutation: str = "mutation") -> DataFrame:
     )
 
 
-def mutate(sequence: str, changes: list[str]) -> str:
-    """The sequence with all changes, places from 1; ``ValueError`` says what is wrong with them."""
-    points, cuts, inserts = {}, [], []
-    for change in changes:
-        m = _CHANGE.fullmatch(change)
-        if m is None:
-            raise ValueError("unsupported notation")
-        old, at, new, start, end, left, right, text = m.groups()
-        if at:
-            old, new, place = _THREE.get(old, old), _THREE.get(new, new), int(at)
-            if not 1 <= place <= len(sequence):
-                raise ValueError("place outside the sequence")
-            if sequence[place - 1] != old:
-                raise ValueError("other residue at the place")
-            points[place - 1] = new
-        elif start:
-            if not 1 <= int(start) <= int(end) <= len(sequence):
-                raise ValueError("deletion outside the sequence")
-            cuts.append((int(start) - 1, int(end)))
-        else:
-            if int(right) != int(left) + 1 or int(left) > len(sequence):
-                raise ValueError("insertion between places that are no neighbours")
-            inserts.append((int(left), text))
-    if not (points or cuts or inserts):
-        raise ValueError("no change")
-    if points and (cuts or inserts) or cuts and inserts or len(inserts) > 1:
-        raise ValueError("kinds of change mixed")
-    if points:
-        return "".join(points.get(i, c) for i, c in enumerate(sequence))
-    if inserts:
-        at, text = inserts[0]
-        return sequence[:at] + text + sequence[at:]
-    cuts.sort()
-    if any(a[1] > b[0] for a, b in zip(cuts, cuts[1:])):
-        raise ValueError("deletions overlap")
-    for start, end in reversed(cuts):
-        sequence = sequence[:start] + sequence[end:]
-    return sequence
+def _one_letter(name: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in _THREE.items() for x in pair])
+    return F.when(F.length(name) == 1, name).otherwise(F.coalesce(F.element_at(known, name), name))
+
+
+def _change(text: Column) -> Column:
+    """A change as a struct: its kind, first and last place (from 1), the residue it expects and the letters it puts there."""
+    group = lambda kind, i: F.regexp_extract(text, _NOTATIONS[kind], i)
+    is_kind = {kind: text.rlike(pattern) for kind, pattern in _NOTATIONS.items()}
+    number = lambda c: F.nullif(c, F.lit("")).cast("int")
+    return F.struct(
+        F.when(is_kind["point"], "point").when(is_kind["cut"], "cut").when(is_kind["insert"], "insert").alias("kind"),
+        F.when(is_kind["point"], number(group("point", 2))).when(is_kind["cut"], number(group("cut", 1))).otherwise(number(group("insert", 1))).alias("start"),
+        F.when(is_kind["point"], number(group("point", 2))).when(is_kind["cut"], number(group("cut", 2))).otherwise(number(group("insert", 2))).alias("end"),
+        F.when(is_kind["point"], _one_letter(group("point", 1))).alias("old"),
+        F.when(is_kind["point"], _one_letter(group("point", 3))).otherwise(group("insert", 3)).alias("new"),
+    )
+
+
+def mutated(sequence: Column, changes: Column) -> tuple[Column, Column]:
+    """The sequence with an array of changes, and what is wrong with them; one of the two is null. Places count from 1.
+
+    Changes are of one kind: points, of which the last at a place counts, deletions that do not overlap, or one insertion.
+    """
+    told = F.transform(changes, _change)
+    size = F.length(sequence)
+    count = lambda kind: F.size(F.filter(told, lambda c: c["kind"] == kind))
+    cuts = F.array_sort(F.transform(told, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))))
+    error = (
+        F.when(sequence.isNull(), "no wild type")
+        .when(F.size(changes) == 0, "no change")
+        .when(F.exists(told, lambda c: c["kind"].isNull()), "unsupported notation")
+        .when(F.exists(told, lambda c: (c["kind"] == "point") & ~c["start"].between(1, size)), "place outside the sequence")
+        .when(F.exists(told, lambda c: (c["kind"] == "point") & (F.substring(sequence, c["start"], 1) != c["old"])), "other residue at the place")
+        .when(F.exists(told, lambda c: (c["kind"] == "cut") & ~((c["start"] >= 1) & (c["start"] <= c["end"]) & (c["end"] <= size))), "deletion outside the sequence")
+        .when(F.exists(told, lambda c: (c["kind"] == "insert") & ((c["end"] != c["start"] + 1) | (c["start"] > size))), "insertion between places that are no neighbours")
+        .when((count("point") < F.size(told)) & (count("cut") < F.size(told)) & (count("insert") < F.size(told)) | (count("insert") > 1), "kinds of change mixed")
+        .when((count("cut") > 1) & F.exists(F.sequence(F.lit(1), F.size(told) - 1), lambda i: cuts[i]["start"] <= cuts[i - 1]["end"]), "deletions overlap")
+    )
+    points = F.aggregate(told, sequence, lambda s, c: F.overlay(s, c["new"], c["start"], F.lit(1)))
+    # From the last deletion to the first, so that places still hold.
+    shorter = F.aggregate(F.reverse(cuts), sequence, lambda s, c: F.concat(F.substring(s, F.lit(1), c["start"] - 1), F.substring(s, c["end"] + 1, F.length(s))))
+    longer = F.concat(F.substring(sequence, F.lit(1), told[0]["start"]), told[0]["new"], F.substring(sequence, told[0]["start"] + 1, size))
+    return F.when(error.isNull(), F.when(count("point") > 0, points).when(count("cut") > 0, shorter).otherwise(longer)), error
 
 
 def applied(df: DataFrame) -> DataFrame:
@@ -73,20 +78,6 @@ def applied(df: DataFrame) -> DataFrame:
     A null wild type or no change at all is an error. ``agrees`` compares letters with the given mutant and is
     null where either is missing.
     """
-
-    @F.pandas_udf("mutant string, error string")
-    def run(wild: pd.Series, parts: pd.Series) -> pd.DataFrame:
-        out = []
-        for sequence, changes in zip(wild, parts):
-            try:
-                if sequence is None:
-                    raise ValueError("no wild type")
-                out.append((mutate(sequence, list(changes)), None))
-            except ValueError as error:
-                out.append((None, str(error)))
-        return pd.DataFrame(out, columns=["mutant", "error"])
-
-    from strandloom.functions.sequence import letters
-
-    done = df.withColumn("r", run(letters(F.col("wt_sequence")), split_unquoted(F.col("mutation"))))
-    return done.select("variant_id", "r.mutant", "r.error", (F.col("r.mutant") == letters(F.col("full_mutant_sequence"))).alias("agrees"))
+    held = df.select("variant_id", letters(F.col("wt_sequence")).alias("_wild"), split_unquoted(F.col("mutation")).alias("_parts"), letters(F.col("full_mutant_sequence")).alias("_given"))
+    mutant, error = mutated(F.col("_wild"), F.col("_parts"))
+    return held.select("variant_id", mutant.alias("mutant"), error.alias("error"), "_given").select("variant_id", "mutant", "error", (F.col("mutant") == F.col("_given")).alias("agrees"))

@@ -60,19 +60,6 @@ def random_mutants(spark, directory):
     return generate.random_mutants(_designs(spark, directory).where("s <> ''"), "candidate_id", "s", 0.1, 7, "fixed_positions")
 
 
-@query()
-def decoded_designs(spark, directory):
-    """Two sequences a scaffold, drawn from left to right by what follows what in all designs; places fixed in half of its designs are kept."""
-    rows = _alignment(spark, directory)
-    sizes = rows.groupBy("aln").agg(F.max(F.length("seq")).alias("length"), F.count("*").alias("n"))
-    fixed = _designs(spark, directory).where(F.length("s") == F.length("p")).select(F.col("scaffold_id").alias("aln"), "p", F.explode("fixed_positions").alias("i"))
-    often = fixed.groupBy("aln", "i").agg(F.count("*").alias("k"), F.max(F.substring("p", F.col("i") + 1, F.lit(1))).alias("t")).join(sizes, "aln").where((F.col("k") >= 0.5 * F.col("n")) & (F.col("i") < F.col("length")))
-    kept = often.groupBy("aln").agg(F.map_from_entries(F.collect_list(F.struct("i", "t"))).alias("fixed"))
-    requests = sizes.join(kept, "aln", "left").select(F.col("aln").alias("id"), "length", F.coalesce("fixed", F.create_map().cast("map<int,string>")).alias("fixed"))
-    out = generate.decoded(requests, generate.transitions(rows), 2, 1.0, 7)
-    return out.select("id", "sample", "seq", F.round("mean_log_p", 6).alias("mean_log_p"))
-
-
 @query()
 def exposed_points(spark, directory):
     """How much of each point's sphere the other points leave free."""

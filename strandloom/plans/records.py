@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from strandloom.functions import sequence as S
 from strandloom.operators import records as R
 from strandloom.operators.skew import spread_join
 from strandloom.plans.catalog import Catalog
-from strandloom.session import materialize, read
+from strandloom.session import materialize, read, shared_dir
 
 catalog = Catalog()
 query = catalog.query
@@ -22,7 +24,9 @@ WITH raw AS (
 ), marked AS (
   SELECT record_index, v, trim(json_extract_string(v, '$.operon_id')) AS operon_id,
     CASE WHEN raw_json IS NULL THEN 'null_text' WHEN v IS NULL THEN 'malformed_json' WHEN json_type(v) <> 'OBJECT' THEN 'not_an_object'
-         WHEN coalesce(trim(json_extract_string(v, '$.operon_id')), '') = '' THEN 'missing_operon_id' END AS error_type
+         WHEN coalesce(trim(json_extract_string(v, '$.operon_id')), '') = '' THEN 'missing_operon_id'
+         WHEN coalesce(json_type(v, '$.summary'), 'NULL') NOT IN ('OBJECT', 'NULL') OR coalesce(json_type(v, '$.metadata'), 'NULL') NOT IN ('OBJECT', 'NULL') THEN 'invalid_field'
+         WHEN len(list_filter(list_concat(json_extract_string(v, '$.cas[*].evalue'), json_extract_string(v, '$.cas[*].score'), json_extract_string(v, '$.cas[*].length')), lambda x: regexp_matches(x, '\\S') AND TRY_CAST(x AS DOUBLE) IS NULL)) > 0 THEN 'invalid_number' END AS error_type
   FROM raw
 ), good AS (SELECT record_index, v, operon_id, trim(coalesce(json_extract_string(v, '$.summary.subtype'), '')) AS subtype FROM marked WHERE error_type IS NULL
 ), lists AS (
@@ -45,21 +49,28 @@ def _good(spark, directory):
     + """
 , cas_facts AS (
   SELECT record_index, count(*) AS n_cas,
-    bool_or(regexp_matches(upper(coalesce(json_extract_string(c, '$.hmm_name'), '')), 'CAS[-_]VI[-_][A-Z]') OR regexp_matches(upper(coalesce(json_extract_string(c, '$.gene_name'), '')), '\\bCAS13[A-J](?:\\b|[^A-Z])')) AS infers
+    bool_or(regexp_matches(lower(concat_ws(' ', json_extract_string(c, '$.gene_name'), json_extract_string(c, '$.hmm_name'), json_extract_string(c, '$.annotation'))), 'cas13|c2c2') AND (regexp_matches(upper(coalesce(json_extract_string(c, '$.hmm_name'), '')), 'CAS[-_]VI[-_][A-Z]') OR regexp_matches(upper(coalesce(nullif(json_extract_string(c, '$.gene_name'), ''), json_extract_string(c, '$.annotation'), '')), '\\bCAS13[A-J](?:\\b|[^A-Z])'))) AS infers
   FROM cas_rows GROUP BY 1
 ), array_facts AS (
   SELECT record_index, count(*) AS n_crispr, sum(CASE WHEN json_type(c, '$.crispr_spacers') = 'ARRAY' THEN json_array_length(c, '$.crispr_spacers') ELSE 0 END) AS n_spacers FROM array_rows GROUP BY 1
 )
-SELECT record_index, operon_id, subtype, subtype = 'VI' OR starts_with(subtype, 'VI-') OR (subtype = '' AND coalesce(infers, false)) AS is_type_vi,
+SELECT record_index, operon_id, subtype, upper(subtype) = 'VI' OR starts_with(upper(subtype), 'VI-') OR (subtype = '' AND coalesce(infers, false)) AS is_type_vi,
   json_extract_string(v, '$.metadata.source_db') AS source, json_extract_string(v, '$.metadata.taxonomy') AS taxonomy,
   json_extract_string(v, '$.metadata.biome') AS biome, json_extract_string(v, '$.metadata.assembly_type') AS assembly_type,
-  coalesce(n_cas, 0) AS n_cas, coalesce(n_crispr, 0) AS n_crispr, CAST(coalesce(n_spacers, 0) AS BIGINT) AS n_spacers
+  coalesce(n_cas, 0) AS n_cas, coalesce(n_crispr, 0) AS n_crispr, CAST(coalesce(n_spacers, 0) AS BIGINT) AS n_spacers,
+  len(list_filter(['contig', 'contig_id', 'start', 'end', 'strand', 'genes', 'genomic_context'], lambda k: list_contains(json_keys(v), k))) > 0 AS genomic_context_available
 FROM good LEFT JOIN cas_facts USING (record_index) LEFT JOIN array_facts USING (record_index)
 """
 )
 def operon_rows(spark, directory):
     """Normalised operons of the nested texts."""
-    return R.operon_rows(_good(spark, directory))
+    return R.operon_rows(_good(spark, directory)).drop("metadata_json", "crispr_arrays_json", "cas_annotations_json", "genomic_context_json")
+
+
+@query()
+def operon_json(spark, directory):
+    """The JSON parts of normalised operons, with sorted keys and without proteins."""
+    return R.operon_rows(_good(spark, directory)).select("record_index", "metadata_json", "crispr_arrays_json", "cas_annotations_json", "genomic_context_json")
 
 
 @query(_GOOD + "SELECT record_index, operon_id, error_type FROM marked WHERE error_type IS NOT NULL")
@@ -76,13 +87,13 @@ SELECT record_index, operon_id, cas_index, subtype,
   coalesce(nullif(json_extract_string(c, '$.gene_name'), ''), nullif(json_extract_string(c, '$.hmm_name'), ''), 'unknown') AS gene_name,
   json_extract_string(c, '$.hmm_name') AS hmm_name, s AS protein_sequence, sha256(s) AS sequence_sha256, length(s) AS protein_length,
   TRY_CAST(json_extract_string(c, '$.evalue') AS DOUBLE) AS evalue, TRY_CAST(json_extract_string(c, '$.score') AS DOUBLE) AS score,
-  json_extract_string(c, '$.truncated') AS truncated, json_extract_string(v, '$.metadata.source_db') AS source
+  json_extract_string(c, '$.truncated') AS truncated, json_extract_string(v, '$.metadata.source_db') AS source, json_extract_string(v, '$.metadata.taxonomy') AS taxonomy
 FROM e WHERE s <> ''
 """
 )
 def operon_effectors(spark, directory):
     """Effectors of the nested texts, one row each."""
-    return R.effector_rows(_good(spark, directory))
+    return R.cas_effectors(R.effector_rows(_good(spark, directory)))
 
 
 @query(
@@ -114,13 +125,13 @@ def operon_arrays(spark, directory):
     + """
 SELECT (SELECT count(*) FROM marked) AS texts, (SELECT count(*) FROM good) AS operons,
   (SELECT count(*) FROM good WHERE starts_with(subtype, 'VI')) AS type_vi,
-  (SELECT count(*) FROM cas_rows WHERE regexp_matches(lower(concat_ws(' ', json_extract_string(c, '$.gene_name'), json_extract_string(c, '$.hmm_name'))), 'cas13|c2c2')) AS cas13_effectors
+  (SELECT count(*) FROM cas_rows WHERE regexp_matches(lower(concat_ws(' ', json_extract_string(c, '$.gene_name'), json_extract_string(c, '$.hmm_name'), json_extract_string(c, '$.annotation'))), 'cas13|c2c2')) AS cas13_effectors
 """
 )
 def atlas_inspection(spark, directory):
     """Texts, operons, type VI operons and Cas13 effectors, counted in one pass."""
     parsed = R.parsed(read(spark, directory, "operon_raw"))
-    cas13 = F.size(F.filter(R._children("$.cas"), lambda c: R.is_cas13(R._get(c, "gene_name"), R._get(c, "hmm_name"))))
+    cas13 = F.size(F.filter(R._children("$.cas"), lambda c: R.is_cas13(*R._named(c))))
     per = parsed.select("error_type", F.trim(F.coalesce(R._text("$.summary.subtype"), F.lit(""))).alias("subtype"), F.when(F.col("error_type").isNull(), cas13).otherwise(0).alias("n"))
     good = F.col("error_type").isNull()
     return per.agg(F.count("*").alias("texts"), F.count_if(good).alias("operons"), F.count_if(good & F.col("subtype").startswith("VI")).alias("type_vi"), F.sum("n").alias("cas13_effectors"))
@@ -145,6 +156,77 @@ resolved AS (
 _EFFECTORS = "WITH effectors AS (SELECT DISTINCT operon_id, subtype, gene_name, hmm_name, sequence_sha256, evalue, score, truncated, source, annotated_at FROM cas_effectors), "
 
 
+_NESTED = (
+    _GOOD
+    + r"""
+, effectors AS (
+  SELECT record_index, operon_id, cas_index, subtype, c, coalesce(nullif(json_extract_string(c, '$.gene_name'), ''), json_extract_string(c, '$.annotation')) AS gene_name, json_extract_string(c, '$.hmm_name') AS hmm_name,
+    upper(regexp_replace(coalesce(json_extract_string(c, '$.protein'), ''), '\s', '', 'g')) AS protein_sequence,
+    coalesce(nullif(json_extract_string(c, '$.gene_name'), ''), nullif(json_extract_string(c, '$.hmm_name'), ''), 'Cas13') AS effector_name, concat_ws(' ', json_extract_string(c, '$.gene_name'), json_extract_string(c, '$.annotation')) AS told
+  FROM cas_rows
+), """.replace("\\\\", "\\")
+    + _RESOLVE.replace("concat_ws(' ', gene_name, hmm_name)", "concat_ws(' ', told, hmm_name)")
+    + """
+, records AS (
+  SELECT record_index, operon_id, cas_index, resolved_subtype AS subtype, subtype AS subtype_raw, resolved_source AS subtype_source, resolved_conflict AS subtype_conflict, effector_name, hmm_name, protein_sequence,
+    sha256(protein_sequence) AS sequence_sha256, length(protein_sequence) AS protein_length, TRY_CAST(json_extract_string(c, '$.length') AS BIGINT) AS source_length_field, TRY_CAST(json_extract_string(c, '$.evalue') AS DOUBLE) AS evalue,
+    TRY_CAST(json_extract_string(c, '$.score') AS DOUBLE) AS score, json_extract_string(c, '$.truncated') AS truncated
+  FROM resolved WHERE protein_sequence <> ''
+)"""
+)
+_PAIRED = (
+    _NESTED
+    + r"""
+, a AS (
+  SELECT record_index, array_index, lower(trim(coalesce(nullif(json_extract_string(c, '$.orientation'), ''), 'unknown'))) AS said, trim(coalesce(json_extract_string(c, '$.orientation_source'), '')) AS given,
+    replace(upper(regexp_replace(coalesce(json_extract_string(c, '$.crispr_repeat'), ''), '\s', '', 'g')), 'T', 'U') AS raw FROM array_rows
+), b AS (SELECT *, CASE WHEN said IN ('forward', 'reverse', 'recovered') THEN said ELSE 'unknown' END AS orientation, count(*) OVER (PARTITION BY record_index) AS n, row_number() OVER (PARTITION BY record_index ORDER BY array_index) AS k FROM a)
+, f AS (SELECT *, count(*) OVER (PARTITION BY record_index) AS n, row_number() OVER (PARTITION BY record_index ORDER BY cas_index) AS k FROM records)
+, paired AS (
+  SELECT f.record_index, f.operon_id, f.subtype, subtype_raw, subtype_source, subtype_conflict, effector_name, protein_sequence, coalesce(CASE WHEN b.orientation = 'reverse' THEN reverse(translate(raw, 'ACGUN', 'UGCAN')) ELSE raw END, '') AS direct_repeat,
+    coalesce(raw, '') AS direct_repeat_raw, coalesce(b.orientation, 'unknown') AS orientation, f.n AS effectors, coalesce(b.n, 0) AS arrays,
+    CASE WHEN b.record_index IS NULL THEN 'array_not_available' WHEN given <> '' THEN given WHEN b.orientation = 'unknown' THEN 'not_provided_by_atlas_v1.0' ELSE 'declared_in_source_record' END AS orientation_source
+  FROM f LEFT JOIN b ON b.record_index = f.record_index AND b.k = 1 WHERE f.k = 1
+), told AS (
+  SELECT *, concat_ws(';', CASE WHEN effectors <> 1 THEN 'effector_count=' || effectors END, CASE WHEN arrays <> 1 THEN 'array_count=' || arrays END, CASE WHEN direct_repeat = '' THEN 'empty_direct_repeat' END,
+    CASE WHEN NOT starts_with(upper(subtype), 'VI-') THEN 'ambiguous_subtype' END, CASE WHEN subtype_conflict THEN 'subtype_conflict_with_operon_summary' END, CASE WHEN orientation = 'unknown' THEN 'orientation_not_recovered' END) AS why FROM paired
+), pairs AS (SELECT * EXCLUDE (why, effectors, arrays), CASE WHEN why = '' THEN 'high' ELSE 'ambiguous' END AS pairing_confidence, nullif(why, '') AS ambiguity_reason FROM told)""".replace("\\\\", "\\")
+)
+
+
+@query(_NESTED + " SELECT * FROM records")
+def operon_cas13(spark, directory):
+    """Cas13 records of the nested texts with their subtype resolved."""
+    return R.cas13_records(R.effector_rows(_good(spark, directory))).drop("source", "taxonomy", "metadata_json")
+
+
+@query(_PAIRED + " SELECT * FROM pairs")
+def operon_pairs(spark, directory):
+    """Cas13 effectors of the nested texts paired with their operon's first repeat."""
+    good = _good(spark, directory)
+    return R.operon_pairs(R.cas13_records(R.effector_rows(good)), R.array_rows(good)).drop("spacers")
+
+
+@query(
+    _PAIRED
+    + """
+, cf AS (SELECT record_index, bool_or(regexp_matches(lower(concat_ws(' ', told, hmm_name)), 'cas13|c2c2') AND (regexp_matches(upper(coalesce(hmm_name, '')), 'CAS[-_]VI[-_][A-Z]') OR regexp_matches(upper(coalesce(gene_name, '')), '\\bCAS13[A-J](?:\\b|[^A-Z])'))) AS infers FROM effectors GROUP BY 1)
+, ops AS (SELECT subtype, upper(subtype) = 'VI' OR starts_with(upper(subtype), 'VI-') OR (subtype = '' AND coalesce(infers, false)) AS vi FROM good LEFT JOIN cf USING (record_index))
+, u AS (SELECT sequence_sha256, count(*) FILTER (NOT subtype_conflict) AS nc, count(*) FILTER (truncated = '00') AS ok FROM records GROUP BY 1)
+SELECT 'texts' AS stage, CAST(NULL AS VARCHAR) AS subtype, count(*) AS count FROM marked UNION ALL SELECT 'atlas_operons', NULL, count(*) FROM good UNION ALL SELECT 'type_vi_operons', NULL, count(*) FILTER (vi) FROM ops
+UNION ALL SELECT 'cas_effectors', NULL, count(*) FROM effectors WHERE protein_sequence <> '' UNION ALL SELECT 'cas13_records', NULL, count(*) FROM records UNION ALL SELECT 'crispr_arrays', NULL, count(*) FROM array_rows
+UNION ALL SELECT 'cas13_direct_repeat_pairs', NULL, count(*) FROM pairs WHERE pairing_confidence = 'high' UNION ALL SELECT 'ambiguous_pairs', NULL, count(*) FROM pairs WHERE pairing_confidence = 'ambiguous'
+UNION ALL SELECT 'processing_failures', NULL, count(*) FROM marked WHERE error_type IS NOT NULL UNION ALL SELECT 'cas13_exact_unique', NULL, count(*) FROM u
+UNION ALL SELECT 'conflicts', NULL, count(*) FROM records WHERE subtype_conflict UNION ALL SELECT 'complete_records', NULL, count(*) FROM records WHERE truncated = '00'
+UNION ALL SELECT 'eligible_exact_unique', NULL, count(*) FROM u WHERE nc > 0 AND ok > 0
+UNION ALL SELECT 'operon_subtypes', subtype, count(*) FROM good GROUP BY subtype UNION ALL SELECT 'record_subtypes', subtype, count(*) FROM records GROUP BY subtype
+"""
+)
+def atlas_build(spark, directory):
+    """The nine normalised tables written from the nested texts, and the funnel of what went where."""
+    return R.build_atlas(read(spark, directory, "operon_raw"), f"{shared_dir(spark)}/strandloom/atlas-{uuid.uuid4().hex}")
+
+
 def _cas13_effectors(spark, directory):
     """Cas13 effectors with their subtype resolved; rows delivered twice count once."""
     keep = ["operon_id", "subtype", "gene_name", "hmm_name", "sequence_sha256", "evalue", "score", "truncated", "source", "annotated_at"]
@@ -238,11 +320,18 @@ def cluster_split(spark, directory):
     return _splits(spark, directory)
 
 
-@query(_SPLIT + "SELECT count(DISTINCT cluster) AS clusters, (SELECT count(*) FROM (SELECT cluster FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1)) AS leaking, count(*) AS members FROM s")
+@query(
+    f"""
+WITH m AS (SELECT operon_id, min(split_part(taxonomy, ';', 3)) AS cluster FROM cas13_records WHERE taxonomy IS NOT NULL AND operon_id IS NOT NULL GROUP BY 1),
+h AS (SELECT *, CAST('0x' || sha256('{SEED}:' || operon_id)[1:16] AS UBIGINT)::DOUBLE / 18446744073709551616.0 AS f FROM m), s AS (SELECT *, CASE WHEN f < 0.8 THEN 'train' WHEN f < 0.8 + 0.1 THEN 'validation' ELSE 'test' END AS split FROM h)
+SELECT cluster, count(DISTINCT split) AS splits, count(*) AS members FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1
+"""
+)
 def leakage_gate(spark, directory):
-    """Clusters that stand in more than one split (there must be none)."""
-    per = _splits(spark, directory).groupBy("cluster").agg(F.count_distinct("split").alias("splits"), F.count("*").alias("members"))
-    return per.agg(F.count("*").alias("clusters"), F.count_if(F.col("splits") > 1).alias("leaking"), F.sum("members").alias("members"))
+    """Clusters that leak, where splits are dealt record by record and not by cluster: the gate finds those in several."""
+    clusters = read(spark, directory, "cas13_records").where("taxonomy is not null and operon_id is not null").groupBy("operon_id").agg(F.min(F.split_part("taxonomy", F.lit(";"), F.lit(3))).alias("cluster"))
+    dealt = clusters.select("operon_id", hashing.split_of(F.col("operon_id"), SEED).alias("split"))
+    return R.leaking_clusters(clusters, dealt, "operon_id")
 
 
 @query(_SPLIT + "SELECT split, count(DISTINCT cluster) AS clusters, count(*) AS members, min(n) AS smallest, max(n) AS largest FROM (SELECT *, count(*) OVER (PARTITION BY cluster) AS n FROM s) GROUP BY 1")

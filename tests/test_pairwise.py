@@ -92,17 +92,3 @@ def test_exposure_of_one_and_two_spheres(spark):
     near = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 1.0), (2, 1.5, 0.0, 0.0, 1.0)], "id int, x double, y double, z double, radius double")
     for r in geometry.exposed_parts(near, 0.5, 2000).collect():
         assert r.exposed == pytest.approx((1 + 0.75 / 1.5) / 2, abs=0.01)
-
-
-def test_decoder_keeps_fixed_and_allowed_places(spark):
-    flat = lambda prefix, place: [0.0] * 20
-    assert generate.decode(4, dict(enumerate("ACDA")), {}, flat, 1.0, random.Random(1).random)[0] == "ACDA"
-    text, trace = generate.decode(30, {0: "W"}, {1: "AC"}, flat, 1.0, random.Random(1).random)
-    assert text[0] == "W" and text[1] in "AC" and trace[0] == 0 and trace[1] == pytest.approx(math.log(0.5)) and trace[2] == pytest.approx(math.log(1 / 20))
-    rows = spark.createDataFrame([("m", "AAAACAAAAC"), ("m", "AAAAAAAAAA")], "aln string, seq string")
-    follows = generate.transitions(rows)
-    assert follows["^"] == {"A": 2} and follows["A"]["C"] == 2 and follows["C"] == {"A": 1}
-    requests = spark.createDataFrame([("x", 12, {3: "W"}), ("y", None, None), ("z", 0, None)], "id string, length int, fixed map<int,string>")
-    draw = lambda n: sorted(tuple(r) for r in generate.decoded(requests.repartition(n), follows, 2, 0.5, 9).collect())
-    got = draw(1)
-    assert got == draw(5) and [len(r[2]) for r in got] == [12, 12, 0, 0] and all(r[2][3] == "W" for r in got[:2])

@@ -62,18 +62,51 @@ def test_exact_unique_counts_copies_and_skips_nan(spark):
     assert R.exact_unique(df.limit(0)).count() == 0
 
 
-def test_mutations():
-    assert variants.mutate("ACDE", ["A1V", "E4F"]) == "VCDF" and variants.mutate("ACDE", ["p.Ala1Val"]) == "VCDE"
-    assert variants.mutate("ACDEFG", ["del2-3", "del5-5"]) == "AEG" and variants.mutate("ACDE", ["ins2_3:GG"]) == "ACGGDE"
-    for bad in (["G2A"], [], ["A9C"], ["A1V", "del2-3"], ["del1-3", "del3-4"], ["ins1_4:G"], ["WT"]):
-        try:
-            variants.mutate("ACDE", bad)
-        except ValueError:
-            continue
-        raise AssertionError(bad)
+def test_mutations(spark):
+    cases = [("ACDE", "A1V,E4F", "VCDF"), ("ACDE", "p.Ala1Val", "VCDE"), ("ACDEFG", "del2-3+del5-5", "AEG"), ("ACDE", "ins2_3:GG", "ACGGDE"), ("ACDE", "ins4_5:W", "ACDEW"), ("ACDE", "del1-4", ""), ("ACDE", "A1V A1W", "WCDE")]
+    bad = {"G2A": "other residue at the place", "": "no change", "A9C": "place outside the sequence", "A1V del2-3": "kinds of change mixed", "del1-3 del3-4": "deletions overlap", "ins1_4:G": "insertion between places that are no neighbours", "WT": "unsupported notation", "del3-9": "deletion outside the sequence", "ins1_2:G ins2_3:G": "kinds of change mixed"}
+    rows = [(f"g{i}", w, m, None) for i, (w, m, _) in enumerate(cases)] + [(k, "ACDE", k, None) for k in bad]
+    out = {r.variant_id: (r.mutant, r.error) for r in variants.applied(spark.createDataFrame(rows, "variant_id string, wt_sequence string, mutation string, full_mutant_sequence string")).collect()}
+    assert {k: out[k] for k in bad} == {k: (None, e) for k, e in bad.items()}
+    assert [out[f"g{i}"] for i in range(len(cases))] == [(m, None) for _, _, m in cases]
 
 
 def test_applied_mutations_tell_why_not(spark):
     rows = [("v", "acde", "A1V+E4F", "VCDF"), ("w", None, "A1V", None), ("x", "ACDE", None, "ACDE")]
     out = variants.applied(spark.createDataFrame(rows, "variant_id string, wt_sequence string, mutation string, full_mutant_sequence string")).orderBy("variant_id").collect()
     assert [(r.mutant, r.error, r.agrees) for r in out] == [("VCDF", None, True), (None, "no wild type", None), (None, "no change", None)]
+
+
+def test_whole_operons_fail_on_broken_fields(spark):
+    operons = [{"operon_id": "a", "cas": [{"score": "x"}]}, {"operon_id": "b", "summary": [1]}, {"operon_id": "c", "summary": None, "cas": {"evalue": "1e-5", "length": ""}}, {"operon_id": "d", "cas": [5, {"length": [1]}]}]
+    assert [r.error_type for r in good(spark, *operons).orderBy("record_index").collect()] == ["invalid_number", "invalid_field", None, "invalid_number"]
+
+
+def test_annotations_name_effectors(spark):
+    operon = {"operon_id": "a", "summary": {"subtype": "VI"}, "metadata": {"b": 1, "a": None}, "strand": "+", "cas": [{"gene_name": "", "annotation": "Cas13b protein", "protein": "AC", "length": 5}, {"gene_name": "cas1", "protein": "D"}]}
+    df = good(spark, operon)
+    (r,) = R.cas13_records(R.effector_rows(df)).collect()
+    assert (r.subtype, r.subtype_source, r.effector_name, r.source_length_field, r.cas_index) == ("VI-B", "effector_name_nomenclature", "Cas13", 5, 0)
+    (o,) = R.operon_rows(df).collect()
+    assert o.genomic_context_available and json.loads(o.genomic_context_json) == {"strand": "+"} and json.loads(o.metadata_json) == {"a": None, "b": 1}
+    assert json.loads(o.cas_annotations_json) == [{"annotation": "Cas13b protein", "gene_name": "", "length": 5}, {"gene_name": "cas1"}]
+
+
+def test_build_of_all_tables(spark, tmp_path):
+    one = {"operon_id": "o1", "summary": {"subtype": "VI-D"}, "cas": [{"gene_name": "Cas13d", "truncated": "00", "protein": "MKV"}], "crispr": [{"crispr_repeat": "GAAACACCGTTGAAAGTG", "orientation": "forward", "crispr_spacers": ["AC"]}]}
+    two = {"operon_id": "o2", "summary": {"subtype": "VI-A"}, "cas": [{"gene_name": "Cas13a", "truncated": "00", "protein": "MKL"}], "crispr": [{"crispr_repeat": "GT", "orientation": "forward"}, {"crispr_repeat": "GA", "orientation": "forward"}]}
+    raw = spark.createDataFrame([(1, json.dumps(one)), (2, json.dumps(two)), (3, "{"), (4, json.dumps({"operon_id": "bad", "cas": [{"protein": "A", "gene_name": "Cas13a", "score": "?"}]}))], "record_index long, raw_json string")
+    funnel = {r.stage: r["count"] for r in R.build_atlas(raw, str(tmp_path / "atlas")).where("subtype is null").collect()}
+    assert funnel == {"texts": 4, "atlas_operons": 2, "type_vi_operons": 2, "cas_effectors": 2, "cas13_records": 2, "crispr_arrays": 3, "cas13_direct_repeat_pairs": 1, "ambiguous_pairs": 1, "processing_failures": 2, "cas13_exact_unique": 2, "conflicts": 0, "complete_records": 2, "eligible_exact_unique": 2}
+    (high,) = spark.read.parquet(str(tmp_path / "atlas" / "cas13_direct_repeat_pairs")).collect()
+    (low,) = spark.read.parquet(str(tmp_path / "atlas" / "ambiguous_pairs")).collect()
+    assert high.direct_repeat == "GAAACACCGUUGAAAGUG" and high.spacers == ["AC"] and low.ambiguity_reason == "array_count=2"
+    assert R.build_atlas(raw.limit(0), str(tmp_path / "none")).where("count > 0").count() == 0
+
+
+def test_leaks_and_links(spark):
+    clusters = spark.createDataFrame([("a", "c1"), ("b", "c1"), ("c", "c2"), ("d", "c2"), ("e", "c3")], "k string, cluster string")
+    splits = spark.createDataFrame([("a", "train"), ("b", "test"), ("c", "train"), ("d", "train")], "k string, split string")
+    assert [tuple(r) for r in R.leaking_clusters(clusters, splits, "k").collect()] == [("c1", 2, 2)]
+    df = spark.createDataFrame([("h", "o1"), ("h", "o1"), ("h", "o2"), (None, "o"), ("g", None)], "sequence_sha256 string, operon_id string")
+    assert sorted(map(tuple, R.hash_operons(df).collect())) == [("h", "o1", 2), ("h", "o2", 1)]
