@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import hashing
 from strandloom.functions import sequence as S
 from strandloom.operators import columns, variants
+from strandloom.operators.designs import design_metrics
 from strandloom.plans.catalog import Catalog
 from strandloom.session import materialize, read
 
@@ -43,16 +44,8 @@ FROM c
 )
 def candidate_metrics(spark, directory):
     """Length, identity to the parent, charge, hydrophobicity and longest run of each design."""
-    s, p = F.col("s"), F.col("p")
-    return _designs(spark, directory).select(
-        "candidate_id",
-        F.length("s").alias("residues"),
-        F.round(S.identity(s, p), 6).alias("parent_identity"),
-        F.round(S.designed_identity(s, p, F.col("fixed_positions")), 6).alias("designed_identity"),
-        F.round(S.net_charge(s), 6).alias("net_charge"),
-        F.round(S.hydrophobicity(s), 6).alias("hydrophobicity"),
-        S.longest_homopolymer(s).alias("homopolymer"),
-    )
+    out = design_metrics(_designs(spark, directory), "candidate_id", "s", "p", "fixed_positions")
+    return out.select("candidate_id", "residues", *[F.round(c, 6).alias(c) for c in ("parent_identity", "designed_identity", "net_charge", "hydrophobicity")], "homopolymer")
 
 
 @query(
