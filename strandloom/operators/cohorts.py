@@ -172,11 +172,16 @@ def consensus(pairs: DataFrame, target: float) -> DataFrame:
     ``pairs`` has ``pair_id, parent, first, second`` of one length. Agreements stay. Where just one design
     has the parent's residue the other's is taken, and the parent's comes back at the places with the
     greatest gain in confidence until ``target`` of all places match (rounded half to even). Elsewhere
-    the more confident design wins, the first on ties. Confidences are draws by hash.
+    the more confident design wins, the first on ties. Confidences are those in ``first_confidence`` and
+    ``second_confidence``, one number a place; where ``pairs`` lacks these columns they are draws by hash.
     """
-    long = pairs.select("pair_id", F.length("parent").alias("n"), "parent", "first", "second", F.explode(F.sequence(F.lit(1), F.length("parent"))).alias("i"))
+    given = {"first_confidence", "second_confidence"} <= set(pairs.columns)
+    told = ["first_confidence", "second_confidence"] if given else []
+    long = pairs.select("pair_id", F.length("parent").alias("n"), "parent", "first", "second", *told, F.explode(F.sequence(F.lit(1), F.length("parent"))).alias("i"))
 
     def confidence(side: str) -> Column:
+        if given:
+            return F.try_element_at(f"{side}_confidence", F.col("i"))
         return F.pmod(hash_number(F.concat_ws(":", F.lit(side), "pair_id", "i")), F.lit(1000).cast("decimal(20,0)")).cast("int")
 
     cut = lambda c: F.substring(c, F.col("i"), F.lit(1))

@@ -54,32 +54,21 @@ def chain_breaks(residues: DataFrame, longest: float) -> DataFrame:
 def pareto_front(df: DataFrame, key: str, high: str, low: str) -> DataFrame:
     """Rows that no other row beats: none has ``high`` as great and ``low`` as small with one of them better.
 
-    Each task first keeps the front of its own rows; the fronts are merged in ever fewer tasks. Rows with
-    a null or NaN value are left out; equal rows stay together.
+    Of each ``high`` only the least ``low`` can stay. These are cut into ranges of ``high``; a value stays if it is under
+    the least of all higher ranges, of which there is one row each, and under all higher ones in its own. Rows with a
+    null or NaN value are left out; equal rows stay together.
     """
+    from strandloom.session import materialize
 
-    def front(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
-            x, y = (table.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("high", "low"))
-            order = np.lexsort((y, -x))
-            xs, ys = x[order], y[order]
-            starts = np.concatenate([[True], xs[1:] != xs[:-1]]) if len(xs) else np.zeros(0, bool)
-            best = ys[starts]
-            before = np.concatenate([[np.inf], np.minimum.accumulate(best)[:-1]]) if len(best) else best
-            group = np.cumsum(starts) - 1
-            keep = (ys == best[group]) & (ys < before[group]) if len(ys) else np.zeros(0, bool)
-            held = table.take(pa.array(np.sort(order[keep])))
-        if held is not None:
-            yield from held.to_batches()
-
-    kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), F.col(high).cast("double").alias("high"), F.col(low).cast("double").alias("low")).where("high is not null and low is not null and not isnan(high) and not isnan(low)")
-    schema = f"key {kind}, high double, low double"
-    for parts in (64, 8, 1):
-        rows = rows.mapInArrow(front, schema).repartition(parts)
-    return rows.mapInArrow(front, schema).select(F.col("key").alias(key), F.col("high").alias(high), F.col("low").alias(low))
+    least = rows.groupBy("high").agg(F.min("low").alias("low"))
+    ranged = materialize(least.repartitionByRange(F.desc("high")).withColumn("part", F.spark_partition_id()), "pareto-ranges")
+    # One row a range, so this window is as small as the number of partitions.
+    above = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bounds = ranged.groupBy("part").agg(F.min("low").alias("m")).withColumn("bound", F.min("m").over(above)).drop("m")
+    before = Window.partitionBy("part").orderBy(F.desc("high")).rowsBetween(Window.unboundedPreceding, -1)
+    kept = ranged.join(bounds, "part").withColumn("best", F.min("low").over(before)).where("(bound is null or low < bound) and (best is null or low < best)")
+    return rows.join(kept.select("high", "low"), ["high", "low"], "left_semi").select(F.col("key").alias(key), F.col("high").alias(high), F.col("low").alias(low))
 
 
 def superposed_rmsd(points: DataFrame, groups: list[str]) -> DataFrame:

@@ -13,9 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-RANGE_BYTES = 64 << 20
+RANGE_BYTES = 8 << 20
 _OPEN, _CLOSE, _BLANK = b"[{", b"]}", b" \t\r\n"
 _FACTS = ("path", "start", "outside", "inside", "flips", "filled")
 
@@ -118,31 +119,28 @@ def read_json_array(spark: SparkSession, paths: str | list[str], range_bytes: in
     closed, content after it, empty elements and bad UTF-8 come out as rows with an ``error``. Elements
     that are no valid JSON come out as text; parse them with ``try_parse_json``.
     """
-    ranges = []
+    files = []
     for path in [paths] if isinstance(paths, str) else paths:
         system, name = _at(path)
         size = system.get_file_info(name).size
         if not _read(path, 0, min(size, 1 << 16)).lstrip(_BLANK).startswith(b"["):
             raise ValueError(f"no JSON array: {path}")
-        ranges += [(path, s, min(s + range_bytes, size), size) for s in range(0, size, range_bytes)]
+        files.append((path, size))
+    ranges = spark.createDataFrame(files, "path string, size long").select("path", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(range_bytes))).alias("start"))
+    ranges = ranges.select("path", "start", F.least(F.col("start") + range_bytes, F.col("size")).alias("end"), "size")
+    parts = max(1, min(sum(-(-size // range_bytes) for _, size in files), 10_000))
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(p, s, *range_facts(p, s, e)) for p, s, e, _ in zip(*(c.to_pylist() for c in batch.columns))]
             yield pa.RecordBatch.from_pylist([dict(zip(_FACTS, r)) for r in rows], pa.schema([("path", pa.string()), *((n, pa.int64()) for n in _FACTS[1:])]))
 
-    parts = max(1, min(len(ranges), 10_000))
-    table = spark.createDataFrame(ranges, "path string, start long, end long, size long").repartition(parts, "path", "start")
-    told = {(r.path, r.start): r for r in table.mapInArrow(facts, "path string, " + ", ".join(f"{n} long" for n in _FACTS[1:])).collect()}
-    states, inside, depth, begun = [], False, 0, False
-    for path, start, end, size in ranges:
-        if start == 0:
-            inside, depth, begun = False, 0, False
-        states.append((path, start, end, size, inside, depth, begun))
-        fact = told[path, start]
-        depth += fact.inside if inside else fact.outside
-        inside ^= bool(fact.flips)
-        begun |= bool(fact.filled)
+    told = ranges.repartition(parts, "path", "start").mapInArrow(facts, "path string, " + ", ".join(f"{n} long" for n in _FACTS[1:]))
+    # How a range begins follows from the ranges before it in its file: in a string after an odd number of turns, and so on.
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    marked = told.withColumn("within", F.coalesce(F.sum("flips").over(before), F.lit(0)) % 2 == 1)
+    step = F.when(F.col("within"), F.col("inside")).otherwise(F.col("outside"))
+    states = marked.withColumns({"depth": F.coalesce(F.sum(step).over(before), F.lit(0)), "begun": F.coalesce(F.max("filled").over(before), F.lit(0)) > 0})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +154,7 @@ def read_json_array(spark: SparkSession, paths: str | list[str], range_bytes: in
                 if held:
                     yield _rows(row[0], held)
 
-    known = spark.createDataFrame(states, "path string, start long, end long, size long, inside boolean, depth long, begun boolean").repartition(parts, "path", "start")
+    known = ranges.join(states.select("path", "start", "within", "depth", "begun"), ["path", "start"]).select("path", "start", "end", "size", "within", "depth", "begun").repartition(parts, "path", "start")
     return known.mapInArrow(cut, "path string, offset long, raw_json string, error string")
 
 

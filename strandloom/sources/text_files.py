@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Residue names of the standard amino acids and their letters.
-RESIDUE_LETTERS = dict(zip("ALA CYS ASP GLU PHE GLY HIS ILE LYS LEU MET ASN PRO GLN ARG SER THR VAL TRP TYR".split(), "ACDEFGHIKLMNPQRSTVWY"))
-# Residue names of the nucleotides.
-RNA_RESIDUES, DNA_RESIDUES = ("A", "C", "G", "U", "I", "N"), ("DA", "DC", "DG", "DT", "DI", "DN")
+# Residue names of the amino acids and their letters, three modified ones last.
+RESIDUE_LETTERS = dict(zip("ALA CYS ASP GLU PHE GLY HIS ILE LYS LEU MET ASN PRO GLN ARG SER THR VAL TRP TYR MSE SEC PYL".split(), "ACDEFGHIKLMNPQRSTVWYMCK"))
+MODIFIED_AMINO_ACIDS = ("MSE", "SEC", "PYL")
+# Residue names of the nucleotides of RNA, with their aliases; the plain ones and the letters they stand for.
+RNA_RESIDUES = ("A", "C", "G", "U", "I", "RA", "RC", "RG", "RU", "ADE", "CYT", "GUA", "URA", "PSU")
+RNA_LETTERS = {"A": "A", "C": "C", "G": "G", "U": "U", "RA": "A", "RC": "C", "RG": "G", "RU": "U"}
+# The greatest area of each amino acid that a probe can touch, in square angstrom.
+GREATEST_AREAS = {"A": 129.0, "C": 167.0, "D": 193.0, "E": 223.0, "F": 240.0, "G": 104.0, "H": 224.0, "I": 197.0, "K": 236.0, "L": 201.0, "M": 224.0, "N": 195.0, "P": 159.0, "Q": 225.0, "R": 274.0, "S": 155.0, "T": 172.0, "V": 174.0, "W": 285.0, "Y": 263.0}
 
 ATOM_COLUMNS = "record string, serial int, name string, altloc string, resname string, chain string, resnum int, icode string, x double, y double, z double, occupancy double, b double, element string"
 
@@ -21,16 +26,75 @@ def gate(df: DataFrame, bad: str, message: str) -> DataFrame:
     return df.where(F.when(F.expr(bad), F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True)))
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+def check_unique(df: DataFrame, *keys: str) -> DataFrame:
+    """``df``; fails at once if a key stands twice. The keys are counted in a job of their own."""
+    twice = df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").first()
+    if twice is not None:
+        raise ValueError(f"{', '.join(keys)} stands {twice.n} times: {[twice[k] for k in keys]}")
+    return df
+
+
+def read_fasta(spark: SparkSession, path: str, unique: bool = False) -> DataFrame:
     """``id, seq`` of FASTA files: ids up to the first blank, sequences without blanks in upper case.
 
-    Text before the first header and an empty id fail. Records are split by the reader, so files are
-    read in parallel and a record never passes the driver.
+    Text before the first header of a file fails at once, an empty id when it is met, and, where ``unique``, an id that
+    stands twice. Records are split by the reader, so files are read in parallel and a record never passes the driver.
     """
     records = spark.read.text(path, lineSep="\n>").where(F.regexp_replace("value", r"\s", "") != "")
+    # Only the first record of a file keeps its mark.
+    headed = records.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.max(F.ltrim("value").startswith(">")).alias("headed")).where("not headed").first()
+    if headed is not None:
+        raise ValueError(f"text before the first header of {headed.file}")
     body = F.regexp_replace("value", r"^>?[^\r\n]*", "")
     out = records.select(F.regexp_extract("value", r"^>?(\S*)", 1).alias("id"), F.upper(F.regexp_replace(body, r"\s", "")).alias("seq"))
-    return gate(out, "id = ''", "a FASTA record without an id").select("id", "seq")
+    out = gate(out, "id = ''", "a FASTA record without an id").select("id", "seq")
+    return check_unique(out, "id") if unique else out
+
+
+# The letters of alignments of each kind, gaps apart.
+ALPHABETS = {"protein": "ACDEFGHIKLMNPQRSTVWY", "rna": "ACGUTN", "mixed": "ACDEFGHIKLMNPQRSTVWYU"}
+
+
+def read_alignment(spark: SparkSession, path: str, alphabet: str = "protein") -> DataFrame:
+    """``aln, row_id, seq`` of aligned FASTA, one alignment a file; dots are gaps.
+
+    Fails at once unless each file has two rows or more, of one length that is not 0, with no other letters than its kind has.
+    """
+    from strandloom.operators.columns import check_alignment
+
+    records = spark.read.text(path, lineSep="\n>").where(F.regexp_replace("value", r"\s", "") != "")
+    read_fasta(spark, path)
+    body = F.upper(F.regexp_replace(F.regexp_replace("value", r"^>?[^\r\n]*", ""), r"\s", ""))
+    rows = records.select(F.col("_metadata.file_path").alias("aln"), F.regexp_extract("value", r"^>?(\S*)", 1).alias("row_id"), F.translate(body, ".", "-").alias("seq"))
+    broken = check_alignment(rows).first()
+    if broken is not None:
+        raise ValueError(f"{broken.aln}: {broken.reason}")
+    return gate(rows, f"seq rlike '[^{ALPHABETS[alphabet]}-]'", f"a letter outside the {alphabet} alphabet")
+
+
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """CSV files with a header of the schema's names; other headers and values that do not fit fail."""
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path, mode="FAILFAST")
+
+
+def read_structures(spark: SparkSession, path: str) -> DataFrame:
+    """Atoms of all structure files in a folder by their suffix: .pdb and .ent, .cif and .mmcif; any other fails at once."""
+    other = spark.read.format("binaryFile").load(path).select("path").where(~F.lower("path").rlike(r"\.(pdb|ent|cif|mmcif)$")).first()
+    if other is not None:
+        raise ValueError(f"unsupported structure format: {other.path}")
+    of = lambda *suffixes: path.rstrip("/") + "/*.{" + ",".join([*suffixes, *map(str.upper, suffixes)]) + "}"
+    found = [reader(spark, files) for reader, files in ((read_pdb, of("pdb", "ent")), (read_mmcif, of("cif", "mmcif"))) if _any(spark, files)]
+    if not found:
+        raise ValueError(f"no structures in {path}")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _any(spark: SparkSession, pattern: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return len(where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(where)) > 0
 
 
 def read_cluster_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -95,6 +159,8 @@ def read_mmcif(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path"), "value").mapInArrow(run, "path string, " + ATOM_COLUMNS)
 
 
+# A field of a loop: in quotes, which end where a blank follows, or up to the next blank.
+_FIELDS = re.compile(r"""'(?:[^']|'(?=\S))*'(?=\s|$)|"(?:[^"]|"(?=\S))*"(?=\s|$)|\S+""")
 _ATOM_ARROW = pa.schema([("path", pa.string())] + [(n, {"int": pa.int32(), "double": pa.float64(), "string": pa.string()}[k]) for n, k in (x.split() for x in ATOM_COLUMNS.split(", "))])
 
 
@@ -106,11 +172,11 @@ def _atom_site(text: str) -> Iterator[dict]:
         if line.startswith("_atom_site."):
             names.append(line.split(".", 1)[1].strip())
         elif names and line.startswith(("ATOM", "HETATM")):
-            row = dict(zip(names, line.split()))
+            row = dict(zip(names, (m.group().strip() for m in _FIELDS.finditer(line))))
             model = row.get("pdbx_PDB_model_num") if model is None else model
             if row.get("pdbx_PDB_model_num") != model or row.get("label_alt_id", ".") not in (".", "?", "A"):
                 continue
-            clean = {k: "" if v in (".", "?") else v.strip("\"'") for k, v in row.items()}
+            clean = {k: "" if v in (".", "?") else v[1:-1] if v[0] in "\"'" and v[-1] == v[0] and len(v) > 1 else v for k, v in row.items()}
             yield {
                 "record": clean["group_PDB"],
                 "serial": int(clean["id"]),
@@ -130,9 +196,59 @@ def _atom_site(text: str) -> Iterator[dict]:
 
 
 def polymer_type(resname: str) -> Column:
-    """protein, rna, dna or other by residue name."""
-    c = F.upper(F.col(resname))
-    return F.when(c.isin(*RESIDUE_LETTERS), "protein").when(c.isin(*RNA_RESIDUES), "rna").when(c.isin(*DNA_RESIDUES), "dna").otherwise("other")
+    """protein, rna or other by residue name."""
+    c = F.upper(F.trim(F.col(resname)))
+    return F.when(c.isin(*RESIDUE_LETTERS), "protein").when(c.isin(*RNA_RESIDUES), "rna").otherwise("other")
+
+
+def _letter(names: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.upper(F.col("resname")))
+
+
+def chain_sequences(residues: DataFrame) -> DataFrame:
+    """``path, chain, polymer, seq`` of protein and RNA chains in order of number and insertion code; other nucleotides than the plain ones are N.
+
+    A chain bounds what is gathered.
+    """
+    held = residues.where(F.col("polymer").isin("protein", "rna"))
+    letter = F.when(F.col("polymer") == "protein", _letter(RESIDUE_LETTERS)).otherwise(F.coalesce(_letter(RNA_LETTERS), F.lit("N")))
+    ordered = F.array_sort(F.collect_list(F.struct("resnum", "icode", letter.alias("a"))))
+    return held.groupBy("path", "chain", "polymer").agg(F.array_join(F.transform(ordered, lambda x: x["a"]), "").alias("seq"))
+
+
+def structure_quality(atoms: DataFrame, longest: float = 4.5) -> DataFrame:
+    """Per structure its chains by type, residues, missing backbones, modified residues, chain breaks and whether all places are finite.
+
+    ``atoms`` are those of the readers. A chain with a protein residue is a protein chain, one with a nucleotide an RNA
+    chain, any other is neither. A break lies between CA atoms further apart than ``longest``.
+    """
+    from strandloom.operators.geometry import chain_breaks
+
+    per = residues(atoms)
+    name = F.upper(F.col("resname"))
+    plain = F.when(F.col("polymer") == "protein", ~name.isin(*MODIFIED_AMINO_ACIDS)).when(F.col("polymer") == "rna", name.isin(*RNA_LETTERS)).otherwise(True)
+    chains = per.groupBy("path", "chain").agg(F.count_if(F.col("polymer") == "protein").alias("p"), F.count_if(F.col("polymer") == "rna").alias("r"), F.count_if(F.size("missing") > 0).alias("missing"), F.count_if(~plain).alias("modified"))
+    listed = lambda condition: F.array_sort(F.collect_set(F.when(condition, F.col("chain"))))
+    out = chains.groupBy("path").agg(
+        listed(F.col("p") > 0).alias("protein_chains"),
+        listed(F.col("r") > 0).alias("rna_chains"),
+        listed((F.col("p") == 0) & (F.col("r") == 0)).alias("other_chains"),
+        F.sum("p").alias("protein_residues"),
+        F.sum("r").alias("rna_residues"),
+        F.sum("missing").alias("missing_backbones"),
+        F.sum("modified").alias("modified_residues"),
+    )
+    placed = per.where("polymer = 'protein' and x is not null").select(F.struct("path", "chain").alias("chain"), F.struct("resnum", "icode").alias("number"), "x", "y", "z")
+    broken = chain_breaks(placed, longest).groupBy(F.col("chain.path").alias("path")).agg(F.count("*").alias("breaks"))
+    finite = atoms.groupBy("path").agg(F.min((F.abs("x") < F.lit(float("inf"))) & (F.abs("y") < F.lit(float("inf"))) & (F.abs("z") < F.lit(float("inf")))).alias("finite"))
+    return out.join(broken, "path", "left").join(finite, "path").withColumn("chain_breaks", F.coalesce("breaks", F.lit(0))).drop("breaks")
+
+
+def relative_exposure(areas: DataFrame) -> DataFrame:
+    """``path, chain, resnum, icode, exposure`` of protein residues from areas of atoms (these columns, ``resname, area``), at most 1."""
+    held = areas.withColumn("a", _letter(RESIDUE_LETTERS)).where("a is not null")
+    greatest = F.element_at(F.create_map(*[F.lit(x) for pair in GREATEST_AREAS.items() for x in pair]), F.max("a"))
+    return held.groupBy("path", "chain", "resnum", "icode").agg(F.least(F.lit(1.0), F.sum("area") / greatest).alias("exposure"))
 
 
 def residues(atoms: DataFrame) -> DataFrame:
@@ -164,7 +280,22 @@ def interface_pae(cells: DataFrame, left: DataFrame, right: DataFrame) -> DataFr
 
 
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Flat candidates of nested JSON lines; only the columns named here are parsed. Empty ids and mock rows fail."""
-    schema = "pdb_id string, method string, candidate struct<candidate_id string, scaffold_id string, sequence string, parent_sequence string, temperature double, seed bigint, is_mock boolean, evidence_level int>, recovery struct<fixed_position_violations int>"
+    """Flat candidates of nested JSON lines; only the columns named here are parsed.
+
+    Empty ids and mock rows fail when they are met, ids that stand twice and files without rows at once.
+    """
+    schema = "pdb_id string, method string, candidate struct<candidate_id string, scaffold_id string, sequence string, parent_sequence string, temperature double, seed bigint, fixed_positions map<string,string>, is_mock boolean, evidence_level int>, recovery struct<fixed_position_violations int>"
     rows = spark.read.schema(schema).json(path).select("pdb_id", "method", "candidate.*", "recovery.fixed_position_violations")
-    return gate(rows, "coalesce(candidate_id, '') = '' or coalesce(is_mock, false)", "a candidate without an id, or a mock one")
+    rows = rows.withColumn("fixed_positions", F.array_sort(F.transform(F.map_keys("fixed_positions"), lambda k: k.cast("int"))))
+    out = check_unique(gate(rows, "coalesce(candidate_id, '') = '' or coalesce(is_mock, false)", "a candidate without an id, or a mock one"), "candidate_id")
+    if out.isEmpty():
+        raise ValueError(f"no candidates in {path}")
+    return out
+
+
+def read_proposals(spark: SparkSession, path: str) -> DataFrame:
+    """Proposals of nested JSON lines, flat, with method, seed block, number and the seed their model took; mock ones fail."""
+    schema = "method string, seed_block bigint, proposal_index bigint, candidate struct<candidate_id string, scaffold_id string, sequence string, parent_sequence string, temperature double, seed bigint, fixed_positions map<string,string>, is_mock boolean, metadata struct<actual_model_seed bigint>>"
+    rows = spark.read.schema(schema).json(path).select("method", "seed_block", "proposal_index", "candidate.*")
+    flat = rows.select("*", F.col("metadata.actual_model_seed").alias("actual_model_seed"), F.transform_keys("fixed_positions", lambda k, _: k.cast("int")).alias("fixed")).drop("metadata", "fixed_positions").withColumnRenamed("fixed", "fixed_positions")
+    return gate(flat, "coalesce(is_mock, true)", "a mock proposal")

@@ -20,8 +20,14 @@ def window_counts(events: DataFrame, time: str, keys: list[str], width: str, lat
     return events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *keys).agg(F.count("*").alias("events")).select(F.col("w.start").alias("window_start"), *keys, "events")
 
 
-def first_sightings(events: DataFrame, keys: list[str]) -> DataFrame:
-    """Each combination of keys once, when it is first seen. Its state grows with the number of combinations."""
+def first_sightings(events: DataFrame, keys: list[str], time: str | None = None, within: str | None = None) -> DataFrame:
+    """Each combination of keys once, when it is first seen.
+
+    Its state grows with the number of combinations, unless ``time`` and ``within`` are given: then a combination is
+    forgotten when no event that old can still come, and comes out again if it is seen later.
+    """
+    if time and within:
+        return events.select(*keys, time).withWatermark(time, within).dropDuplicatesWithinWatermark(keys)
     return events.select(*keys).dropDuplicates(keys)
 
 

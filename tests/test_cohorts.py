@@ -93,3 +93,11 @@ def test_rank_agreement_of_constant_states(spark):
     df = spark.createDataFrame([("same", 1.0, 1.0), ("same", 1.0, 1.0), ("flat", 1.0, 0.0), ("flat", 1.0, 2.0), ("back", 0.0, 1.0), ("back", 1.0, 0.0)], "g string, x double, y double")
     out = {r.g: r.c for r in df.groupBy("g").agg(C.rank_agreement("x", "y").alias("c")).collect()}
     assert out == {"same": 1.0, "flat": 0.0, "back": pytest.approx(-1.0)}
+
+
+def test_consensus_takes_given_confidences(spark):
+    rows = [("p", "AAAA", "CCAC", "DDDA", [0.9, 0.1, 0.5, 0.5], [0.1, 0.9, 0.2, 0.6])]
+    df = spark.createDataFrame(rows, "pair_id string, parent string, first string, second string, first_confidence array<double>, second_confidence array<double>")
+    (low,) = C.consensus(df, 0.0).collect()
+    (high,) = C.consensus(df, 0.25).collect()
+    assert low.sequence == "CDDC" and high.sequence == "CDAC" and high.kept == 1

@@ -142,3 +142,79 @@ def test_best_hits_of_repeated_rows_and_ties(spark, tmp_path):
     spark.createDataFrame(rows, "operon_id string, sequence_sha256 string, score int").write.parquet(str(tmp_path / "cas_effectors.parquet"))
     found = exchange.hit_table_exchange(spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in found) == [("o1", "t1", 0.9), ("o2", "a", 0.8), ("o3", "z", 0.5)]
+
+
+def test_text_before_the_first_header_fails(spark, tmp_path):
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "a.fasta").write_text("ACDE\n>x\nFG\n")
+    (tmp_path / "bad" / "b.fasta").write_text(">y\nFG\n")
+    with pytest.raises(ValueError, match="before the first header"):
+        text_files.read_fasta(spark, str(tmp_path / "bad"))
+    (tmp_path / "twice.fasta").write_text(">x one\nAC\n>y\nAC\n\n>x two\nac d\n")
+    assert sorted(tuple(r) for r in text_files.read_fasta(spark, str(tmp_path / "twice.fasta")).collect()) == [("x", "AC"), ("x", "ACD"), ("y", "AC")]
+    with pytest.raises(ValueError, match="stands 2 times"):
+        text_files.read_fasta(spark, str(tmp_path / "twice.fasta"), unique=True)
+
+
+def test_alignments_are_checked(spark, tmp_path):
+    (tmp_path / "good.fa").write_text(">1\nAC.DE\n>2\nacn-e\n")
+    assert sorted(r.seq for r in text_files.read_alignment(spark, str(tmp_path / "good.fa")).collect()) == ["AC-DE", "ACN-E"]
+    for name, text, told in (("a.fa", ">1\nAC\n>2\nA\n", "unequal"), ("b.fa", ">1\nAC\n", "fewer"), ("c.fa", ">1\nAU\n>2\nAA\n", "alphabet")):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(Exception, match=told):
+            text_files.read_alignment(spark, str(tmp_path / name)).collect()
+    assert text_files.read_alignment(spark, str(tmp_path / "c.fa"), "mixed").count() == 2
+
+
+def test_tables_with_headers(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('id,v\n"a,b",1\nc,\n')
+    assert [tuple(r) for r in text_files.read_table(spark, str(tmp_path / "t.csv"), "id string, v int").collect()] == [("a,b", 1), ("c", None)]
+    with pytest.raises(Exception):
+        text_files.read_table(spark, str(tmp_path / "t.csv"), "id string, w int").collect()
+    with pytest.raises(Exception):
+        text_files.read_table(spark, str(tmp_path / "t.csv"), "id int, v int").collect()
+
+
+def test_structures_by_suffix(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "one.pdb").write_text(PDB)
+    (tmp_path / "s" / "two.CIF").write_text(CIF.replace("CA . ALA A 1 1.4", "'C A'' . ALA A 1 1.4").replace("'C A'' .", "\"C A'\" ."))
+    atoms = text_files.read_structures(spark, str(tmp_path / "s"))
+    names = {(r.path.rsplit("/", 1)[1], r.name) for r in atoms.collect()}
+    assert ("two.CIF", "C A'") in names and ("one.pdb", "P") in names and len(names) == 6
+    (tmp_path / "s" / "x.txt").write_text("no")
+    with pytest.raises(ValueError, match="unsupported"):
+        text_files.read_structures(spark, str(tmp_path / "s"))
+
+
+def test_quality_of_a_structure(spark, tmp_path):
+    more = PDB.replace("TER\n", "")
+    more += "HETATM    8  CA  MSE A   9      30.000   0.000   0.000  1.00 10.00           C\nATOM      9  P   PSU R   1       0.000   9.000   0.000  1.00 10.00           P\nATOM     10  P     G R   2       0.000   9.000   5.000  1.00 10.00           P\nHETATM   11  O   HOH W   1       0.000   9.000   5.000  1.00 10.00           O\n"
+    (tmp_path / "q.pdb").write_text(more)
+    atoms = text_files.read_pdb(spark, str(tmp_path / "q.pdb"))
+    (q,) = text_files.structure_quality(atoms).collect()
+    assert (q.protein_chains, q.rna_chains, q.other_chains) == (["A"], ["R", "_"], ["W"]) and (q.protein_residues, q.rna_residues) == (3, 3)
+    assert (q.missing_backbones, q.modified_residues, q.chain_breaks, q.finite) == (2, 2, 1, True)
+    seqs = {(r.chain, r.polymer): r.seq for r in text_files.chain_sequences(text_files.residues(atoms)).collect()}
+    assert seqs == {("A", "protein"): "AGM", ("R", "rna"): "NG", ("_", "rna"): "A"}
+    areas = spark.createDataFrame([("p", "A", 1, "", "ALA", 60.0), ("p", "A", 1, "", "ALA", 4.5), ("p", "A", 2, "", "GLY", 900.0), ("p", "W", 1, "", "HOH", 5.0)], "path string, chain string, resnum int, icode string, resname string, area double")
+    assert {r.resnum: r.exposure for r in text_files.relative_exposure(areas).collect()} == {1: 0.5, 2: 1.0}
+
+
+def test_proposals_and_candidates(spark, tmp_path):
+    row = {"method": "m", "seed_block": 1, "proposal_index": 2, "candidate": {"candidate_id": "a", "sequence": "AC", "fixed_positions": {"1": "C", "0": "A"}, "is_mock": False, "metadata": {"actual_model_seed": 7}}, "recovery": {"fixed_position_violations": 0}}
+    (tmp_path / "p.jsonl").write_text(json.dumps(row) + "\n\n")
+    (r,) = text_files.read_proposals(spark, str(tmp_path / "p.jsonl")).collect()
+    assert (r.method, r.seed_block, r.proposal_index, r.actual_model_seed, r.fixed_positions) == ("m", 1, 2, 7, {0: "A", 1: "C"})
+    (c,) = text_files.read_candidates(spark, str(tmp_path / "p.jsonl")).collect()
+    assert c.fixed_positions == [0, 1]
+    (tmp_path / "two.jsonl").write_text((json.dumps(row) + "\n") * 2)
+    with pytest.raises(ValueError, match="stands 2 times"):
+        text_files.read_candidates(spark, str(tmp_path / "two.jsonl"))
+    row["candidate"]["is_mock"] = True
+    (tmp_path / "mock.jsonl").write_text(json.dumps(row))
+    with pytest.raises(Exception, match="mock"):
+        text_files.read_proposals(spark, str(tmp_path / "mock.jsonl")).collect()
+    (tmp_path / "none.jsonl").write_text("\n")
+    with pytest.raises(ValueError, match="no candidates"):
+        text_files.read_candidates(spark, str(tmp_path / "none.jsonl"))
