@@ -35,7 +35,7 @@ def p5_found(spark, directory):
 
 
 def p5_groups(spark, directory):
-    """Each row with its class of near-duplicates and its number of links."""
+    """Each row with its class of near-duplicates and the size of the class."""
     return neardup.near_groups(sequence_records(spark, directory, parents=False))
 
 
@@ -120,6 +120,20 @@ WHERE a.letters <> b.letters AND c.c >= 0.6 * (a.n + b.n - c.c)
 """
 )
 
+# A record's metadata as the sorted list of what stands at each path, which does not depend on the order of fields.
+_COPIES = r"""
+WITH rows AS (
+  SELECT record_key, upper(regexp_replace(protein_sequence, '[^A-Za-z]', '', 'g')) AS letters, regexp_replace(lower(effector_name), '[^\p{L}\p{N}]', '', 'g') AS effector, metadata_json FROM cas13_records WHERE regexp_matches(protein_sequence, '[A-Za-z]')
+), parts AS (
+  SELECT record_key, t.fullkey || '=' || CASE t.type WHEN 'OBJECT' THEN '{}' WHEN 'ARRAY' THEN '[]' WHEN 'VARCHAR' THEN '"' || regexp_replace(lower(t.atom ->> '$'), '[^\p{L}\p{N}]', '', 'g') WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN CAST(t.atom AS VARCHAR) ELSE CAST(CAST(t.atom AS DOUBLE) AS VARCHAR) END AS part
+  FROM (SELECT record_key, metadata_json FROM rows WHERE json_valid(metadata_json)), json_tree(metadata_json) t
+), told AS (SELECT record_key, string_agg(part, chr(10) ORDER BY part) AS content FROM parts GROUP BY 1
+), canon AS (
+  SELECT record_key, letters, coalesce('=' || effector, '-') AS effector, CASE WHEN metadata_json IS NULL THEN '-' WHEN content IS NULL THEN '?' || regexp_replace(lower(metadata_json), '[^\p{L}\p{N}]', '', 'g') ELSE content END AS content
+  FROM rows LEFT JOIN told USING (record_key)
+), grouped AS (SELECT record_key, min(record_key) OVER w AS keep_key, count(*) OVER w AS copies FROM canon WINDOW w AS (PARTITION BY letters, effector, content))
+"""
+
 _LEAKS = r"""
 WITH items AS (
   SELECT item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') AS w FROM eval_items
@@ -137,7 +151,20 @@ SELECT DISTINCT doc_id, item_id FROM runs JOIN passages USING (n, g)
 """
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_shared_part, p4_found, p4_records, p5_found, p5_groups, p6_packed, p6_fill, p7_found, p7_edited, p7_items, p8_found, p8_scores, p8_source_rates)}
+_CLASSES = (
+    _NEAR.replace("WITH records", "WITH RECURSIVE records").replace("SELECT c.record_set AS source_table, x AS left_key, y AS right_key\nFROM", ", near AS (SELECT c.record_set AS record_set, x, y FROM")
+    + """), links AS (
+  SELECT record_set, x, y FROM near UNION ALL SELECT record_set, y, x FROM near
+  UNION ALL SELECT record_set, min(record_id) OVER w, record_id FROM sizes WINDOW w AS (PARTITION BY record_set, letters) UNION ALL SELECT record_set, record_id, min(record_id) OVER w FROM sizes WINDOW w AS (PARTITION BY record_set, letters)
+), reach AS (SELECT record_set, record_id AS x, record_id AS y FROM sizes UNION SELECT r.record_set, r.x, l.y FROM reach r JOIN links l ON l.record_set = r.record_set AND l.x = r.y)
+, named AS (SELECT record_set, x AS record_key, min(y) AS class_id FROM reach GROUP BY 1, 2)
+SELECT record_set AS source_table, record_key, class_id, count(*) OVER (PARTITION BY record_set, class_id) AS class_size FROM named
+"""
+)
 SQL = {
+    "p4_found": _COPIES + "SELECT keep_key, record_key AS copy_key FROM grouped WHERE record_key <> keep_key",
+    "p4_records": _COPIES + "SELECT DISTINCT keep_key, copies FROM grouped",
+    "p5_groups": _CLASSES,
     "p7_found": _LEAKS,
     "p5_found": _NEAR,
     "p2_found": _SHARED + "SELECT * FROM spans",
