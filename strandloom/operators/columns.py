@@ -32,37 +32,67 @@ def mean_pairwise_identity(rows: DataFrame) -> DataFrame:
     return per.groupBy("aln").agg(F.max("n").alias("rows"), F.round(F.avg(F.try_divide(F.col("same"), F.col("n") * (F.col("n") - 1))), 6).alias("mean_identity"))
 
 
-def row_weights(rows: DataFrame, threshold: float = 0.8, block_rows: int = 1000) -> DataFrame:
-    """``aln, row_id, weight``: 1 over the number of rows (itself too) with an identity of ``threshold`` or more.
+def _blocks(rows: DataFrame, block_rows: int, compare, schema: str) -> DataFrame:  # type: ignore[no-untyped-def]
+    """``compare`` on each two blocks of about ``block_rows`` rows of an alignment, each in a task of its own.
 
-    Identity is over columns where neither row has a gap, 0 without such a column. Large alignments are cut
-    into blocks of about ``block_rows``; each two blocks are compared in a task of their own by matrix
-    products, and only counts leave it.
+    It gets a table of rows ``aln, i, j, is_left, row_id, seq``: the left ones of block i, the others of block j.
     """
     sizes = rows.groupBy("aln").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     placed = rows.select("aln", "row_id", "seq").join(sizes, "aln").withColumn("own", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     left = placed.select("aln", F.col("own").alias("i"), F.explode(others).alias("j"), F.lit(True).alias("is_left"), "row_id", "seq")
     right = placed.select("aln", F.explode(others).alias("i"), F.col("own").alias("j"), F.lit(False).alias("is_left"), "row_id", "seq")
+    return by_work(left.unionByName(right), "aln", "i", "j").groupBy("aln", "i", "j").applyInArrow(compare, schema)
+
+
+def _identities(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Identities of the left rows with the others over columns where neither has a gap (0 without one), and which rows are left."""
+    is_left = table.column("is_left").to_numpy(zero_copy_only=False)
+    codes = np.array([np.frombuffer(s.encode("latin-1", "replace"), np.uint8) for s in table.column("seq").to_pylist()])
+    x, y = codes[is_left], codes[~is_left]
+    both = (x != 45).astype(np.float32) @ (y != 45).astype(np.float32).T
+    same = np.zeros_like(both)
+    for token in np.unique(codes):
+        if token != 45:
+            same += (x == token).astype(np.float32) @ (y == token).astype(np.float32).T
+    return np.where(both > 0, same.astype(np.float64) / np.maximum(both, 1), 0), is_left
+
+
+def row_weights(rows: DataFrame, threshold: float = 0.8, block_rows: int = 1000) -> DataFrame:
+    """``aln, row_id, weight``: 1 over the number of rows (itself too) with an identity of ``threshold`` or more.
+
+    Identity is over columns where neither row has a gap, 0 without such a column. Only counts leave a task.
+    """
 
     def compare(table: pa.Table) -> pa.Table:
-        is_left = table.column("is_left").to_numpy(zero_copy_only=False)
-        codes = np.array([np.frombuffer(s.encode("latin-1", "replace"), np.uint8) for s in table.column("seq").to_pylist()])
-        x, y = codes[is_left], codes[~is_left]
-        both = (x != 45).astype(np.float32) @ (y != 45).astype(np.float32).T
-        same = np.zeros_like(both)
-        for token in np.unique(codes):
-            if token != 45:
-                same += (x == token).astype(np.float32) @ (y == token).astype(np.float32).T
-        near = (np.where(both > 0, same / np.maximum(both, 1), 0) >= threshold - 1e-9).sum(axis=1)
+        identity, is_left = _identities(table)
         picked = table.filter(pa.array(is_left))
-        return pa.table({"aln": picked.column("aln"), "row_id": picked.column("row_id"), "near": pa.array(near.astype(np.int64))})
+        return pa.table({"aln": picked.column("aln"), "row_id": picked.column("row_id"), "near": pa.array((identity >= threshold - 1e-9).sum(axis=1).astype(np.int64))})
 
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("aln", "row_id")}
-    counted = by_work(left.unionByName(right), "aln", "i", "j").groupBy("aln", "i", "j").applyInArrow(compare, f"aln {kinds['aln']}, row_id {kinds['row_id']}, near long")
+    counted = _blocks(rows, block_rows, compare, f"aln {kinds['aln']}, row_id {kinds['row_id']}, near long")
     return counted.groupBy("aln", "row_id").agg((F.lit(1.0) / F.greatest(F.sum("near"), F.lit(1))).alias("weight"))
 
 
+def pair_extremes(rows: DataFrame, block_rows: int = 1000) -> DataFrame:
+    """``aln, pairs, least, mean, most``: identities of all pairs of rows, as in ``row_weights``; nulls for a single row.
+
+    Row ids must be unique in an alignment: a row is not compared with itself.
+    """
+
+    def compare(table: pa.Table) -> pa.Table:
+        identity, is_left = _identities(table)
+        ids = np.array(table.column("row_id").to_pylist(), object)
+        told = identity[ids[is_left][:, None] != ids[~is_left][None, :]]
+        one = lambda f: pa.array([float(f(told)) if len(told) else None], pa.float64())
+        return pa.table({"aln": table.column("aln").slice(0, 1), "n": pa.array([len(told)], pa.int64()), "total": pa.array([float(told.sum())]), "least": one(np.min), "most": one(np.max)})
+
+    kind = rows.schema["aln"].dataType.simpleString()
+    parts = _blocks(rows, block_rows, compare, f"aln {kind}, n long, total double, least double, most double")
+    # Each pair is met from both sides.
+    return parts.groupBy("aln").agg((F.sum("n") / 2).cast("long").alias("pairs"), F.min("least").alias("least"), F.try_divide(F.sum("total"), F.sum("n")).alias("mean"), F.max("most").alias("most"))
+
+
 def conservation(rows: DataFrame, weights: DataFrame, allowed: float = 0.05) -> DataFrame:
     """Per column: conservation, entropy, consensus (ties by letter), allowed tokens, frequencies, gaps, coverage, effective rows.
 

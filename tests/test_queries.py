@@ -3,7 +3,7 @@ from pathlib import Path
 import pytest
 
 DATA = "/root/testdata/sf0.001"
-CATALOGS = ["problems", "records", "sequences", "cohorts", "relational", "exchange", "proposals", "designs"]
+CATALOGS = ["problems", "records", "sequences", "cohorts", "relational", "exchange", "proposals", "designs", "relations"]
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no test data here")
