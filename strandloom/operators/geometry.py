@@ -18,17 +18,21 @@ def distance(a: str, b: str) -> Column:
 def near_points(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """``l, r, d``: points of the two tables (``id, x, y, z``) no further apart than ``radius``.
 
-    Space is cut into cubes of ``radius``; each right point goes to the 27 cubes around its own, so the
-    range join becomes an equi-join. Points with a null coordinate are near to none.
+    Space is cut into cubes of ``radius``; each right point goes to the 27 cubes around its own, as far as left points
+    are there, so the range join becomes an equi-join. Cubes with very many left points are salted. Points with a null
+    coordinate are near to none.
     """
-    cell = [F.floor(F.col(c) / radius).alias(f"c{c}") for c in "xyz"]
-    shifts = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    from strandloom.operators.skew import spread_join
+    from strandloom.session import materialize
+
+    place = lambda shift: F.struct(*[(F.floor(F.col(c) / radius) + s).alias(c) for c, s in zip("xyz", shift)])
     held = "x is not null and y is not null and z is not null"
-    l = left.where(held).select(F.struct("id", "x", "y", "z").alias("a"), *cell)
-    r = right.where(held).select(F.struct("id", "x", "y", "z").alias("b"), *cell)
-    for c in "xyz":
-        r = r.withColumn("_s", F.explode(shifts)).withColumn(f"c{c}", F.col(f"c{c}") + F.col("_s")).drop("_s")
-    return l.join(r, ["cx", "cy", "cz"]).withColumn("d", distance("a", "b")).where(F.col("d") <= radius).select(F.col("a.id").alias("l"), F.col("b.id").alias("r"), "d")
+    at = F.struct("id", "x", "y", "z")
+    l = left.where(held).select(at.alias("a"), place((0, 0, 0)).alias("cell"))
+    counts = materialize(l.groupBy("cell").agg(F.count("*").alias("n")), "cell-counts")
+    around = F.array(*[place((i, j, k)) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+    r = right.where(held).select(at.alias("b"), F.explode(around).alias("cell")).join(counts, "cell")
+    return spread_join(l, r, "cell", "n", sizes=counts).withColumn("d", distance("a", "b")).where(F.col("d") <= radius).select(F.col("a.id").alias("l"), F.col("b.id").alias("r"), "d")
 
 
 def contacts(protein: DataFrame, rna: DataFrame, direct: float, shell: float) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.sources.text_files import gate
+from strandloom.sources.text_files import check_unique, gate
 
 
 def staged_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -25,8 +25,10 @@ def staged_parquet(df: DataFrame, path: str, partition_by: list[str] | None = No
         raise OSError(f"{staging} could not become {path}")
 
 
-def write_fasta(df: DataFrame, path: str, key: str = "id", sequence: str = "seq", width: int = 80) -> None:
-    """FASTA files, one a partition, sequences wrapped; a null or empty id or sequence fails. Ids must be unique before."""
+def write_fasta(df: DataFrame, path: str, key: str = "id", sequence: str = "seq", width: int = 80, unique: bool = True) -> None:
+    """FASTA files, one a partition, sequences wrapped; a null or empty id or sequence fails, and, unless told otherwise, an id that stands twice."""
+    if unique:
+        check_unique(df, key)
     rows = gate(df.select(F.col(key).cast("string").alias("k"), F.col(sequence).alias("s")), "coalesce(k, '') = '' or coalesce(s, '') = ''", "a record without id or sequence")
     wrapped = F.regexp_replace("s", f"(.{{{width}}})(?=.)", "$1\n")
     rows.select(F.concat(F.lit(">"), F.col("k"), F.lit("\n"), wrapped)).write.text(path)
