@@ -36,7 +36,7 @@ def json_array_exchange(spark, directory):
     rows = read(spark, directory, "candidates").select("candidate_id", "scaffold_id", "seed", "sequence")
     sinks.write_json_arrays(rows, path := _place(spark, "arrays"))
     files = [r.path for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path").collect()]
-    back = json_array.read_json_array(spark, [f.replace("file:/", "file:///", 1) if f.startswith("file:/") and not f.startswith("file:///") else f for f in files], 256 << 10)
+    back = json_array.read_json_array(spark, [f.replace("file:/", "file:///", 1) if f.startswith("file:/") and not f.startswith("file:///") else f for f in files])
     v = F.try_parse_json("raw_json")
     return back.where("error is null").select(*[F.try_variant_get(v, f"$.{c}", k).alias(c) for c, k in (("candidate_id", "string"), ("scaffold_id", "string"), ("seed", "long"), ("sequence", "string"))])
 

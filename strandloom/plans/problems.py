@@ -28,8 +28,9 @@ def _table_of(node_type):
 
 def p1_files_in_samples(spark, directory):
     """Each file with the sample whose interval holds it, across the runs between."""
-    nodes = nested.atlas_nodes(spark, directory)
-    return nested.descendants_of(nodes, "samples", "files").select("source_table", "row_key", "operon_id", "node_path", "ancestor_path", "value")
+    held = nested.descendants_of(nested.atlas_nodes(spark, directory), "samples", "files").withColumn("v", F.try_parse_json("value"))
+    fields = [F.try_variant_get("v", f"$.{name}", kind).alias(name) for name, kind in (("name", "string"), ("bytes", "long"))]
+    return held.select("source_table", "row_key", "operon_id", "node_path", "ancestor_path", *fields)
 
 
 def p1_type_counts(spark, directory):
@@ -111,6 +112,9 @@ def _table_sql(node_type: str) -> str:
     fields = []
     for name, kind in (f.split(" ", 1) for f in nested.NODE_FIELDS[node_type].split(", ")):
         text = f"""CASE WHEN json_type(s.v) = 'OBJECT' THEN json_extract_string(s.v, '$."{name}"') END"""
+        if kind == "array<long>":
+            fields.append(f"""TRY_CAST({text} AS BIGINT[]) AS "{name}\"""")
+            continue
         fields.append(f'{text} AS "{name}"' if kind == "string" else f'TRY_CAST({text} AS {dict(long="BIGINT", int="INTEGER", double="DOUBLE")[kind]}) AS "{name}"')
     return (
         _P1_NODES
@@ -130,7 +134,12 @@ SQL = {
 ), per AS (SELECT source_table, node_type, kind, row_key, count(*) AS n FROM typed GROUP BY ALL)
 SELECT source_table, node_type, kind, CAST(sum(n) AS BIGINT) AS nodes, count(*) AS records, max(n) AS most_in_a_record FROM per GROUP BY ALL
 """,
-    **{f"p1_{t}": _table_sql(t) for t in nested.NODE_FIELDS if t != "features"},
+    **{f"p1_{t}": _table_sql(t) for t in nested.NODE_FIELDS},
+    "p1_files_in_samples": _P1_NODES
+    + """
+SELECT s.source_table, s.row_key, s.operon_id, s.path AS node_path, max_by(p.path, p.pre) AS ancestor_path, any_value(json_extract_string(s.v, '$.name')) AS name, any_value(TRY_CAST(json_extract_string(s.v, '$.bytes') AS BIGINT)) AS bytes
+FROM spans s JOIN spans p ON p.source_table = s.source_table AND p.row_key = s.row_key AND p.pre < s.pre AND p.post > s.post AND p.name = 'samples' AND json_type(p.v) = 'OBJECT' WHERE s.name = 'files' AND json_type(s.v) = 'OBJECT' GROUP BY ALL
+""",
     "p3_found": _P3_ITEMS + "SELECT source_table, row_key, item_no, item FROM items",
     "p3_item_counts": _P3_ITEMS + "SELECT source_table, item, count(*) AS times, count(DISTINCT row_key) AS rows FROM items GROUP BY 1, 2",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandloom.functions.sequence import AMINO_ACIDS
 from strandloom.operators import generate, geometry, pairwise
 from strandloom.plans.catalog import Catalog
-from strandloom.plans.relational import _points
+from strandloom.plans.relational import _POINTS, _points
 from strandloom.plans.sequences import _ALN, _C, _alignment, _designs
 
 catalog = Catalog()
@@ -60,7 +60,14 @@ def random_mutants(spark, directory):
     return generate.random_mutants(_designs(spark, directory).where("s <> ''"), "candidate_id", "s", 0.1, 7, "fixed_positions")
 
 
-@query()
+@query(
+    _POINTS
+    + """
+, k AS (SELECT unnest(range(100)) + 0.5 AS k), d AS (SELECT acos(1 - 2 * k / 100) AS t, pi() * (1 + sqrt(5.0)) * k AS u FROM k), f AS (SELECT vec_id, x + 1.4 * cos(u) * sin(t) AS x, y + 1.4 * sin(u) * sin(t) AS y, z + 1.4 * cos(t) AS z FROM a, d)
+, e AS (SELECT f.vec_id, f.x, f.y, f.z, count(o.vec_id) = 0 AS free FROM f LEFT JOIN a o ON o.vec_id <> f.vec_id AND abs(o.x - f.x) < 1.4 AND (o.x - f.x) ** 2 + (o.y - f.y) ** 2 + (o.z - f.z) ** 2 < 1.4 ** 2 GROUP BY ALL)
+SELECT vec_id AS id, round(avg(CASE WHEN free THEN 1.0 ELSE 0.0 END), 6) AS exposed, round(4 * pi() * 1.4 ** 2 * avg(CASE WHEN free THEN 1.0 ELSE 0.0 END), 6) AS area FROM e GROUP BY 1
+"""
+)
 def exposed_points(spark, directory):
     """How much of each point's sphere the other points leave free."""
     atoms = _points(spark, directory).select(F.col("vec_id").alias("id"), "x", "y", "z", F.lit(1.0).alias("radius"))

@@ -289,7 +289,25 @@ def point_positions(spark, directory):
     return variants.point_positions(read(spark, directory, "variant_retrospective").select("variant_id", "mutation").distinct())
 
 
-@query()
+_NAMES = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in variants._THREE.items()) + "}"
+
+
+@query(
+    _MUT
+    + rf"""
+, a AS (SELECT variant_id, upper(regexp_replace(wt_sequence, '[^A-Za-z]', '', 'g')) AS w, upper(regexp_replace(full_mutant_sequence, '[^A-Za-z]', '', 'g')) AS g, list_filter(regexp_split_to_array(coalesce(mutation, ''), '[,;|/&+\s"''\[\]]+'), lambda x: x <> '') AS p FROM v)
+, b AS (SELECT *, list_filter(p, lambda x: regexp_full_match(x, '(p\.)?([A-Z][a-z][a-z]|[A-Z])[0-9]+([A-Z][a-z][a-z]|[A-Z])')) AS pts, list_filter(p, lambda x: regexp_full_match(x, '(p\.)?del[0-9]+-[0-9]+')) AS del, list_filter(p, lambda x: regexp_full_match(x, '(p\.)?ins[0-9]+_[0-9]+:[A-Z]+')) AS ins FROM a)
+, c AS (SELECT *, list_transform(pts, lambda x: {{'i': CAST(regexp_extract(x, '[0-9]+') AS INTEGER), 'o': regexp_extract(x, '^(?:p\.)?([A-Z][a-z]*)', 1), 'n': regexp_extract(x, '[0-9]([A-Z][a-z]*)$', 1)}}) AS pt0,
+    list_transform(del, lambda x: {{'a': CAST(regexp_extract(x, 'del([0-9]+)', 1) AS INTEGER), 'b': CAST(regexp_extract(x, '-([0-9]+)', 1) AS INTEGER)}}) AS ct, list_transform(ins, lambda x: {{'a': CAST(regexp_extract(x, 'ins([0-9]+)', 1) AS INTEGER), 'b': CAST(regexp_extract(x, '_([0-9]+)', 1) AS INTEGER), 't': regexp_extract(x, ':([A-Z]+)', 1)}}) AS it FROM b)
+, d AS (SELECT *, list_transform(pt0, lambda q: {{'i': q.i, 'o': coalesce(({_NAMES})[q.o], q.o), 'n': coalesce(({_NAMES})[q.n], q.n)}}) AS pt FROM c)
+, e AS (SELECT *, CASE WHEN w IS NULL THEN 'no wild type' WHEN len(p) = 0 THEN 'no change' WHEN len(pts) + len(del) + len(ins) < len(p) THEN 'unsupported notation' WHEN len(list_filter(pt, lambda q: q.i < 1 OR q.i > length(w))) > 0 THEN 'place outside the sequence'
+    WHEN len(list_filter(pt, lambda q: w[q.i] <> q.o)) > 0 THEN 'other residue at the place' WHEN len(list_filter(ct, lambda q: q.a < 1 OR q.a > q.b OR q.b > length(w))) > 0 THEN 'deletion outside the sequence' WHEN len(list_filter(it, lambda q: q.b <> q.a + 1 OR q.a > length(w))) > 0 THEN 'insertion between places that are no neighbours'
+    WHEN (len(pt) < len(p) AND len(ct) < len(p) AND len(it) < len(p)) OR len(it) > 1 THEN 'kinds of change mixed' WHEN len(list_filter(range(1, length(w) + 1), lambda i: len(list_filter(ct, lambda q: i BETWEEN q.a AND q.b)) > 1)) > 0 THEN 'deletions overlap' END AS error FROM d)
+, f AS (SELECT variant_id, g, error, CASE WHEN error IS NULL THEN CASE WHEN len(pt) > 0 THEN array_to_string(list_transform(range(1, length(w) + 1), lambda i: coalesce(list_filter(pt, lambda q: q.i = i)[-1].n, w[i])), '')
+    WHEN len(ct) > 0 THEN array_to_string(list_transform(list_filter(range(1, length(w) + 1), lambda i: len(list_filter(ct, lambda q: i BETWEEN q.a AND q.b)) = 0), lambda i: w[i]), '') ELSE w[1:it[1].a] || it[1].t || w[it[1].a + 1:] END END AS mutant FROM e)
+SELECT variant_id, mutant, error, mutant = g AS agrees FROM f
+"""
+)
 def applied_mutations(spark, directory):
     """Each variant's mutant sequence by its notation, or why there is none, and whether the given one agrees."""
     keep = ["variant_id", "wt_sequence", "mutation", "full_mutant_sequence"]
