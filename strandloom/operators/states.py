@@ -91,6 +91,31 @@ def structure_regions(annotations: DataFrame, crrna: list[str], target: list[str
     return held.select("id", F.explode(F.array_compact(regions)).alias("region"))
 
 
+def merged_evidence(lengths: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``scaffold, place, final_class, reasons, sources``: every place of a scaffold with the strongest class its evidence gives it.
+
+    ``lengths`` has ``scaffold, length``; ``evidence`` has ``scaffold, place, class`` (free, soft_constrained, hard_fixed),
+    ``source, reason, confirmed``. A place outside fails, and so does a hard one that a motif search alone proposes. Reasons
+    and sources are sorted and distinct; a place without evidence is free.
+    """
+    from strandloom.sources.text_files import gate
+
+    told = evidence.join(lengths, "scaffold")
+    told = gate(told, "place is null or place < 0 or place >= length", "a constrained place outside the scaffold")
+    told = gate(told, "source = 'hepn_regex' and class = 'hard_fixed' and not coalesce(confirmed, false)", "a hard place that only a motif search proposes")
+    rank = F.when(F.col("class") == "hard_fixed", 2).when(F.col("class") == "soft_constrained", 1).otherwise(0)
+    per = told.groupBy("scaffold", "place").agg(F.max(rank).alias("r"), F.array_sort(F.collect_set("reason")).alias("reasons"), F.array_sort(F.collect_set("source")).alias("sources"))
+    every = lengths.where("length > 0").select("scaffold", F.explode(F.sequence(F.lit(0), (F.col("length") - 1).cast("int"))).alias("place"))
+    none = F.array().cast("array<string>")
+    return every.join(per, ["scaffold", "place"], "left").select(
+        "scaffold",
+        "place",
+        F.when(F.col("r") == 2, "hard_fixed").when(F.col("r") == 1, "soft_constrained").otherwise("free").alias("final_class"),
+        F.when(F.size(F.coalesce("reasons", none)) > 0, F.col("reasons")).otherwise(F.array(F.lit("no_constraint_evidence"))).alias("reasons"),
+        F.coalesce("sources", none).alias("sources"),
+    )
+
+
 def state_masks(members: DataFrame) -> DataFrame:
     """``scaffold, place, hard, risk, variable``: hard in all states, at risk in any, and whether the pair differs between states.
 

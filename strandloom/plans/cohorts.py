@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from strandloom.functions import hashing
 from strandloom.functions import sequence as S
 from strandloom.operators import cohorts as C
+from strandloom.operators.designs import design_metrics
 from strandloom.plans.catalog import Catalog
 from strandloom.plans.sequences import _C, _IDENTITY, _designs
-from strandloom.session import read
+from strandloom.session import materialize, read
 
 catalog = Catalog()
 query = catalog.query
@@ -63,6 +64,35 @@ def paired_method_tests(spark, directory):
     return tests.select("method", "pairs", *[F.round(c, 6).alias(c) for c in ("mean_difference", "p_value", "adjusted_p")])
 
 
+_LONG = _C + f"""
+, m AS (SELECT method, seed, {_IDENTITY} AS parent_identity, (length(regexp_replace(s, '[^KR]', '', 'g')) - length(regexp_replace(s, '[^DE]', '', 'g'))) / nullif(length(s), 0) AS net_charge, length(regexp_replace(s, '[^AVILMFWY]', '', 'g')) / nullif(length(s), 0) AS hydrophobicity FROM c)
+, b AS (SELECT method, metric, seed % 8 AS unit, avg(v) AS x FROM (SELECT method, seed, metric, v FROM m UNPIVOT (v FOR metric IN (parent_identity, net_charge, hydrophobicity))) WHERE v IS NOT NULL AND seed IS NOT NULL AND method IS NOT NULL GROUP BY ALL)
+"""
+
+
+@query(
+    _LONG
+    + """
+, d AS (SELECT a.method, a.metric, a.unit, a.x - r.x AS d, row_number() OVER (PARTITION BY a.method, a.metric ORDER BY a.unit) - 1 AS bit FROM b a JOIN b r ON a.unit = r.unit AND a.metric = r.metric AND r.method = 'matched_random' AND a.method <> r.method)
+, f AS (SELECT method, metric, count(*) AS pairs, avg(d) AS mean FROM d GROUP BY ALL)
+, s AS (SELECT method, metric, flip, sum(CASE WHEN (flip >> bit) & 1 = 1 THEN -d ELSE d END) AS m, any_value(mean * pairs) AS total FROM (SELECT f.*, unnest(range(CAST(1 << pairs AS BIGINT))) AS flip FROM f) JOIN d USING (method, metric) GROUP BY ALL)
+, p AS (SELECT method, metric, avg(CASE WHEN abs(m) >= abs(total) - 1e-11 THEN 1.0 ELSE 0.0 END) AS p FROM s GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS n FROM p)
+SELECT method, metric, pairs, round(mean, 6) AS mean_difference, round(p, 6) AS p_value, round(min(least(1.0, p * n / r)) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING), 6) AS adjusted_p FROM r JOIN f USING (method, metric)
+"""
+)
+def paired_metric_tests(spark, directory):
+    """Each method against matched random designs in three metrics, paired by seed block, adjusted over all tests."""
+    names = ["parent_identity", "net_charge", "hydrophobicity"]
+    metrics = design_metrics(_designs(spark, directory), "candidate_id", "s", "p", "fixed_positions").select("candidate_id", *names)
+    told = metrics.join(_designs(spark, directory).select("candidate_id", "method", "seed"), "candidate_id").unpivot(["method", "seed"], names, "metric", "v")
+    blocks = told.where("v is not null and seed is not null and method is not null").groupBy("method", "metric", (F.col("seed") % 8).alias("unit")).agg(F.avg("v").alias("x"))
+    blocks = materialize(blocks, "metric-blocks")
+    reference = blocks.where("method = 'matched_random'").select("metric", "unit", F.col("x").alias("y"))
+    paired = blocks.where("method <> 'matched_random'").join(reference, ["metric", "unit"]).select("method", "metric", "unit", (F.col("x") - F.col("y")).alias("d"))
+    tests = C.benjamini_hochberg(C.sign_flip_p(paired, ["method", "metric"]), "p_value", "adjusted_p")
+    return tests.select("method", "metric", "pairs", *[F.round(c, 6).alias(c) for c in ("mean_difference", "p_value", "adjusted_p")])
+
+
 @query(
     _M
     + _BLOCKS

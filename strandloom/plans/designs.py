@@ -260,6 +260,30 @@ def multistate_masks(spark, directory):
     return T.state_masks(_members(spark, directory))
 
 
+@query(
+    _C
+    + """
+, n AS (SELECT scaffold_id AS scaffold, max(length(p)) AS length FROM c WHERE scaffold_id IS NOT NULL GROUP BY 1), m AS (SELECT scaffold_id AS scaffold, method, count(*) AS d FROM c WHERE scaffold_id IS NOT NULL AND method IS NOT NULL AND fixed_positions IS NOT NULL GROUP BY ALL)
+, k AS (SELECT scaffold, method, place, count(*) AS k FROM (SELECT scaffold_id AS scaffold, method, unnest(list_distinct(fixed_positions)) AS place FROM c WHERE scaffold_id IS NOT NULL AND method IS NOT NULL) JOIN n USING (scaffold) WHERE place >= 0 AND place < length GROUP BY ALL)
+, ev AS (SELECT scaffold, place, method AS source, k >= 0.9 * d AS hard, CASE WHEN k >= 0.9 * d THEN 'fixed_in_nearly_all' ELSE 'fixed_in_some' END AS reason FROM k JOIN m USING (scaffold, method))
+, pl AS (SELECT scaffold, CAST(unnest(range(CAST(length AS BIGINT))) AS INTEGER) AS place FROM n WHERE length > 0)
+SELECT pl.scaffold, pl.place, CASE WHEN bool_or(hard) THEN 'hard_fixed' WHEN count(source) > 0 THEN 'soft_constrained' ELSE 'free' END AS final_class, coalesce(string_agg(DISTINCT reason, ';' ORDER BY reason), 'no_constraint_evidence') AS reasons, coalesce(string_agg(DISTINCT source, ';' ORDER BY source), '') AS sources
+FROM pl LEFT JOIN ev ON ev.scaffold = pl.scaffold AND ev.place = pl.place GROUP BY 1, 2
+"""
+)
+def merged_constraints(spark, directory):
+    """Every place of every scaffold with the class, reasons and sources of what its methods' designs fix."""
+    designs = materialize(_designs(spark, directory).where("scaffold_id is not null").withColumnRenamed("scaffold_id", "scaffold"), "designs")
+    lengths = designs.groupBy("scaffold").agg(F.max(F.length("p")).alias("length"))
+    held = designs.where("method is not null and fixed_positions is not null")
+    often = held.select("scaffold", "method", F.explode(F.array_distinct("fixed_positions")).alias("place")).groupBy("scaffold", "method", "place").agg(F.count("*").alias("k"))
+    inside = often.join(lengths, "scaffold").where("place >= 0 and place < length").drop("length")
+    share = inside.join(held.groupBy("scaffold", "method").agg(F.count("*").alias("d")), ["scaffold", "method"])
+    hard = F.col("k") >= 0.9 * F.col("d")
+    evidence = share.select("scaffold", "place", F.when(hard, "hard_fixed").otherwise("soft_constrained").alias("class"), F.col("method").alias("source"), F.when(hard, "fixed_in_nearly_all").otherwise("fixed_in_some").alias("reason"), F.lit(True).alias("confirmed"))
+    return T.merged_evidence(lengths, evidence).select("scaffold", "place", "final_class", F.array_join("reasons", ";").alias("reasons"), F.array_join("sources", ";").alias("sources"))
+
+
 # Which category each method stands for as a structural state.
 _CATEGORIES = {"mpnn_plain": "apo", "mpnn_ligand": "binary", "msa_profile": "ternary_target"}
 

@@ -45,7 +45,7 @@ def json_array_exchange(spark, directory):
 def sharded_exchange(spark, directory):
     """Designs written as JSON lines by method and shard and read again."""
     rows = read(spark, directory, "candidates").where("method is not null").select("candidate_id", "method", "seed", hashing.shard_of(F.col("candidate_id"), 8).alias("shard"))
-    sinks.write_sharded_json(rows, path := _place(spark, "shards"), ["method", "shard"])
+    sinks.write_sharded_json(rows, path := _place(spark, "shards"), ["method", "shard"], 8)
     return spark.read.schema("candidate_id string, seed long, method string, shard int").json(path)
 
 

@@ -49,9 +49,21 @@ def write_json_arrays(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(run, "value string").write.text(path)
 
 
-def write_sharded_json(df: DataFrame, path: str, by: list[str]) -> None:
-    """JSON lines in folders by ``by``; each folder is written by few tasks, spread by content where it is large."""
+def write_sharded_json(df: DataFrame, path: str, by: list[str], shards: int | None = None) -> None:
+    """JSON lines in folders by ``by``; each folder is written by few tasks, spread by content where it is large.
+
+    Where the last of ``by`` numbers ``shards``, shards without rows get an empty folder beside the others.
+    """
     df.repartition(*by, F.pmod(F.xxhash64(*df.columns), F.lit(4))).write.partitionBy(*by).json(path)
+    if shards is None:
+        return
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    where = jvm.org.apache.hadoop.fs.Path
+    system = where(path).getFileSystem(conf)
+    above = [f.getPath().toString() for f in system.globStatus(where("/".join([path, *[f"{c}=*" for c in by[:-1]]])))] if len(by) > 1 else [path]
+    for folder in above:
+        for k in range(shards):
+            system.mkdirs(where(f"{folder}/{by[-1]}={k}"))
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:

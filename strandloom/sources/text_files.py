@@ -262,11 +262,12 @@ def residues(atoms: DataFrame) -> DataFrame:
 
 
 def read_pae(spark: SparkSession, path: str) -> DataFrame:
-    """``path, i, j, v`` of predicted aligned error files, as an object or a list of one; negative values fail."""
+    """``path, i, j, v`` of predicted aligned error files, as an object or a list of one; negative values fail, as does a matrix that is not square."""
     matrix = "array<array<double>>"
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("m"))
     pick = F.coalesce(*[F.try_variant_get("m", f"{root}.{key}", matrix) for key in ("predicted_aligned_error", "pae") for root in ("$", "$[0]")])
-    lines = rows.select("path", F.posexplode(pick).alias("i", "line"))
+    square = gate(rows.select("path", pick.alias("m")), "m is null or size(m) = 0 or exists(m, line -> size(line) <> size(m))", "a PAE matrix that is not square")
+    lines = square.select("path", F.posexplode("m").alias("i", "line"))
     cells = lines.select("path", "i", F.posexplode("line").alias("j", "v"))
     return gate(cells, "v is null or isnan(v) or v < 0", "a PAE value that is missing or negative")
 

@@ -113,3 +113,14 @@ def test_results_of_predictions(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 3.0, 4.0, 0.0)], "id int, x double, y double, z double")
     out = {(r.left, r.right): r.distance for r in T.pair_distances(points, spark.createDataFrame([(1, 2), (2, 9)], "left int, right int")).collect()}
     assert out == {(1, 2): 5.0, (2, 9): None}
+
+
+def test_evidence_of_places_is_merged(spark):
+    lengths = spark.createDataFrame([("x", 3), ("y", 0)], "scaffold string, length int")
+    kind = "scaffold string, place int, class string, source string, reason string, confirmed boolean"
+    rows = [("x", 0, "soft_constrained", "conservation", "conserved", None), ("x", 0, "hard_fixed", "manual", "catalytic", True), ("x", 0, "hard_fixed", "manual", "catalytic", True), ("x", 2, "soft_constrained", "hepn_regex", "motif", False)]
+    out = {r.place: (r.final_class, r.reasons, r.sources) for r in T.merged_evidence(lengths, spark.createDataFrame(rows, kind)).collect()}
+    assert out == {0: ("hard_fixed", ["catalytic", "conserved"], ["conservation", "manual"]), 1: ("free", ["no_constraint_evidence"], []), 2: ("soft_constrained", ["motif"], ["hepn_regex"])}
+    for bad in (("x", 3, "free", "m", "r", True), ("x", 1, "hard_fixed", "hepn_regex", "motif", False)):
+        with pytest.raises(Exception, match="outside the scaffold|motif search"):
+            T.merged_evidence(lengths, spark.createDataFrame([bad], kind)).collect()
