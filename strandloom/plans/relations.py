@@ -9,11 +9,12 @@ from strandloom.functions.sequence import letters
 from strandloom.operators import cohorts as C
 from strandloom.operators import columns
 from strandloom.operators import relations as L
+from strandloom.operators.designs import design_metrics
 from strandloom.plans.catalog import Catalog
 from strandloom.plans.cohorts import _V, job_rows
 from strandloom.plans.designs import _ELIGIBLE, _NOVELTY, _eligible, _gated
 from strandloom.plans.records import _GOOD, operon_failures
-from strandloom.plans.sequences import _ALN, _C, _PAIRS, _alignment, _designs
+from strandloom.plans.sequences import _ALN, _C, _IDENTITY, _PAIRS, _alignment, _designs
 from strandloom.session import materialize, read
 
 catalog = Catalog()
@@ -170,4 +171,40 @@ def all_failures(spark, directory):
     return every.groupBy("kind", "reason").agg(F.count("*").alias("failures"))
 
 
+@query(
+    """
+SELECT assembly_type, count(*) AS operons, count(*) FILTER (n_cas > 0) AS with_cas, count(*) FILTER (n_cas > 0 AND n_crispr > 0) AS with_both, count(*) FILTER (n_cas > 0 AND n_crispr > 0 AND is_type_vi) AS type_vi, count(*) FILTER (genomic_context_available) AS with_context,
+  bool_and(n_spacers >= n_crispr) AS all_have_spacers, bool_and(operon_id IS NOT NULL) AS all_have_ids FROM (SELECT DISTINCT operon_id, assembly_type, n_cas, n_crispr, n_spacers, is_type_vi, genomic_context_available FROM atlas_operons) GROUP BY 1
+"""
+)
+def assembly_checks(spark, directory):
+    """Operons per assembly type: how many are left after each condition, and what holds for all of them."""
+    once = read(spark, directory, "atlas_operons").select("operon_id", "assembly_type", "n_cas", "n_crispr", "n_spacers", "is_type_vi", "genomic_context_available").distinct()
+    cas, both = F.col("n_cas") > 0, (F.col("n_cas") > 0) & (F.col("n_crispr") > 0)
+    return once.groupBy("assembly_type").agg(
+        F.count("*").alias("operons"),
+        F.count_if(cas).alias("with_cas"),
+        F.count_if(both).alias("with_both"),
+        F.count_if(both & F.col("is_type_vi")).alias("type_vi"),
+        F.count_if("genomic_context_available").alias("with_context"),
+        F.bool_and(F.col("n_spacers") >= F.col("n_crispr")).alias("all_have_spacers"),
+        F.bool_and(F.col("operon_id").isNotNull()).alias("all_have_ids"),
+    )
+
+
+@query(
+    _C
+    + f"""
+, m AS (SELECT c.scaffold_id, {_IDENTITY} AS v, source_is_mock AS mock FROM c JOIN (SELECT candidate_id, source_is_mock FROM candidates) USING (candidate_id))
+SELECT scaffold_id, count(*) AS comparisons, count(v) AS successful, round(min(v), 6) AS least, round(avg(v), 6) AS mean, bool_and(mock) AS all_mock FROM m GROUP BY 1
+"""
+)
+def scaffold_consistency(spark, directory):
+    """Comparisons of designs with their parent per scaffold: how many could be made, least and mean, and whether all are mock."""
+    told = design_metrics(_designs(spark, directory), "candidate_id", "s", "p", "fixed_positions").select("candidate_id", "parent_identity")
+    joined = read(spark, directory, "candidates").select("candidate_id", "scaffold_id", "source_is_mock").join(told, "candidate_id")
+    v = F.col("parent_identity")
+    return joined.groupBy("scaffold_id").agg(F.count("*").alias("comparisons"), F.count(v).alias("successful"), F.round(F.min(v), 6).alias("least"), F.round(F.avg(v), 6).alias("mean"), F.bool_and("source_is_mock").alias("all_mock"))
+
+
 QUERIES, SQL = catalog.queries, catalog.sql
