@@ -195,3 +195,36 @@ def mean_at(values: DataFrame, places: DataFrame) -> DataFrame:
     joined = values.join(places.distinct(), "id")
     held = gate(joined, "place is null or place < 0 or place >= size(values)", "a place outside the list of values")
     return held.groupBy("id").agg(F.count("*").alias("places"), F.avg(F.element_at("values", F.col("place") + 1)).alias("mean"))
+
+
+def backend_inputs(jobs: DataFrame) -> DataFrame:
+    """``jobs`` with ``input``, the text that the prediction backend reads, and ``problem``, why a job has none.
+
+    ``jobs`` has ``job_id, sequence, state, backend, crrna, target_rna``. A binary state needs a crRNA, a ternary one also a target
+    RNA, an apo state has neither. Backends are fasta (a record a chain) and json (one object).
+    """
+    has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    problem = (
+        F.when(~has("sequence"), "no_sequence")
+        .when((F.col("state") == "apo") & (has("crrna") | has("target_rna")), "rna_in_apo_state")
+        .when((F.col("state") != "apo") & ~has("crrna"), "no_crrna")
+        .when(F.col("state").startswith("ternary") & ~has("target_rna"), "no_target_rna")
+        .when((F.col("state") == "binary") & has("target_rna"), "target_rna_in_binary_state")
+        .when(~F.coalesce(F.col("backend").isin("fasta", "json"), F.lit(False)), "unknown_backend")
+    )
+    chains = F.filter(F.array(*[F.struct(F.lit(name).alias("name"), F.col(c).alias("sequence")) for name, c in (("protein", "sequence"), ("crrna", "crrna"), ("target", "target_rna"))]), lambda x: F.coalesce(x["sequence"], F.lit("")) != "")
+    fasta = F.array_join(F.transform(chains, lambda x: F.concat(F.lit(">"), F.col("job_id"), F.lit("|"), x["name"], F.lit("\n"), x["sequence"], F.lit("\n"))), "")
+    whole = F.to_json(F.struct(F.col("job_id").alias("name"), chains.alias("chains")))
+    return jobs.withColumn("problem", problem).withColumn("input", F.when(F.col("problem").isNull(), F.when(F.col("backend") == "fasta", fasta).otherwise(whole)))
+
+
+def renamed_residues(lines: DataFrame, names: DataFrame) -> DataFrame:
+    """Lines of fixed-width structure files (``path, value``) with residues renamed as ``names`` (``chain, resnum, icode, resname``) tells.
+
+    Only the three letters of the name change; lines of other residues, and lines that are no atoms, stay as they are.
+    """
+    atom = F.substring("value", 1, 6).isin("ATOM  ", "HETATM")
+    keyed = lines.select("path", "value", F.when(atom, F.substring("value", 22, 1)).alias("chain"), F.when(atom, F.try_to_number(F.trim(F.substring("value", 23, 4)), F.lit("S9999")).cast("int")).alias("resnum"), F.when(atom, F.trim(F.substring("value", 27, 1))).alias("icode"))
+    told = names.select("chain", "resnum", F.coalesce("icode", F.lit("")).alias("icode"), F.rpad("resname", 3, " ").alias("resname"))
+    joined = keyed.join(told, ["chain", "resnum", "icode"], "left")
+    return joined.select("path", F.when(F.col("resname").isNotNull(), F.overlay("value", "resname", F.lit(18), F.lit(3))).otherwise(F.col("value")).alias("value"))

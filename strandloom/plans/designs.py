@@ -348,6 +348,26 @@ def prediction_summary(spark, directory):
     return T.prediction_summary(_predictions(spark, directory), ["state", "backend"])
 
 
+@query(
+    _C
+    + """
+, st AS (SELECT unnest(['apo', 'binary', 'ternary']) AS state), be AS (SELECT unnest(['fasta', 'json']) AS backend), r AS (SELECT min(upper(regexp_replace(direct_repeat, '[^ACGUacgu]', '', 'g'))) AS rna FROM crispr_arrays WHERE direct_repeat <> '')
+, j AS (SELECT sha256(candidate_id || '|' || state || '|' || backend || '|' || s) AS job_id, s, state, backend, CASE WHEN state <> 'apo' THEN rna END AS crrna, CASE WHEN state = 'ternary' AND fixed_positions IS NOT NULL THEN reverse(rna) END AS target FROM c, st, be, r WHERE s <> '' AND (state <> 'ternary' OR seed IS NOT NULL))
+SELECT job_id, CASE WHEN state <> 'apo' AND coalesce(crrna, '') = '' THEN 'no_crrna' WHEN state = 'ternary' AND coalesce(target, '') = '' THEN 'no_target_rna' END AS problem,
+  sha256(CASE WHEN (state <> 'apo' AND coalesce(crrna, '') = '') OR (state = 'ternary' AND coalesce(target, '') = '') THEN NULL WHEN backend = 'fasta' THEN '>' || job_id || '|protein' || chr(10) || s || chr(10) || CASE WHEN crrna <> '' THEN '>' || job_id || '|crrna' || chr(10) || crrna || chr(10) ELSE '' END || CASE WHEN target <> '' THEN '>' || job_id || '|target' || chr(10) || target || chr(10) ELSE '' END
+    ELSE '{"name":"' || job_id || '","chains":[{"name":"protein","sequence":"' || s || '"}' || CASE WHEN crrna <> '' THEN ',{"name":"crrna","sequence":"' || crrna || '"}' ELSE '' END || CASE WHEN target <> '' THEN ',{"name":"target","sequence":"' || target || '"}' ELSE '' END || ']}' END) AS input_sha256 FROM j
+"""
+)
+def job_inputs(spark, directory):
+    """The checksum of each prediction job's input text, or why it has none; RNA is the least repeat and, for a target, its reverse."""
+    rna = read(spark, directory, "crispr_arrays").where("direct_repeat <> ''").agg(F.min(F.upper(F.regexp_replace("direct_repeat", "[^ACGUacgu]", ""))).alias("rna")).first().rna
+    designs = _designs(spark, directory).select("candidate_id", F.col("s").alias("sequence"), "fixed_positions")
+    crrna = F.when(F.col("state") != "apo", F.lit(rna).cast("string"))
+    target = F.when((F.col("state") == "ternary") & F.col("fixed_positions").isNotNull(), F.reverse(F.lit(rna).cast("string")))
+    jobs = job_rows(spark, directory).join(designs, "candidate_id").withColumns({"crrna": crrna, "target_rna": target})
+    return T.backend_inputs(jobs).select("job_id", "problem", F.sha2("input", 256).alias("input_sha256"))
+
+
 @query(_POINTS + 'SELECT l.vec_id AS "left", l.vec_id + 7 AS "right", round(sqrt((l.x - r.x) ** 2 + (l.y - r.y) ** 2 + (l.z - r.z) ** 2), 6) AS distance FROM a l LEFT JOIN a r ON r.vec_id = l.vec_id + 7')
 def pair_distances(spark, directory):
     """Distances of named pairs of points; null where the other one is missing."""

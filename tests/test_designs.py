@@ -124,3 +124,20 @@ def test_evidence_of_places_is_merged(spark):
     for bad in (("x", 3, "free", "m", "r", True), ("x", 1, "hard_fixed", "hepn_regex", "motif", False)):
         with pytest.raises(Exception, match="outside the scaffold|motif search"):
             T.merged_evidence(lengths, spark.createDataFrame([bad], kind)).collect()
+
+
+def test_inputs_of_backends(spark):
+    kind = "job_id string, sequence string, state string, backend string, crrna string, target_rna string"
+    rows = [("a", "AC", "apo", "fasta", None, ""), ("b", "AC", "binary", "json", "GU", None), ("c", "AC", "ternary_x", "fasta", "GU", "AA"), ("d", "AC", "apo", "json", "GU", None), ("e", "AC", "binary", "fasta", None, None), ("f", "AC", "ternary", "fasta", "GU", None), ("g", "AC", "apo", "yaml", None, None), ("h", None, "apo", "fasta", None, None), ("i", "AC", "binary", "fasta", "GU", "AA")]
+    out = {r.job_id: (r.input, r.problem) for r in T.backend_inputs(spark.createDataFrame(rows, kind)).collect()}
+    assert out["a"] == (">a|protein\nAC\n", None) and out["c"] == (">c|protein\nAC\n>c|crrna\nGU\n>c|target\nAA\n", None)
+    assert out["b"] == ('{"name":"b","chains":[{"name":"protein","sequence":"AC"},{"name":"crrna","sequence":"GU"}]}', None)
+    assert [out[k][1] for k in "defghi"] == ["rna_in_apo_state", "no_crrna", "no_target_rna", "unknown_backend", "no_sequence", "target_rna_in_binary_state"] and all(out[k][0] is None for k in "defghi")
+
+
+def test_residues_of_a_structure_file_renamed(spark):
+    lines = ["HEADER x", "ATOM      1  CA  ALA A   1       0.000   0.000   0.000", "ATOM      2  CA  GLY A   2A      0.000   0.000   0.000", "HETATM    3  P     A R   2       0.000   0.000   0.000", "TER", ""]
+    names = spark.createDataFrame([("A", 1, "", "TRP"), ("A", 2, "A", "VAL"), ("A", 2, "", "SER"), ("R", 9, "", "U")], "chain string, resnum int, icode string, resname string")
+    df = spark.createDataFrame([("p", v) for v in lines], "path string, value string")
+    out = sorted(r.value for r in T.renamed_residues(df, names).collect())
+    assert out == sorted([v.replace("ALA", "TRP").replace("GLY", "VAL") for v in lines])
