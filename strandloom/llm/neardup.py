@@ -7,7 +7,8 @@ it starts at two values, and where more than ``cap`` texts share them, their reg
 deeper, with as many more trees as keep the chance to miss a pair at the threshold under two in ten
 thousand. Regions that cross from one partition to the next are put together by counts. At the last
 depth regions over the cap are compared block against block, so no pair is dropped; for classes each
-of their texts is compared with its neighbours and one representative in each tree instead.
+of their texts is compared with its neighbours and one representative in each tree first, and then block
+against block only with those texts of its regions that these links leave in another class.
 Candidates are sifted by a sketch of 64 hash values and then compared exactly.
 """
 
@@ -167,34 +168,38 @@ def _region(tree: np.ndarray, prefix: np.ndarray) -> np.ndarray:
 
 
 def _blocks(dense: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
-    """Pairs of like sketches within regions of any size (``a, b, n``: text, region and its size), block against block."""
+    """Pairs of like sketches within regions of any size, block against block.
+
+    ``dense`` has ``a, b, n, label``: text, region, its size and the text's class so far. Pairs of one class are left out.
+    """
     placed = dense.withColumn("blocks", F.ceil(F.col("n") / _BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int"))
-    told = placed.join(sketches.select(F.col("tid").alias("a"), "sketch"), "a").select("a", "b", "own", "sketch", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    sent = told.select("a", "b", "own", "sketch", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    told = placed.join(sketches.select(F.col("tid").alias("a"), "sketch"), "a").select("a", "b", "label", "own", "sketch", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    sent = told.select("a", "b", "label", "own", "sketch", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        own, i, tid = (table.column(c).to_numpy() for c in ("own", "i", "a"))
+        own, i, tid, label = (table.column(c).to_numpy() for c in ("own", "i", "a", "label"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, _SKETCH)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == table.column("j").to_numpy())
         same = np.zeros((len(left), len(right)), np.uint8)
         for c in range(_SKETCH):
             same += sketch[left, c][:, None] == sketch[right, c]
-        x, y = np.nonzero(same >= least)
+        x, y = np.nonzero((same >= least) & (label[left][:, None] != label[right]))
         x, y = tid[left[x]], tid[right[y]]
         return pa.table({"a": x[x < y], "b": y[x < y]}) if (own == i).all() else pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
     return sent.groupBy("b", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def candidate_pairs(texts: DataFrame, shingle: int, cap: int, threshold: float, linked: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``a < b`` of texts that are neighbours in some sorted order, each once, and the texts' sketches.
+def candidate_pairs(texts: DataFrame, shingle: int, cap: int, threshold: float, linked: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Pairs ``a < b`` of texts that are neighbours in some sorted order, each once, the texts' sketches, and what is left.
 
     Regions over ``cap`` texts are read deeper in more trees; at the last depth they are compared in blocks, or,
-    where ``linked``, each of their texts is paired with the region's least text and its neighbours alone.
+    where ``linked``, each of their texts is paired with the region's least text and its neighbours alone, and the
+    regions are given back (``a, b, n``: text, region and its size), as their other pairs are still to be compared.
     """
     sketches = materialize(_signatures(texts, shingle, *LEVELS[0], sketch=True), "neardup-signatures")
-    signatures, found = sketches, None
+    signatures, found, left = sketches, None, None
     for level, (depth, trees) in enumerate(LEVELS):
         last = level == len(LEVELS) - 1
         near = materialize(_neighbours(_orders(signatures, depth, trees), depth, cap, linked and last), f"neardup-neighbours-{depth}")
@@ -209,12 +214,14 @@ def candidate_pairs(texts: DataFrame, shingle: int, cap: int, threshold: float,
             break
         dense = settled.where(F.col("n") > cap)
         if last:
-            more = dense.where("a <> least").select(F.col("least").alias("a"), F.col("a").alias("b")) if linked else _blocks(materialize(dense, "neardup-dense"), sketches, _least(threshold))
+            dense = materialize(dense, "neardup-dense")
+            left = dense.select("a", "b", "n") if linked else None
+            more = dense.where("a <> least").select(F.col("least").alias("a"), F.col("a").alias("b")) if linked else _blocks(dense.withColumn("label", F.col("a")), sketches, _least(threshold))
             found = found.unionByName(more)
             break
         deeper = texts.join(dense.select(F.col("a").alias("tid")).distinct(), "tid", "left_semi")
         signatures = materialize(_signatures(deeper, shingle, *LEVELS[level + 1], sketch=False), "neardup-signatures")
-    return found.groupBy("a", "b").agg(F.count("*").alias("trees")).drop("trees"), sketches
+    return found.groupBy("a", "b").agg(F.count("*").alias("trees")).drop("trees"), sketches, left
 
 
 def _least(threshold: float) -> int:
@@ -262,13 +269,28 @@ def _exact(shingle: int, threshold: float):
 def near_links(texts: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, cap: int = CAP, linked: bool = False) -> DataFrame:
     """``a, b, similarity``: pairs of different texts of a table at or over the threshold, each once.
 
-    Where ``linked``, regions over the cap at the last depth give links that hold them together, not all pairs.
+    Where ``linked``, regions over the cap at the last depth give links that hold them together, not all pairs: all
+    pairs of texts that no other links hold together are compared.
     """
-    pairs, sketches = candidate_pairs(texts, shingle, cap, threshold, linked)
-    sifted = materialize(_sift(pairs, sketches, threshold), "neardup-sifted")
+    from strandloom.operators.graph import components
+
+    pairs, sketches, left = candidate_pairs(texts, shingle, cap, threshold, linked)
     a = texts.select(F.col("tid").alias("a"), F.col("letters").alias("la"))
     b = texts.select(F.col("tid").alias("b"), F.col("letters").alias("lb"))
-    return sifted.join(a, "a").join(b, "b").select("a", "b", "la", "lb").mapInArrow(_exact(shingle, threshold), "a long, b long, similarity double")
+
+    def compared(candidates: DataFrame) -> DataFrame:
+        sifted = materialize(_sift(candidates, sketches, threshold), "neardup-sifted")
+        return sifted.join(a, "a").join(b, "b").select("a", "b", "la", "lb").mapInArrow(_exact(shingle, threshold), "a long, b long, similarity double")
+
+    links = compared(pairs)
+    if left is None:
+        return links
+    links = materialize(links, "neardup-links")
+    named = left.join(components(links.select("a", "b")).withColumnRenamed("id", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+    named = materialize(named, "neardup-named")
+    several = named.groupBy("b").agg(F.min("label").alias("first"), F.max("label").alias("last"), F.count("*").alias("texts")).where("first <> last")
+    apart = _blocks(spread_join(named, several.select("b", "texts"), "b", "texts").drop("texts"), sketches, _least(threshold))
+    return links.unionByName(compared(apart.distinct()))
 
 
 def texts_and_members(records: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:

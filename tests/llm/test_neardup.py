@@ -112,3 +112,19 @@ def test_regions_across_partitions(spark, parts):
     pairs = met | {(x, y) for v in regions.values() for x in v for y in v if x < y}
     wanted = {(x, y) for v in ([*range(40), *range(50, 55)], [91, 92], range(3)) for x in v for y in v if x < y}
     assert pairs == wanted
+
+
+def test_classes_hold_every_pair_of_dense_regions(spark, monkeypatch):
+    # All texts share two thirds of their letters and are just under the threshold; only each one and its twin are over it.
+    monkeypatch.setattr(neardup, "LEVELS", ((1, 22),))
+    rng = random.Random(9)
+    draw = lambda n: "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(n))
+    core = draw(104)
+    texts = [core + tail + draw(30) for tail in (draw(8) for _ in range(150)) for _ in range(2)]
+    order = rng.sample(range(300), 300)
+    records = [("t", f"r{k:03d}", x) for k, x in zip(order, texts)]
+    df = spark.createDataFrame(records, RECORD)
+    pairs = {(r.left_key, r.right_key) for r in neardup.near_pairs(df, cap=8).collect()}
+    out = {r.record_key: r.class_id for r in neardup.near_groups(df, cap=8).collect()}
+    assert pairs == {p[1:] for p in brute(records)} and len(pairs) == 150
+    assert all(out[x] == out[y] == x for x, y in pairs)
