@@ -49,13 +49,16 @@ def _identities(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Identities of the left rows with the others over columns where neither has a gap (0 without one), and which rows are left."""
     is_left = table.column("is_left").to_numpy(zero_copy_only=False)
     codes = np.array([np.frombuffer(s.encode("latin-1", "replace"), np.uint8) for s in table.column("seq").to_pylist()])
-    x, y = codes[is_left], codes[~is_left]
+    return _identity(codes[is_left], codes[~is_left]), is_left
+
+
+def _identity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     both = (x != 45).astype(np.float32) @ (y != 45).astype(np.float32).T
     same = np.zeros_like(both)
-    for token in np.unique(codes):
+    for token in np.intersect1d(x, y):
         if token != 45:
             same += (x == token).astype(np.float32) @ (y == token).astype(np.float32).T
-    return np.where(both > 0, same.astype(np.float64) / np.maximum(both, 1), 0), is_left
+    return np.where(both > 0, same.astype(np.float64) / np.maximum(both, 1), 0)
 
 
 def row_weights(rows: DataFrame, threshold: float = 0.8, block_rows: int = 1000) -> DataFrame:
@@ -249,18 +252,131 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return rows.select("aln", "row_id", "seq", F.row_number().over(Window.partitionBy("aln").orderBy(F.sha2(F.col("row_id").cast("string"), 256), "row_id")).alias("k"))
 
 
+def _draws(sizes: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """``aln, replicate, d, k``: the number of the row that each draw takes."""
+    each = sizes.select("aln", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).repartition("aln", "replicate")
+    draws = each.select("aln", "n", "replicate", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("d"))
+    k = (F.pmod(hash_number(F.concat_ws(":", F.lit(str(seed)), "aln", "replicate", "d")), F.col("n").cast("decimal(20,0)")) + 1).cast("int")
+    return draws.select("aln", "replicate", "d", k.alias("k"))
+
+
 def drawn_rows(rows: DataFrame, replicates: int, seed: int) -> DataFrame:
     """``aln, row_id, seq`` drawn with replacement, one alignment ``aln#replicate`` a replicate, the same on any partitioning.
 
     Each alignment's rows are numbered by hash. Draw d of replicate r takes row hash(seed:aln:r:d) mod n.
     """
-    sizes = rows.groupBy("aln").agg(F.count("*").alias("n"))
-    each = sizes.select("aln", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).repartition("aln", "replicate")
-    draws = each.select("aln", "n", "replicate", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("d"))
-    picked = draws.withColumn("k", (F.pmod(hash_number(F.concat_ws(":", F.lit(str(seed)), "aln", "replicate", "d")), F.col("n").cast("decimal(20,0)")) + 1).cast("int"))
+    picked = _draws(rows.groupBy("aln").agg(F.count("*").alias("n")), replicates, seed)
     return picked.join(_numbered(rows), ["aln", "k"]).select(F.concat_ws("#", "aln", "replicate").alias("aln"), F.col("d").alias("row_id"), "seq")
 
 
+def drawn_counts(rows: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """``aln, row_id, seq, counts``: how often ``drawn_rows`` draws each row, replicate by replicate; rows never drawn are left out."""
+    sizes = rows.groupBy("aln").agg(F.count("*").alias("n"))
+    picked = _draws(sizes, replicates, seed).groupBy("aln", "k").agg(F.array(*[F.count_if(F.col("replicate") == r) for r in range(replicates)]).alias("counts"))
+    numbered = _numbered(rows.select("aln", "row_id", F.lit("").alias("seq")))
+    return rows.select("aln", "row_id", "seq").join(picked.join(numbered, ["aln", "k"]).select("aln", "row_id", "counts"), ["aln", "row_id"])
+
+
+def _drawn_information(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The columns with several tokens, and the mutual information of each with each, from all rows of an alignment.
+
+    A token that stands in one row alone meets one token of any other column, so its part of the sums over pairs of
+    tokens cancels with its part of the sums over tokens, but where both columns have such a token in the row.
+    Only tokens of several rows are multiplied.
+    """
+    known = [t for t in np.unique(codes).tolist() if t != 45]
+    support = np.array([(codes == t).sum(axis=0) for t in known]).reshape(len(known), codes.shape[1])
+    listed = np.flatnonzero((support > 0).sum(axis=0) > 1)
+    # Columns with most tokens of several rows first: those with a k-th one are the first so many.
+    order = np.argsort(-(support[:, listed] > 1).sum(axis=0), kind="stable")
+    columns = listed[order]
+    codes, support = codes[:, columns], support[:, columns]
+    there = (codes != 45).astype(np.float64)
+    there = there if (there == 0).any() else there[:, :1]  # without gaps all columns have the same rows
+    alone = np.zeros(codes.shape)
+    for k, t in enumerate(known):
+        alone += (codes == t) & (support[k] == 1)
+    token, rank = np.array(known, np.uint8), (support > 1).cumsum(axis=0) * (support > 1)
+    kth = []
+    for k in range(1, int(rank.max(initial=0)) + 1):
+        width = int((rank == k).any(axis=0).sum())
+        kth.append(codes[:, :width] == token[(rank[:, :width] == k).argmax(axis=0)])
+    scale = weights[:, None]
+    sums = -((alone * _xlogx(scale)).T @ alone)
+    single = np.zeros((len(columns), there.shape[1]))
+    for k, x in enumerate(kth):
+        weighed = np.ascontiguousarray((x * scale).T)
+        single[: len(weighed)] += _xlogx(weighed @ there)
+        for y in kth[k:]:
+            product = weighed @ y.astype(np.float64)
+            logs = np.log(np.maximum(product, 1e-300))
+            logs *= product
+            sums[: x.shape[1], : y.shape[1]] += logs
+            if y is not x:
+                sums[: y.shape[1], : x.shape[1]] += logs.T
+    sums -= single
+    sums -= single.T
+    total = (there * scale).T @ there
+    safe = np.where(total > 0, total, 1.0)
+    mi = np.where(total > 0, np.maximum(sums / safe + np.log(safe), 0.0), 0.0)
+    back = np.argsort(order)
+    return listed, mi[back][:, back]
+
+
+def _corrected(mi: np.ndarray, columns: int) -> np.ndarray:
+    """``product_correction`` of all pairs of an alignment at once."""
+    np.fill_diagonal(mi, 0.0)
+    sums = mi.sum(axis=1)
+    whole = sums.sum() / (columns * (columns - 1))
+    means = sums / (columns - 1)
+    return mi - (np.outer(means, means) / whole if whole > 0 else 0.0)
+
+
+def drawn_strongest(rows: DataFrame, replicates: int, seed: int, most: int, threshold: float = 0.8, letters: int = 1 << 22, long: int = 4096, wide: int = 2048) -> DataFrame:
+    """``aln, replicate, i, j, mi, apc``: the ``strongest`` of the ``coupled_pairs`` of each replicate of ``drawn_rows``.
+
+    An alignment of at most ``letters`` letters, ``long`` rows and ``wide`` columns goes to one task once, with the
+    number of draws of each row; its pairs stay there and only the strongest leave. Larger ones are drawn and compared
+    in blocks, which takes disk for all their pairs.
+    """
+    rows = materialize(rows.select("aln", "row_id", "seq"), "alignment-rows")
+    kind = rows.schema["aln"].dataType.simpleString()
+    n, length = F.count("*"), F.max(F.length("seq"))
+    sizes = materialize(rows.groupBy("aln").agg(((n > long) | (length > wide)).alias("large"), (n * length > letters).alias("full")).select("aln", (F.col("large") | F.col("full")).alias("large")), "alignment-sizes")
+    schema = f"aln {kind}, replicate int, i int, j int, mi double, apc double"
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("row_id")
+        texts = table.column("seq").to_pylist()
+        codes = np.frombuffer("".join(texts).encode("latin-1", "replace"), np.uint8).reshape(len(texts), -1)
+        counts = np.array(table.column("counts").to_pylist(), np.float64)
+        near = np.concatenate([(_identity(codes[k : k + 512], codes) >= threshold - 1e-9).astype(np.float64) @ counts for k in range(0, len(codes), 512)])
+        near = np.maximum(near, 1)
+        out = []
+        for r in range(replicates):
+            drawn = counts[:, r] > 0
+            listed, mi = _drawn_information(codes[drawn], counts[drawn, r] / near[drawn, r])
+            if len(listed) < 2:
+                continue
+            apc = _corrected(mi, codes.shape[1])
+            key = np.where(np.tri(len(listed), dtype=bool), -np.inf, np.round(apc, 6))
+            pairs = len(listed) * (len(listed) - 1) // 2
+            least = np.partition(key, key.size - min(most, pairs), axis=None)[key.size - min(most, pairs)]
+            i, j = np.nonzero(key >= least)
+            first = np.argsort(-key[i, j], kind="stable")[:most]
+            i, j = i[first], j[first]
+            out.append(pa.table({"aln": pa.array([table.column("aln")[0].as_py()] * len(i)).cast(_ARROW[kind]), "replicate": np.full(len(i), r, np.int32), "i": listed[i].astype(np.int32), "j": listed[j].astype(np.int32), "mi": mi[i, j], "apc": apc[i, j]}))
+        return pa.concat_tables(out) if out else pa.table({n: pa.array([], t) for n, t in (("aln", _ARROW[kind]), ("replicate", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("mi", pa.float64()), ("apc", pa.float64()))})
+
+    small = drawn_counts(rows.where("seq <> ''").join(sizes.where("not large"), "aln", "left_semi"), replicates, seed)
+    out = by_work(small, "aln").groupBy("aln").applyInArrow(compare, schema)
+    if sizes.where("large").isEmpty():
+        return out
+    big = strongest(coupled_pairs(drawn_rows(rows.join(sizes.where("large"), "aln", "left_semi"), replicates, seed), threshold), most)
+    parts = F.regexp_extract("aln", r"(?s)^(.*)#(\d+)$", 1).cast(kind), F.regexp_extract("aln", r"(?s)^(.*)#(\d+)$", 2).cast("int")
+    return out.unionByName(big.select(parts[0].alias("aln"), parts[1].alias("replicate"), "i", "j", "mi", "apc"))
+
+
 def permuted_rows(rows: DataFrame, split: Column, replicates: int, seed: int) -> DataFrame:
     """``aln, row_id, seq`` where the columns from ``split`` on come from another row of the alignment, ``aln#replicate`` a replicate.
 

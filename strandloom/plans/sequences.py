@@ -259,8 +259,8 @@ def coupled_columns(spark, directory):
 @query()
 def coupled_column_support(spark, directory):
     """How often a pair of columns is among its scaffold's three strongest over 5 reweighted resamplings of the rows."""
-    top = columns.strongest(columns.coupled_pairs(columns.drawn_rows(_alignment(spark, directory), 5, 20260731)), 3)
-    return top.groupBy(F.split_part("aln", F.lit("#"), F.lit(1)).alias("scaffold"), "i", "j").agg((F.count("*") / 5).alias("support"))
+    top = columns.drawn_strongest(_alignment(spark, directory), 5, 20260731, 3)
+    return top.groupBy(F.col("aln").alias("scaffold"), "i", "j").agg((F.count("*") / 5).alias("support"))
 
 
 @query()

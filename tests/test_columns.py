@@ -113,3 +113,34 @@ def test_drawn_rows_do_not_depend_on_partitions(spark):
     df = spark.createDataFrame(MSA, ALN)
     draw = lambda d: sorted(tuple(r) for r in columns.drawn_rows(d, 3, 7).collect())
     assert draw(df.repartition(1)) == draw(df.repartition(7)) and len(draw(df)) == 3 * 4
+
+
+def drawn_alignments():
+    rng = random.Random(5)
+    made = {"gaps": [[rng.choice("AACD-") for _ in range(9)] for _ in range(24)], "odd#1": [[rng.choice("ACDEFGHIKL") if rng.random() < 0.3 else "W" for _ in range(11)] for _ in range(17)], "ties": [list("AC" if i % 2 else "GU") for i in range(6)], "one": [list("ACD")], "same": [list("ACD")] * 3}
+    for row in made["gaps"]:
+        row[5], row[7] = row[1], "W"
+    return [(aln, f"{i:02d}", "".join(r)) for aln, all_ in made.items() for i, r in enumerate(all_)] + [("empty", "1", ""), ("empty", "2", "")]
+
+
+@pytest.mark.parametrize("bounds", [{}, {"letters": 100}, {"long": 0}, {"wide": 10}])
+def test_strongest_of_drawn_rows_as_of_all_their_pairs(spark, bounds):
+    df = spark.createDataFrame(drawn_alignments(), ALN)
+    wanted = {(r.aln, r.i, r.j): r for r in columns.strongest(columns.coupled_pairs(columns.drawn_rows(df, 3, 7)), 4).collect()}
+    out = columns.drawn_strongest(df, 3, 7, 4, **bounds).collect()
+    got = {(f"{r.aln}#{r.replicate}", r.i, r.j): r for r in out}
+    assert len(out) == len(got) > 20 and set(got) == set(wanted)
+    assert all((r.mi, r.apc) == (pytest.approx(wanted[k].mi, abs=1e-12), pytest.approx(wanted[k].apc, abs=1e-12)) for k, r in got.items())
+
+
+def test_support_writes_rows_not_pairs_of_columns(spark, monkeypatch):
+    from strandloom.plans import sequences
+
+    rng = random.Random(6)
+    df = spark.createDataFrame([("m", str(i), "".join(rng.choice("ACDE") for _ in range(60))) for i in range(8)], ALN)
+    written = []
+    keep = columns.materialize
+    monkeypatch.setattr(columns, "materialize", lambda d, name: written.append((name, d.count())) or keep(d, name))
+    monkeypatch.setattr(sequences, "_alignment", lambda *_: df)
+    assert sequences.coupled_column_support(spark, "").count() > 0
+    assert written and sum(n for _, n in written) <= 2 * 8  # there are 1,770 pairs of columns in each of 5 replicates
